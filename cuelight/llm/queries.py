@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import arrow_store, mixing, packing, quality, sharding
+from cuelight.llm import arrow_store, jaccard, mixing, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri, places = arrow_store.write_tokens(table(spark, sf_dir, "documents"))
     return arrow_store.read_digests(uri, places).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -33,8 +37,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_quality_rules, op5_source_mixing, op8_token_files, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op4_quality_rules, op5_source_mixing, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding)}
 
 
 def oracle_sql():
-    return {"op4_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle()}
+    return {"op4_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(), "op7_ngram_jaccard": jaccard.oracle()}
