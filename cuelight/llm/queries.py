@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import arrow_store, jaccard, mixing, neighbours, packing, quality, sharding
+from cuelight.llm import arrow_store, html_extract, jaccard, mixing, neighbours, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
@@ -42,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_block_matrix_ann, op4_quality_rules, op5_source_mixing, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_block_matrix_ann, op4_quality_rules, op5_source_mixing, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding)}
 
 
 def oracle_sql():
