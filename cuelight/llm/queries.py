@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import arrow_store, html_extract, jaccard, mixing, neighbours, packing, quality, sharding
+from cuelight.llm import arrow_store, html_extract, jaccard, mixing, neighbours, packing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html_main_text, op2_block_matrix_ann, op4_quality_rules, op5_source_mixing, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_block_matrix_ann, op4_quality_rules, op5_source_mixing, op6_private_spans, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding)}
 
 
 def oracle_sql():
