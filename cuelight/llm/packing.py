@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import numbered
+from cuelight.llm.common import numbered, staged
 from cuelight.llm.tokens import WORD_BPE, default_path, encoder, slices
 
 CAPACITY = 4096
@@ -79,7 +79,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
 
 
 def packed_digests(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """pack() with the ids replaced by their crc before rows are numbered."""
+    """pack() with the ids replaced by their crc before rows are numbered; these
+    slim rows are staged, as numbering samples its input before it sorts it."""
     rows = pieces(docs, tokenizer, end_id, capacity)
-    rows = with_sequences(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    rows = with_sequences(staged(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
