@@ -48,7 +48,7 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
                     x, rate = decode(raw)
                     out.append((path, rate, x.tolist(), None))
                 except Exception as e:  # a row a file, broken or not
-                    out.append((path, None, None, str(e)[:500]))
+                    out.append((path, None, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=["path", "rate", "samples", "error"]).astype({"rate": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "path string, rate int, samples array<float>, error string")

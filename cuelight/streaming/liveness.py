@@ -15,8 +15,8 @@ from cuelight.sources import tables
 def session_stream(beats: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """Runs of beats without a gap, once the watermark has passed them."""
     rows = beats.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    g = rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    g = rows.groupBy(F.session_window(ts, gap).alias("_window"), key).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(key, F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), "n")
 
 
 def kept_beats_stream(beats: DataFrame, key: str, ts: str, least_s: int = 20) -> DataFrame:
