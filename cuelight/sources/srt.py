@@ -39,7 +39,7 @@ def parse(files: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every subtitle file under path; bytes that aren't UTF-8 are replaced."""
     rows = spark.read.format("binaryFile").load(path)
-    return parse(rows.select(F.col("path").alias("file"), F.decode("content", F.lit("UTF-8")).alias("content")))
+    return parse(rows.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content")))
 
 
 def render(cues: DataFrame, text: str = "text", fallback: str | None = None, start: str = "start_ms", end: str = "end_ms", file: str = "file", number: str | None = None) -> DataFrame:
