@@ -50,18 +50,20 @@ def frequent_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST) ->
     return over.groupBy("_host").agg(F.collect_list("_line").alias("_frequent"))
 
 
-def repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the list.
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Window hashes are sorted with their places; places whose hash has an equal
-    neighbour are the repeated ones, and each adds up to 3 words not covered yet.
-    """
+
+def window_hashes(w: Column) -> Column:
+    """Hashes of the 3-word windows of a list with their places, sorted."""
     at = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-    hashed = F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    return hashed
+    return F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
 
 
 def covered(hashed: Column) -> Column:
+    """Words in windows found twice or more: places whose hash has an equal
+    neighbour are the repeated ones, and each adds up to 3 words not covered yet."""
     same = F.filter(hashed, lambda x, i: (F.get(hashed, i - 1)["h"] == x["h"]) | (F.get(hashed, i + 1)["h"] == x["h"]))
     places = F.sort_array(F.transform(same, lambda x: x["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
@@ -69,17 +71,17 @@ def covered(hashed: Column) -> Column:
 
 
 def _measured(docs: DataFrame, min_words: int, max_repeat: float) -> DataFrame:
-    """Adds _q, a struct of the base statistics, to the columns of docs."""
+    """Adds _q, a struct of the base statistics, and _base_failed to docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_w", words(F.col("text"))).withColumn("_h", repeat_words(F.col("_w")))
-    lines = text_lines(F.col("text"))
-    n = F.size("_w").cast("long")
+    of_words = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), let(window_hashes(w), covered).alias("repeated")))
+    dup_lines = let(text_lines(F.col("text")), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
+    rows = docs.withColumn("_w", of_words)
     rows = rows.withColumn("_q", F.struct(
-        n.alias("n_words"),
+        F.col("_w.n").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        covered(F.col("_h")).alias("n_repeat_words"))).drop("_w", "_h")
+        dup_lines.alias("n_dup_lines"),
+        F.col("_w.repeated").alias("n_repeat_words"))).drop("_w")
     q = F.col("_q")
     return rows.withColumn("_base_failed", (q["n_words"] < min_words) | (q["n_repeat_words"] > max_repeat * q["n_words"]))
 
@@ -115,7 +117,9 @@ def cleaned(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: flo
     are taken out of text, and n_chars, where there is one, follows."""
     own = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), "doc_id", "text", "source")
-    rows = _judged(rows, share, least, keep, min_words, max_repeat).where("_kept")
+    rows = _judged(rows, share, least, keep, min_words, max_repeat)
+    # a numbered row holds the filter above the statistics, which it would else compute once more
+    rows = rows.withColumn("_seq", F.monotonically_increasing_id()).where("_kept and _seq >= 0")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_frequent"), line_hash(x))), "\n")
     rows = rows.select("_row", F.when(F.col("_frequent").isNull() | (F.col("_left") == F.col("_q")["n_words"]), F.col("text")).otherwise(rest).alias("_text"))
     kind = dict(docs.dtypes)
