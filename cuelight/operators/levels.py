@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
 
+# Levels in dBFS, times in seconds.
 SPEECH_DBFS, TARGET_DBFS, MOST_BOOST_DB = -45.0, -20.0, 12.0
 ATTACK_S, RELEASE_S = 0.05, 0.40
 SILENT_DBFS, DEFICIT_DB = -50.0, 20.0

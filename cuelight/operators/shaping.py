@@ -18,6 +18,7 @@ from cuelight.functions import text as T
 
 @dataclass(frozen=True)
 class Shape:
+    # Limits in seconds, characters and scores.
     max_seconds: float = 6.0
     max_chars: int = 84
     min_seconds: float = 1.0

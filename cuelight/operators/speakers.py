@@ -16,7 +16,7 @@ PROSE_LEADS = (
 VOICEOVER = "(voiceover)"
 LEAST, MOST_CHARS, MOST_WORDS = 2, 25, 5
 
-# The last character consumed is the first of the spoken text, as the label must leave some.
+# The two label styles. The last character consumed is the first of the spoken text, as the label must leave some.
 BRACKET = r"^[\s\p{Z}]*[\[\(][\s\p{Z}]*([^\]\)\n]{1,25}?)[\s\p{Z}]*[\]\)][\s\p{Z}]*([^\s\p{Z}](?s:.*))$"
 COLON = r"^[\s\p{Z}]*([^\s\p{Z}:][^:\n]{0,24}):[\s\p{Z}]+([^\s\p{Z}](?s:.*))$"
 

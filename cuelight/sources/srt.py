@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
 
+# Fixed value: the timing line of the format.
 TIMING = r"([0-9]+):([0-9]{2}):([0-9]{2})[,.]([0-9]{1,3})\s*-->\s*([0-9]+):([0-9]{2}):([0-9]{2})[,.]([0-9]{1,3})"
 
 
