@@ -3,6 +3,8 @@ written there to cut lineage, size-checked broadcasts, row numbering, words."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -32,14 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    """A fresh path in the shared folder, deleted when the driver's process ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    if not _made:
+        atexit.register(drop_made)
+    _made.append((spark, path))
     return path
 
 
+def drop_made() -> None:
+    while _made:
+        with contextlib.suppress(Exception):  # the session may have ended
+            drop_path(*_made.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
