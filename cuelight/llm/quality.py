@@ -22,6 +22,11 @@ MAX_REPEAT = 0.5
 SYMBOLS = "#*$%&|<>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normal_line(line: Column) -> Column:
     """Lower case, digits alike, white space runs as one space, trimmed."""
     return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
@@ -29,8 +34,7 @@ def normal_line(line: Column) -> Column:
 
 def line_hash(line: Column) -> Column:
     """128 bits, as two longs: no two lines of a corpus are taken for one."""
-    n = normal_line(line)
-    return F.struct(F.xxhash64(n).alias("a"), F.xxhash64(n, F.lit(1)).alias("b"))
+    return let(normal_line(line), lambda n: F.struct(F.xxhash64(n).alias("a"), F.xxhash64(n, F.lit(1)).alias("b")))
 
 
 def text_lines(text: Column) -> Column:
@@ -50,11 +54,6 @@ def frequent_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST) ->
     return over.groupBy("_host").agg(F.collect_list("_line").alias("_frequent"))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once wherever the optimizer moves it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def window_hashes(w: Column) -> Column:
     """Hashes of the 3-word windows of a list with their places, sorted."""
     at = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
