@@ -34,6 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_owner: list[tuple] = []
+
+
+def own_worker(name: str, clear) -> None:
+    """Python workers outlive their tasks: the caches that another operator left
+    in this one are cleared before `name` fills its own."""
+    if _owner and _owner[0][0] != name:
+        _owner.pop()[1]()
+    if not _owner:
+        _owner.append((name, clear))
+
+
 _made: list[tuple[SparkSession, str]] = []
 
 

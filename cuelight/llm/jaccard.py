@@ -9,9 +9,11 @@ linked documents at least k + 1 pieces are equal, bit for bit. Documents meet
 where they share a piece (by a hash of its bits), and what meets is verified on
 the sets themselves.
 
-Pieces with at most one bit set would gather documents that share nothing, so
-they are left out: k of them may be, and a document with more keeps them all,
-so no link is lost. D depends on the sizes, so sketches are made per band of
+Pieces with hardly a bit set would gather documents that share nothing, so they
+are left out. k of them may be: with at most k such pieces in one of two linked
+documents, an equal piece is left. A document with more makes a sketch by another
+hash as well, and by a third, until one has few enough; so a pair of which both
+have too many meets there, and no link is lost. D depends on the sizes, so sketches are made per band of
 sizes, and a document just above a band joins it too.
 
 Groups of near copies are not expanded into pairs. Documents with one set are one
@@ -32,16 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import small, staged
+from cuelight.llm.common import own_worker, small, staged
 from cuelight.llm.components import components
 
 #: Ratio of a band's ends.
 BAND = 1.5
 #: Bits of a piece.
 PIECE_BITS = 16
+#: Most sketches of a set in a band.
+SKETCHES = 12
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
-WORDS_CACHED = 500_000
+WORDS_CACHED = 300_000
 NO_ID = -(1 << 63)
 
 U = np.uint64
@@ -61,6 +65,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and blanks only
     if not found:
         return np.empty(0, U)
+    own_worker("shingles", _words.clear)
     if len(_words) > WORDS_CACHED:
         _words.clear()
     try:
@@ -92,8 +97,10 @@ class Bands:
         """The most elements two linked sets of sizes a and b differ in."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, pieces, spare pieces) for each band a set of this size is in."""
+    def of(self, size: int) -> list[tuple[int, int, int, int]]:
+        """(band, pieces, spare pieces, most bits of a piece left out) for each
+        band a set of this size is in. Where pieces hold few shingles only empty
+        ones can be left out, and more of them."""
         while self.starts[-1] <= size:
             end = int(self.starts[-1] * BAND) + 1
             self.reach.append((end - 1) * self.den // self.num)
@@ -101,10 +108,10 @@ class Bands:
         out = []
         for j in range(len(self.starts) - 1):
             if self.starts[j] <= size <= self.reach[j]:
-                top = self.starts[j + 1] - 1
-                d = self.apart(top, self.reach[j])
-                spare = 2 + d // 16
-                out.append((j, d + 1 + spare, spare))
+                d = self.apart(self.starts[j + 1] - 1, self.reach[j])
+                full = self.starts[j] >= 5 * d
+                spare = 2 + d // (16 if full else 5)
+                out.append((j, d + 1 + spare, spare, 1 if full else 0))
         return out
 
     def width(self, band: int) -> int:
@@ -112,24 +119,30 @@ class Bands:
         return max(8, 1 << (int(self.starts[band + 1] * 4 / 64)).bit_length())
 
 
-def piece_keys(hashes: np.ndarray, band: int, pieces: int, spare: int) -> np.ndarray:
-    """A hash of the bits of each piece that takes part."""
-    piece = ((hashes >> U(32)) * U(pieces)) >> U(32)
-    bits = np.sort((piece << U(PIECE_BITS)) | (hashes & U((1 << PIECE_BITS) - 1)))
-    if len(bits) > 1 and (bits[1:] == bits[:-1]).any():  # bits turned over twice
-        bits, times = np.unique(bits, return_counts=True)
-        bits = bits[times % 2 == 1]
-    piece = (bits >> U(PIECE_BITS)).astype(np.int64)
-    count = np.bincount(piece, minlength=pieces)
-    salt = U((band + 1) << 48)
-    at = np.flatnonzero(count)
-    out = np.zeros(pieces, U)
-    if len(at):
-        starts = np.concatenate([[0], np.cumsum(count[at])[:-1]]).astype(np.int64)
-        out[at] = np.bitwise_xor.reduceat(mix(bits + salt), starts)
-    out = mix(out + mix(np.arange(pieces, dtype=U) + salt))
-    weak = count <= 1
-    return out if weak.sum() > spare else out[~weak]
+def piece_keys(hashes: np.ndarray, band: int, pieces: int, spare: int, weak_bits: int) -> np.ndarray:
+    """A hash of the bits of each piece that takes part, over as many sketches
+    as it takes until one has few pieces to leave out."""
+    out = []
+    for again in range(SKETCHES):
+        seed = U(((band + 1) << 8 | again) << 40)
+        h = mix(hashes + seed) if again else hashes
+        piece = ((h >> U(32)) * U(pieces)) >> U(32)
+        bits = np.sort((piece << U(PIECE_BITS)) | (h & U((1 << PIECE_BITS) - 1)))
+        if len(bits) > 1 and (bits[1:] == bits[:-1]).any():  # bits turned over twice
+            bits, times = np.unique(bits, return_counts=True)
+            bits = bits[times % 2 == 1]
+        count = np.bincount((bits >> U(PIECE_BITS)).astype(np.int64), minlength=pieces)
+        at = np.flatnonzero(count)
+        keys = np.zeros(pieces, U)
+        if len(at):
+            starts = np.concatenate([[0], np.cumsum(count[at])[:-1]]).astype(np.int64)
+            keys[at] = np.bitwise_xor.reduceat(mix(bits + seed), starts)
+        keys = mix(keys + mix(np.arange(pieces, dtype=U) + seed))
+        weak = count <= weak_bits
+        if weak.sum() <= spare:
+            return np.concatenate([*out, keys[~weak]])
+        out.append(keys[~weak] if again + 1 < SKETCHES else keys)  # the last keeps all
+    return np.concatenate(out)
 
 
 def parity_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -169,6 +182,47 @@ def _sets(n: int):
     return make
 
 
+def _sketches(n: int, num: int, den: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            size, out = [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, n)
+                size.append(len(s))
+                out.append(parity_sketch(s, max([bands.width(b) for b, *_ in bands.of(len(s))], default=8)).tobytes())
+            yield pa.record_batch([batch.column("doc"), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["node", "n", "sketch"])
+
+    return make
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch made narrower: the XOR of its halves is the sketch of half the width."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _near(num: int, den: int):
+    """Pairs that sizes and the distance of their sketches don't rule out."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, a, b in zip(batch.column("sketch_a"), batch.column("sketch_b"), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()):
+                ok = a * num <= b * den and b * num <= a * den
+                if ok:
+                    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                    words = min(len(x), len(y))
+                    apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                    ok = apart * (den + num) <= (a + b) * (den - num)
+                keep.append(ok)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return test
+
+
 def _verify(num: int, den: int):
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,14 +238,17 @@ def _verify(num: int, den: int):
     return test
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, tested where the two sets
-    have been joined; sizes are compared first, so few sets travel in vain."""
-    a = sets.select(F.col("node").alias("_a"), F.col("n").alias("_na"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("node").alias("_b"), F.col("n").alias("_nb"), F.col("set").alias("set_b"))
-    sizes = pairs.join(sets.select(F.col("node").alias("_x"), F.col("n").alias("_nx")), F.col("a") == F.col("_x")).join(sets.select(F.col("node").alias("_y"), F.col("n").alias("_ny")), F.col("b") == F.col("_y"))
-    near = sizes.where((F.col("_nx") * num <= F.col("_ny") * den) & (F.col("_ny") * num <= F.col("_nx") * den)).select("a", "b").distinct()
-    both = staged(near, "near").join(b, F.col("b") == F.col("_b")).join(a, F.col("a") == F.col("_a")).select("a", "b", "set_a", "set_b")
+def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Small sketches rule out
+    nearly all others first; only what is left has its sets made and joined."""
+    a = sketches.select(F.col("node").alias("_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    b = sketches.select(F.col("node").alias("_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    near = staged(both.mapInArrow(_near(num, den), "a long, b long").distinct(), "near")
+    nodes = staged(near.select(F.explode(F.array("a", "b")).alias("_n")).distinct(), "near-nodes")
+    sets = staged(docs.join(small(nodes), F.col("doc") == F.col("_n"), "left_semi").mapInArrow(_sets(n), "node long, n long, set binary"), "sets")
+    a, b = (sets.select(F.col("node").alias(f"_{k}"), F.col("set").alias(f"set_{k}")) for k in "ab")
+    both = near.join(b, F.col("b") == F.col("_b")).join(a, F.col("a") == F.col("_a")).select("a", "b", "set_a", "set_b")
     return staged(both.mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
 
 
@@ -212,75 +269,50 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _compare(num: int, den: int):
-    """Pairs of one block pair of a bucket that lie in different components and
-    whose sketches are near enough for a link."""
+    """Pairs of the block pairs of some buckets that lie in different components
+    and whose sketches are near enough for a link."""
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.vstack([np.frombuffer(s, U) for s in pdf["sketch"]])
-        node, n, label, side = (pdf[c].to_numpy() for c in ("node", "n", "label", "side"))
-        one = pdf["ti"].iat[0] == pdf["tj"].iat[0]
-        left, right = (np.arange(len(pdf)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    def bucket(sketch, node, n, label, side, one: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        words = min(map(len, sketch))
+        sketch = np.vstack([folded(s, words) for s in sketch])
+        left, right = (np.arange(len(node)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         out = []
         for i in left:
-            other = right[label[right] != label[i]]
-            other = other[node[other] > node[i]] if one else other
-            if not len(other):
-                continue
+            other = right[(label[right] != label[i]) & ((node[right] > node[i]) | (not one))]
             apart = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            out.append((np.full((apart * (den + num) <= (n[other] + n[i]) * (den - num)).sum(), node[i]), other[apart * (den + num) <= (n[other] + n[i]) * (den - num)]))
-        a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-        b = node[np.concatenate([y for _, y in out])] if out else np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            other = other[apart * (den + num) <= (n[other] + n[i]) * (den - num)]
+            out.append((np.full(len(other), node[i]), node[other]))
+        return out
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        sketch = [np.frombuffer(s, U) for s in pdf["sketch"]]
+        key, node, n, label, side, ti, tj = (pdf[c].to_numpy() for c in ("key", "node", "n", "label", "side", "ti", "tj"))
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        out = []
+        for x, y in zip(cuts, cuts[1:]):
+            out += bucket(sketch[x:y], node[x:y], n[x:y], label[x:y], side[x:y], ti[x] == tj[x])
+        a = np.concatenate([np.empty(0, np.int64), *(p for p, _ in out)])
+        b = np.concatenate([np.empty(0, np.int64), *(q for _, q in out)])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return across
 
 
-def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs between components in the buckets that still hold several.
-    A large bucket is dealt into blocks, and each pair of blocks is a task's."""
+    Small buckets go to tasks by the dozen; a large one is dealt into blocks, and
+    each pair of blocks is a task's."""
     rows = _labelled(members, labels)
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi and _c > 2").select(F.col("key").alias("_k"), F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi and _c > 2").select(F.col("key").alias("_k"), "_c", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
     mixed = staged(mixed, "mixed")
-    if mixed.isEmpty():
-        return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    sketched = sets.join(small(staged(rows.join(small(mixed), F.col("key") == F.col("_k"), "left_semi").select(F.col("node").alias("_n")).distinct(), "mixed-nodes")), F.col("node") == F.col("_n"), "left_semi")
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for batch in batches:
-            cols: list[list] = [[], [], []]
-            for node, n, raw in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("set")):
-                hashes = np.frombuffer(raw.as_buffer(), U)
-                wide = max([bands.width(b) for b, _, _ in bands.of(n)], default=8)
-                for c, v in zip(cols, (node, n, parity_sketch(hashes, wide).tobytes())):
-                    c.append(v)
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["_n", "n", "sketch"])
-
-    sketched = staged(sketched.select("node", "n", "set").mapInArrow(sketches, "_n long, n long, sketch binary"), "sketches")
+    bins = max(1, (mixed.agg(F.sum("_c")).first()[0] or 0) // BLOCK)
     rows = rows.join(small(mixed), F.col("key") == F.col("_k")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("key", "node", "label", F.least("_own", "_other").alias("ti"), F.greatest("_own", "_other").alias("tj"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
-    rows = rows.join(sketched, F.col("node") == F.col("_n")).select("key", "ti", "tj", "side", "node", "label", "n", "sketch")
-    return staged(rows.groupBy("key", "ti", "tj").applyInPandas(_compare_widths(num, den), "a long, b long").distinct(), "across")
-
-
-def _compare_widths(num: int, den: int):
-    """A document in two bands has the wider sketch; a wide one folds to the
-    narrowest of the block by XOR of its halves, which is the narrower sketch."""
-    compare = _compare(num, den)
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        least = min(map(len, pdf["sketch"]))
-
-        def fold(s: bytes) -> bytes:
-            x = np.frombuffer(s, U)
-            while len(x) * 8 > least:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            return x.tobytes()
-
-        return compare(pdf.assign(sketch=[fold(s) for s in pdf["sketch"]]))
-
-    return across
+    task = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key"))
+    rows = rows.select("key", "node", "label", "_blocks", task.alias("task"), F.least("_own", "_other").alias("ti"), F.greatest("_own", "_other").alias("tj"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    rows = rows.join(sketches.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("key", "_blocks", "task", "ti", "tj", "side", "node", "label", "n", "sketch")
+    return rows.groupBy("_blocks", "task", "ti", "tj").applyInPandas(_compare(num, den), "a long, b long").distinct()
 
 
 def linked_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -302,20 +334,24 @@ def linked_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     classed = signed.join(small(copies), (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & (F.col("n") > 0), "left").withColumn("node", F.coalesce("_first", "doc"))
 
     keyed = classed.where("doc = node").select(F.explode("keys").alias("key"), "node")
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead < _last")
-    buckets = staged(buckets.select(F.col("key").alias("_k"), "lead"), "buckets")
-    members = staged(keyed.join(small(buckets), F.col("key") == F.col("_k")).groupBy("key", "node").agg(F.first("lead").alias("lead")), "members")
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count(F.lit(1)).alias("_c")).where("lead < last")
+    buckets = staged(buckets.select(F.col("key").alias("_k"), "lead", "last", "_c"), "buckets")
+    # the sums of a bucket of two name both its nodes; only larger ones have to be looked up again
+    pairs = buckets.where("_c = 2").select(F.col("_k").alias("key"), F.explode(F.array("lead", "last")).alias("node"), "lead")
+    large = staged(buckets.where("_c > 2").select("_k", "lead"), "large-buckets")
+    found = keyed.join(small(large), F.col("key") == F.col("_k")).groupBy("key", "node").agg(F.first("lead").alias("lead"))
+    members = staged(found.unionByName(pairs), "members")
 
     nodes = staged(members.select(F.col("node").alias("_n")).distinct(), "nodes")
-    sets = staged(docs.join(small(nodes), F.col("doc") == F.col("_n"), "left_semi").mapInArrow(_sets(n), "node long, n long, set binary"), "sets")
+    sketches = staged(docs.join(small(nodes), F.col("doc") == F.col("_n"), "left_semi").mapInArrow(_sketches(n, num, den), "node long, n long, sketch binary"), "sketches")
 
     first = members.where("node <> lead").groupBy("node").agg(F.min("lead").alias("a")).select("a", F.col("node").alias("b"))
-    labels = _relabel(None, _linked(first, sets, num, den))
+    labels = _relabel(None, _linked(first, docs, sketches, n, num, den))
     rows = _labelled(members, labels)
     lead = labels.select(F.col("node").alias("_m"), F.col("root").alias("_s"))
     second = rows.join(lead, F.col("lead") == F.col("_m"), "left").where(F.coalesce("_s", "lead") != F.col("label")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    labels = _relabel(labels, _linked(second, sets, num, den))
-    labels = _relabel(labels, _linked(_across(members, labels, sets, num, den), sets, num, den))
+    labels = _relabel(labels, _linked(second, docs, sketches, n, num, den))
+    labels = _relabel(labels, _linked(_across(members, labels, sketches, num, den), docs, sketches, n, num, den))
 
     out = classed.join(small(labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))), F.col("node") == F.col("_n"), "left")
     public = lambda c: F.when(c != NO_ID, c)

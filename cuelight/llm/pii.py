@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.llm import tagger
+from cuelight.llm.common import own_worker
 from cuelight.llm.tagger import KINDS, WINDOW
 
 STRIDE = WINDOW // 2
@@ -162,6 +163,7 @@ def reconcile(text: str, found: list[tuple[int, int, str, float, bool]], base: l
 
 def all_spans(texts: list[str], model: dict) -> list[tuple[list[Span], list[Span]]]:
     """(base, all) of each text; the windows of all texts share batches."""
+    own_worker("pii", dict)
     base = [base_spans(t) for t in texts]
     found: list[list] = [[] for _ in texts]
     jobs = []
