@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cuelight.llm.common import own_worker
+
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
@@ -33,7 +35,7 @@ WORD_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 APART = "\x1c\x1d\x1e\x1fİ"
 
 #: Entries in the newer of two generations of a cache.
-CACHED = 500_000
+CACHED = 400_000
 RUN = 4096
 
 
@@ -137,9 +139,27 @@ class Encoder:
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes | None]:
         """None for a piece whose ids hang on its neighbours: one that is empty,
-        begins or ends with white space, or has an odd character."""
-        cut = [None if not p or p[0].isspace() or p[-1].isspace() else self.chunk.findall(f" {p}" if self.spaced else p) for p in pieces]
-        return self._join(cut)
+        begins or ends with white space, or has an odd character. A line end
+        takes the place of the space before its piece, and is a chunk itself."""
+        out: dict[str, bytes | None] = {}
+        lead = " " if self.spaced else ""
+        letters = {p: lead + p for p in pieces if p.isalpha()}  # one chunk
+        out.update(zip(letters, map(self.chunks.ready(set(letters.values())), letters.values())))
+        rest = [p for p in pieces if p not in letters]
+        cut: list[list[str] | None] = []
+        for p in rest:
+            if p == "\n" and self.spaced:
+                cut.append([p])
+            elif not p or p[-1].isspace():
+                cut.append(None)
+            elif p[0] == "\n" and self.spaced and not p[1].isspace():
+                cut.append(["\n", *self.chunk.findall(p[1:])])
+            elif p[0].isspace():
+                cut.append(None)
+            else:
+                cut.append(self.chunk.findall(lead + p))
+        out.update(zip(rest, self._join(cut)))
+        return [out[p] for p in pieces]
 
     def _join(self, cut: list[list[str] | None]) -> list[bytes | None]:
         get = self.chunks.ready(set().union(*[c for c in cut if c]))
@@ -169,7 +189,7 @@ class Encoder:
             return []
         rows = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).cast(pa.string(), safe=False)
         if self.spaced:
-            lists = pc.split_pattern(rows, " ")
+            lists = pc.split_pattern(pc.replace_substring(rows, "\n", " \n"), " ")
         else:
             lists = pc.ascii_split_whitespace(pc.ascii_trim(pc.utf8_lower(rows), " \t\n\x0b\x0c\r"))
         ends = lists.offsets.to_numpy()
@@ -179,10 +199,10 @@ class Encoder:
         distinct = flat.dictionary.to_pylist()
         values = list(map(self.pieces.ready(set(distinct)), distinct))
         if self.spaced:  # a text's first piece has no space before it
-            heads = [t[: t.find(" ")] if " " in t else t for t in texts]
+            heads = [t.split("\n", 1)[0].split(" ", 1)[0] for t in texts]
             at[ends[:-1]] = np.arange(len(values), len(values) + len(texts))
             values += self._join([self.chunk.findall(h) if not h[-1:].isspace() else None for h in heads])
-            bad = [False] * len(texts)
+            bad = [t[-1:].isspace() or "\n\n\n" in t or "\n\n " in t for t in texts]  # such runs are cut otherwise
         else:
             at[np.isin(at, [i for i, p in enumerate(distinct) if p == ""])] = len(values)  # of blank texts
             values.append(b"")
@@ -205,6 +225,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One per Python worker and file."""
+    own_worker(f"tokens {path}", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
