@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import arrow_store, html_extract, jaccard, mixing, neighbours, packing, pii, quality, sharding
+from cuelight.llm import arrow_store, html_extract, jaccard, licenses, mixing, neighbours, packing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html_main_text, op2_block_matrix_ann, op4_quality_rules, op5_source_mixing, op6_private_spans, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_block_matrix_ann, op3_license_scan, op4_quality_rules, op5_source_mixing, op6_private_spans, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding)}
 
 
 def oracle_sql():
-    return {"op2_block_matrix_ann": neighbours.oracle(), "op4_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(), "op7_ngram_jaccard": jaccard.oracle()}
+    return {"op2_block_matrix_ann": neighbours.oracle(), "op3_license_scan": licenses.oracle(), "op4_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(), "op7_ngram_jaccard": jaccard.oracle()}
