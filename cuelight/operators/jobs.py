@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from cuelight.functions import text as T
 
@@ -121,17 +125,24 @@ def backoff(attempts: DataFrame, waits=(5, 15, 45, 90)) -> DataFrame:
 
 
 def kept_beats(beats: DataFrame, key: str, ts: str, least_s: int = 20) -> DataFrame:
-    """Beats that pass a limit of one in least_s: each counts from the last kept."""
-    at = F.sort_array(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, t):
-        keep = acc["last"].isNull() | (t - acc["last"] >= least_s * 1_000_000)
-        return F.struct(F.when(keep, t).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(t))).otherwise(acc["kept"]).alias("kept"))
-
-    # a worker's beats of a day: the array's bound
-    rows = beats.groupBy(key, F.to_date(ts).alias("_day")).agg(at.alias("_at"))
-    return rows.select(key, F.explode(F.aggregate("_at", zero, step, lambda a: a["kept"])).alias("at_us"))
+    """Beats that pass a limit of one in least_s: each counts from the last kept,
+    over midnights too. A worker's beats are read in order of time, a batch at a
+    time; all that is held of a worker is the last kept time."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker, last = None, None
+        for batch in batches:
+            mask = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ok = last is None or k != worker or at - last >= least_s * 1_000_000
+                if ok:
+                    worker, last = k, at
+                mask.append(ok)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    rows = beats.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us")).where("at_us is not null")
+    out = t.StructType([rows.schema[key], t.StructField("at_us", t.LongType())])
+    return rows.repartition(key).sortWithinPartitions(key, "at_us").mapInArrow(keep, out)
 
 
 def realtime_factor(stats: DataFrame) -> DataFrame:

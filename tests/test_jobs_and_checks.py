@@ -184,3 +184,14 @@ def test_streams(spark, tmp_path):
     up.write.parquet(str(tmp_path / "up"))
     liveness.latest_wins(spark.readStream.schema(up.schema).parquet(str(tmp_path / "up")), str(tmp_path / "out"), ["id"], "ver").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()] == [(1, "b", 2)]
+
+
+def test_kept_beats_pass_midnight(spark):
+    t0 = dt.datetime(2026, 1, 1, 23, 59, 50)
+    at = [0, 15, 20, 39, 86_400, 86_410, 86_420]
+    rows = [(w, t0 + dt.timedelta(seconds=s)) for s in at for w in ("a", "b", None)] + [("a", None)]
+    beats = spark.createDataFrame(rows, "w string, ts timestamp").repartition(3)
+    first = int(t0.replace(tzinfo=dt.timezone.utc).timestamp())
+    got = sorted((r.w or "", r.at_us // 1_000_000 - first) for r in jobs.kept_beats(beats, "w", "ts", 20).collect())
+    base = min(s for _, s in got)  # the session's time zone
+    assert [(w, s - base) for w, s in got] == [(w, s) for w in ("", "a", "b") for s in (0, 20, 86_400, 86_420)]
