@@ -345,8 +345,12 @@ def linked_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     nodes = staged(members.select(F.col("node").alias("_n")).distinct(), "nodes")
     sketches = staged(docs.join(small(nodes), F.col("doc") == F.col("_n"), "left_semi").mapInArrow(_sketches(n, num, den), "node long, n long, sketch binary"), "sketches")
 
+    # a document of several texts may have a node of its own and some of copies: they are linked by it
+    several = staged(classed.groupBy("doc").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select(F.col("doc").alias("_d"), "_lo"), "several")
+    own = staged(classed.join(small(several), F.col("doc") == F.col("_d")).where("node <> _lo").select(F.col("_lo").alias("a"), F.col("node").alias("b")).distinct(), "own")
+
     first = members.where("node <> lead").groupBy("node").agg(F.min("lead").alias("a")).select("a", F.col("node").alias("b"))
-    labels = _relabel(None, _linked(first, docs, sketches, n, num, den))
+    labels = _relabel(None, _linked(first, docs, sketches, n, num, den).unionByName(own))
     rows = _labelled(members, labels)
     lead = labels.select(F.col("node").alias("_m"), F.col("root").alias("_s"))
     second = rows.join(lead, F.col("lead") == F.col("_m"), "left").where(F.coalesce("_s", "lead") != F.col("label")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -359,17 +363,25 @@ def linked_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those that link to a document of smaller doc_id, with their
-    own columns. Repeated rows of one doc_id are one document: one row stays."""
-    linked = staged(linked_documents(docs, n, num, den), "linked")
+    """One row of docs of each group of linked texts, that of the smallest doc_id
+    (null first), with its own columns; texts decide, whatever their ids, so an id
+    may keep several rows whose texts aren't linked. Rows without words are one
+    document by their doc_id; one stays where no row of that id has words."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    gone = staged(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")).distinct(), "gone")
-    again = staged(linked.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_again")).count().where("count > 1").select("_again"), "again")
-    kept = docs.join(small(gone), key == F.col("_gone"), "left_anti")
-    if again.isEmpty():
-        return kept
-    twice = kept.join(small(again), key == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(again), key == F.col("_again"), "left_anti").unionByName(twice)
+    if docs.groupBy(key.alias("_key")).count().where("count > 1").isEmpty():
+        linked = staged(linked_documents(docs, n, num, den), "linked")
+        gone = staged(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")), "gone")
+        return docs.join(small(gone), key == F.col("_gone"), "left_anti")
+    # ids don't tell rows apart: each row is a document under a number of its own
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = linked_documents(rows.select(F.col("_row").alias("doc_id"), "text"), n, num, den)
+    who = rows.select("_row", key.alias("_key"), F.xxhash64("text").alias("_text"))
+    linked = staged(linked.join(who, F.col("doc_id") == F.col("_row")).select("_row", "_key", "_text", "n_shingles", "component_id"), "linked")
+    some, none = linked.where("n_shingles > 0"), linked.where("n_shingles = 0")
+    best = some.groupBy("component_id").agg(F.min(F.struct("_key", "_text", "_row"))["_row"].alias("_stays")).select("_stays")
+    blank = none.groupBy("_key").agg(F.min("_row").alias("_stays")).join(some.select("_key").distinct(), "_key", "left_anti").select("_stays")
+    stays = staged(best.unionByName(blank), "stays")
+    return rows.join(small(stays), F.col("_row") == F.col("_stays"), "left_semi").select(*docs.columns)
 
 
 def oracle(n: int = 3, num: int = 90, den: int = 100) -> str:

@@ -257,3 +257,25 @@ def test_empty_tables(empty):
     assert arrow_store.read_digests(uri, places).count() == 0
     assert packing.packed_digests(empty).count() == 0 and sharding.shard(empty).count() == 0
     assert SCHEMA
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    t, u, v = (" ".join(f"{k}{i}" for i in range(40)) for k in "tuv")
+    data = [(3, t), (5, t), (5, u), (5, None), (6, u), (7, v), (7, v), (None, t + " more"), (None, v + " end"), (None, "x y"), (8, None), (8, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for n, num, den in ((3, 90, 100), (5, 80, 100)):
+        got = Counter(map(tuple, jaccard.linked_documents(docs, n, num, den).collect()))
+        assert got == brute_components(data, n, num, den)
+
+
+def test_one_of_each_keeps_every_text(spark):
+    """Null and repeated ids: a row of each group of linked texts stays."""
+    t, u, v, w = (" ".join(f"{k}{i}" for i in range(40)) for k in "tuvw")
+    data = [(3, t), (5, t), (5, u), (5, None), (7, t), (7, v + " end"), (None, v), (None, w), (None, w), (None, ""), (8, None), (8, ""), (9, u + " end")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard.one_of_each(docs).collect()))
+    blank = [k for k in got if not k[1]]
+    assert len(blank) == 1 and blank[0][0] == 8
+    assert Counter({k: n for k, n in got.items() if k[1]}) == Counter([(3, t), (5, u), (None, v), (None, w)])
+    third = spark.createDataFrame([(i if i % 3 else None, " ".join(f"a{i}b{k}" for k in range(30))) for i in range(30)], "doc_id long, text string")
+    assert jaccard.one_of_each(third).count() == 30
