@@ -34,12 +34,19 @@ DIGITS = re.compile(r"\d+")
 NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math object canvas noembed noframes".split())
-SKIP = RAW | frozenset("nav header footer aside form button select label menu dialog head audio video map figcaption".split())
+RAW = frozenset("script style noscript template title textarea iframe svg object canvas noembed noframes".split())
+SKIP = RAW | frozenset("nav header footer aside form button select menu dialog head audio video".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose end is implied when one of these starts.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Those an implied end doesn't reach over, and those an end tag doesn't: what is outside of them stays open.
+WITHIN = {"li": {"ul", "ol", "menu", "dir", "dl", "table", "td", "th"}, "dt": {"dl", "table", "td", "th", "ul", "ol"}, "dd": {"dl", "table", "td", "th", "ul", "ol"}} | dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot"), {"table"})
+SCOPE = frozenset("button caption td th table".split())
+#: Those that browsers open again after the end of a parent: they end at their own end tags only.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: Block elements that don't end an open paragraph when they start.
+IN_P = frozenset("body caption html legend tbody td tfoot th thead tr".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 LIKELY = {"article": 1.5, "main": 1.3, "section": 1.0, "div": 1.0, "td": 0.9, "blockquote": 0.8, "body": 0.5}
 #: Words in class or id names, and roles, of what isn't main text.
@@ -47,6 +54,36 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 
 
+def reopened(tag: str, names: list[str]) -> int:
+    """Place, in the open elements names, of the outermost one whose end is
+    implied by a start of tag; -1 where there is none."""
+    place = -1
+    ends = CLOSES.get(tag, set()) | ({"tr", "td", "th"} if tag in ("tbody", "thead", "tfoot") else set())
+    for i in range(len(names) - 1, -1, -1):
+        if names[i] in ends:
+            place = i
+        elif names[i] in WITHIN.get(tag, ()):
+            break
+    if tag in BLOCKS and tag not in IN_P:
+        for i in range(len(names) - 1, -1, -1):
+            if names[i] == "p":
+                return min(i, place) if place >= 0 else i
+            if names[i] in SCOPE:
+                break
+    return place
+
+
+def ended(tag: str, names: list[str]) -> int:
+    """Place of the open element that an end tag ends; -1 where it is a strange one."""
+    within = {"table"} if tag in WITHIN and tag not in ("li", "dt", "dd") else SCOPE | WITHIN.get(tag, frozenset())
+    for i in range(len(names) - 1, -1, -1):
+        if names[i] == tag:
+            return i
+        if names[i] in within and tag not in SKIP and tag not in ("table", "body", "html"):
+            break
+    return -1
+
+
 @dataclass
 class Node:
     """An open or closed element that can hold blocks."""
@@ -79,7 +116,9 @@ def noisy(tag: str, attrs: dict[str, str]) -> bool:
 def parse(text: str) -> Page:
     """Blocks of text outside of noise, in page order, and the containers with
     their scores. Broken markup is read as browsers do in the main: blocks end
-    an open paragraph, strange end tags are passed over, inline tags don't nest."""
+    an open paragraph, strange end tags are passed over, inline tags don't nest.
+    A skipped element ends as others do: at its end tag, at that of a parent, or
+    where the start of another implies its end."""
     page = Page()
     root = Node("", "", False)
     stack = [root]
@@ -111,6 +150,22 @@ def parse(text: str) -> Page:
             node.last = len(page.blocks)
         del stack[k:]
 
+    def names() -> list[str]:
+        return [n.tag for n in stack[1:]] + skip
+
+    def unskip(k: int) -> None:
+        """Ends the open elements from place k on, in a skipped one."""
+        nonlocal kept_header
+        base = len(stack) - 1
+        if k < 0 or k <= base and skip[0] in FORMATTING:
+            return
+        del skip[max(0, k - base) :]
+        if kept_header and not HEADINGS & set(skip):
+            flush()
+            kept_header = 0
+        if k < base:
+            close(k + 1)
+
     at, end = 0, len(text)
     while at < end:
         m = TOKEN.match(text, at)
@@ -120,6 +175,8 @@ def parse(text: str) -> Page:
         at = m.end()
         raw = m[0]
         if raw[0] != "<" or raw == "<":
+            if skip == ["head"] and not raw.isspace():
+                skip.clear()
             if not skip or kept_header:
                 words.append(raw)
                 if not raw.isspace():
@@ -134,7 +191,9 @@ def parse(text: str) -> Page:
                 if kept_header and tag in HEADINGS:
                     flush()
                     kept_header = 0
-                if tag in skip:
+                if tag in BLOCKS:
+                    unskip(ended(tag, names()))
+                elif tag in skip:
                     while skip.pop() != tag:
                         pass
                     if not skip:
@@ -162,6 +221,10 @@ def parse(text: str) -> Page:
             elif tag == "hr" and not skip:
                 flush()
             continue
+        if skip == ["head"]:
+            skip.clear()
+        if skip and tag in BLOCKS:
+            unskip(reopened(tag, names()))
         if skip:
             if tag in BLOCKS or tag in SKIP:
                 skip.append(tag)
@@ -174,6 +237,8 @@ def parse(text: str) -> Page:
         if bad:
             if tag in BLOCKS or tag in SKIP:
                 flush()
+            if tag in BLOCKS and (k := reopened(tag, names())) >= 0:
+                close(k + 1)
             if not m[3].endswith("/"):
                 skip.append(tag)
             continue

@@ -220,3 +220,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     run = P.run(spark, str(tmp_path)).drop("sequence_id").collect()
     assert Counter(run) == Counter(spark.read.parquet(str(tmp_path / "stage4")).drop("sequence_id").collect())
     assert P.run(spark, str(tmp_path)).columns[0] == "doc_id"
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<article><ul><li class="ad">x<li>one<li>two</ul><p>after</article>', ["one", "two", "after"]),
+    ('<article><ul><li>one<li class="ad">x</ul><p>after</article>', ["one", "after"]),
+    ('<article><p>a<p class="promo">x<p>b<p>c</article>', ["a", "b", "c"]),
+    ('<article><p class="promo">x<span>y</article><p>b', ["b"]),
+    ('<table><tr><td class="ad">x<td>b<tr class="ad"><td>y<tr><td>c</table><p>d', ["b", "c", "d"]),
+    ('<dl><dt class="ad">x<dd>b<dt>c</dl>d', ["b", "c", "d"]),
+    ('<html><head><title>t</title><meta name="x"><body><p>a', ["a"]),
+    ('<p>a<div class="ad"><p>x<div>y</div><p>z</div>b', ["a", "b"]),
+    ('<p>a <span class="ad">x<p>b', ["a", "b"]),
+    ('<ul><li>a<ul class="ad"><li>x<li>y</ul>b<li>c</ul>', ["a", "b", "c"]),
+    ('<figure><img src="x"><figcaption>Seen from above</figcaption></figure><p>a <label>b</label> <math><mi>c</mi></math>', ["Seen from above", "a b c"]),
+])
+def test_skipped_elements_end_where_their_ends_are_implied(html, want):
+    assert html_extract.parse(html).blocks == want
