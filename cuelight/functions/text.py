@@ -29,9 +29,13 @@ TRANSIENT_MARKS = ("429", "500 internal", "502", "503", "504", "high demand", "i
 MODEL_SETTINGS = ("apply_watermark", "crossfade_p", "max_chars", "max_new_frames", "repetition_penalty", "repetition_window", "silence_p", "temperature", "top_k", "top_p", "use_ref_codes")
 
 
+#: The characters of SPACE.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(s: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(s, rf"^{SPACE}|{SPACE}$", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def tokens(s: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,18 @@ def duck_hops(rms: Column, duck_gain: float) -> Column:
     """Gain of the bed at each hop: it falls while someone speaks and recovers
     after, each step a part of the way that hangs on the direction."""
     attack, release = 1 - float(np.exp(-1 / (ATTACK_S * 100))), 1 - float(np.exp(-1 / (RELEASE_S * 100)))
-    zero = F.struct(F.lit(1.0).alias("g"), F.array().cast("array<double>").alias("out"))
 
-    def step(acc, r):
-        target = F.when(r > 10 ** (SPEECH_DBFS / 20), F.lit(duck_gain)).otherwise(1.0)
-        g = acc["g"] + (target - acc["g"]) * F.when(target < acc["g"], attack).otherwise(release)
-        return F.struct(g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(rms, zero, step, lambda a: a["out"])
+    def follow(hops_: pa.Array) -> pa.Array:
+        out = []
+        for r in hops_:
+            g, gains = 1.0, []
+            for target in (duck_gain if x > 10 ** (SPEECH_DBFS / 20) else 1.0 for x in r.as_py() or ()):
+                g += (target - g) * (attack if target < g else release)
+                gains.append(g)
+            out.append(gains if r.is_valid else None)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(follow, "array<double>")(rms)
 
 
 def duck_curve(clips: DataFrame, samples: str, hop: int, duck_gain: float) -> DataFrame:

@@ -1,17 +1,25 @@
 """From word timings to cues a viewer can read.
 
-Ordered folds within a segment are higher-order functions over its words; the
-merge of slivers, which runs over a whole file, is a grouped Arrow function.
+Folds over a segment's words are Arrow functions that take time in proportion to
+the words: repairs are running maxima over the flattened words of a batch, cuts
+one pass. A segment's cues are slices of its words, so cutting shuffles nothing.
+Slivers are merged in one pass over rows sorted by file, of which only the last
+cue is held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from cuelight.functions import text as T
 
@@ -33,6 +41,48 @@ class Shape:
 WORD = "struct<word:string,start:double,end:double,score:double>"
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _as_lists(lengths: np.ndarray, values: pa.Array, like: pa.Array) -> pa.Array:
+    """Values as lists of these lengths; null where `like` is."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, values, mask=pc.is_null(like) if like.null_count else None)
+
+
+def _placed(words: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+    n = _lengths(words)
+    flat = words.flatten()
+    part = lambda k: pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(float)
+    start, end = part("start"), part("end")
+    row = np.repeat(np.arange(len(n)), n)
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.empty(0, bool)
+    last = np.concatenate([first[1:], [True]]) if len(row) else first
+    # a word with a start anchors those without one that follow; their cursor is the furthest end since it
+    known = ~np.isnan(start)
+    reach = np.where(known, np.where(np.isnan(end), start, np.maximum(start, end)), np.where(np.isnan(end), -np.inf, end))
+    reach = np.where(first & ~known, np.maximum(reach, lo.to_numpy(zero_copy_only=False)[row]), reach)
+    end = pd.Series(reach).groupby(np.cumsum(first | known)).cummax().to_numpy()
+    start = np.where(known, start, np.where(first, lo.to_numpy(zero_copy_only=False)[row], np.concatenate([[0.0], end[:-1]]) if len(row) else end))
+    # inside the segment a word without length lasts until the next
+    flatness = (end <= start) & ~last
+    if len(row):
+        end = np.where(flatness, np.maximum(start, np.append(start[1:], 0.0)), end)
+        # what has no length at the segment's end shares the rest of it
+        at = np.arange(len(row))
+        tail = pd.Series(np.where(end > start, at, -1)).groupby(row).transform("max").to_numpy()
+        head = np.concatenate([[0], np.cumsum(n)])[row]
+        tail = np.where(tail < 0, head, tail + 1)
+        size = np.concatenate([[0], np.cumsum(n)])[row + 1] - tail
+        begin = start[np.minimum(tail, len(row) - 1)]
+        rest = hi.to_numpy(zero_copy_only=False)[row]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            end = np.where((at >= tail) & (rest > begin), begin + (rest - begin) / size * (at - tail + 1), end)
+    out = pa.StructArray.from_arrays([pc.struct_field(flat, "word"), pa.array(start), pa.array(end), pc.struct_field(flat, "score")], ["word", "start", "end", "score"])
+    return _as_lists(n, out, words)
+
+
 def repaired(words: Column, seg_start: Column, seg_end: Column) -> Column:
     """Every non-blank word with a start and an end.
 
@@ -42,31 +92,7 @@ def repaired(words: Column, seg_start: Column, seg_end: Column) -> Column:
     """
     ws = F.filter(F.coalesce(words, F.array().cast(f"array<{WORD}>")), lambda w: T.strip(F.coalesce(w["word"], F.lit(""))) != "")
     lo = F.coalesce(seg_start, F.lit(0.0)).cast("double")
-    hi = F.coalesce(seg_end, lo).cast("double")
-    zero = F.struct(lo.alias("cursor"), F.array().cast(f"array<{WORD}>").alias("out"))
-
-    def step(acc, w):
-        start = F.coalesce(w["start"], acc["cursor"]).cast("double")
-        end = F.greatest(F.coalesce(w["end"], start).cast("double"), start)
-        placed = F.struct(w["word"].alias("word"), start.alias("start"), end.alias("end"), w["score"].cast("double").alias("score"))
-        return F.struct(end.alias("cursor"), F.concat(acc["out"], F.array(placed)).alias("out"))
-
-    placed = F.aggregate(ws, zero, step, lambda acc: acc["out"])
-    put_end = lambda w, end: F.struct(w["word"].alias("word"), w["start"].alias("start"), end.alias("end"), w["score"].alias("score"))
-
-    def borrow(ws_):
-        return F.transform(ws_, lambda w, i: F.when((w["end"] <= w["start"]) & (i < F.size(ws_) - 1), put_end(w, F.greatest(w["start"], F.get(ws_, i + 1)["start"]))).otherwise(w))
-
-    def spread(ws_):
-        # the last word that has a length ends the placed part
-        last = F.aggregate(F.transform(ws_, lambda w, i: F.when(w["end"] > w["start"], i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-        n = F.size(ws_) - last
-        first = F.get(ws_, last)["start"]
-        share = (hi - first) / n
-        return F.when((n > 0) & (hi > first), F.transform(ws_, lambda w, i: F.when(i >= last, put_end(w, first + share * (i - last + 1))).otherwise(w))).otherwise(ws_)
-
-    one = lambda x, f: F.flatten(F.transform(F.array(x), f))  # noqa: E731  binds an array to a name
-    return one(one(placed, borrow), spread)
+    return F.arrow_udf(_placed, f"array<{WORD}>")(ws.cast(f"array<{WORD}>"), lo, F.coalesce(seg_end, lo).cast("double"))
 
 
 def mean_score(words: Column) -> Column:
@@ -74,6 +100,30 @@ def mean_score(words: Column) -> Column:
     return F.when(F.size(known) > 0, F.bround(F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / F.size(known), 3))
 
 
+def _cutter(shape: Shape):
+    def cut(words: pa.Array, sizes: pa.Array, gaps: pa.Array) -> pa.Array:
+        n = _lengths(words)
+        flat = words.flatten()
+        start, end = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).tolist() for k in ("start", "end"))
+        size, out, at = sizes.flatten().to_numpy(zero_copy_only=False).tolist(), [], 0
+        for count, gap in zip(n.tolist(), gaps.to_pylist()):
+            cue, chars, since = 0, -1, 0.0  # chars: of the open cue, -1 where none is open
+            for i in range(at, at + count):
+                ends, length = size[i] < 0, abs(size[i])
+                if chars >= 0 and start[i] - end[i - 1] < shape.pause and end[i] - since <= shape.max_seconds and chars + gap + length <= shape.max_chars:
+                    chars += gap + length
+                else:
+                    cue += chars >= 0
+                    chars, since = length, start[i]
+                out.append(cue)
+                if ends and chars >= shape.max_chars // 3:
+                    cue, chars = cue + 1, -1
+            at += count
+        return _as_lists(n, pa.array(out, pa.int32()), words)
+
+    return F.arrow_udf(cut, "array<int>")
+
+
 def cut_numbers(words: Column, language: Column, shape: Shape = Shape()) -> Column:
     """The number of the cue each word of a segment falls in.
 
@@ -82,20 +132,9 @@ def cut_numbers(words: Column, language: Column, shape: Shape = Shape()) -> Colu
     enough text by then.
     """
     gap = F.when(language.isin(*T.NO_SPACE), 0).otherwise(1)
-    first = F.struct(F.lit(0).alias("cue"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, w):
-        word = T.strip(w["word"])
-        has = acc["start"].isNotNull()
-        chars = acc["chars"] + gap + F.length(word)
-        new = has & ((w["start"] - acc["end"] >= shape.pause) | (w["end"] - acc["start"] > shape.max_seconds) | (chars > shape.max_chars))
-        cue = acc["cue"] + new.cast("int")
-        total = F.when(has & ~new, chars).otherwise(F.length(word))
-        ends = F.substring(word, -1, 1).isin(*T.SENTENCE_END) & (total >= shape.max_chars // 3)
-        start = F.when(~ends, F.when(has & ~new, acc["start"]).otherwise(w["start"]))
-        return F.struct((cue + ends.cast("int")).alias("cue"), start.alias("start"), F.when(~ends, w["end"]).alias("end"), F.when(ends, 0).otherwise(total).alias("chars"), F.concat(acc["out"], F.array(cue)).alias("out"))
-
-    return F.aggregate(words, first, step, lambda acc: acc["out"])
+    # lengths, those of words that end a sentence below zero
+    sizes = F.transform(F.transform(words, lambda w: T.strip(w["word"])), lambda x: F.when(F.substring(x, -1, 1).isin(*T.SENTENCE_END), -F.length(x)).otherwise(F.length(x)))
+    return _cutter(shape)(words, sizes, gap)
 
 
 def rough_cues(segments: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -104,39 +143,57 @@ def rough_cues(segments: DataFrame, shape: Shape = Shape()) -> DataFrame:
     one whose words score as junk is dropped."""
     rows = segments.withColumn("_w", repaired(F.col("words"), F.col("start"), F.col("end")))
     bare = rows.where(F.size("_w") == 0).select("file", "language", "seg", F.lit(0).alias("cue"), F.coalesce("start", F.lit(0.0)).cast("double").alias("start"), F.coalesce("end", F.lit(0.0)).cast("double").alias("end"), T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.array().cast("array<double>").alias("scores"))
-    rows = rows.where(F.size("_w") > 0).where(F.coalesce(mean_score(F.col("_w")) >= shape.junk, F.lit(True))).withColumn("_c", cut_numbers(F.col("_w"), F.col("language"), shape))
-    words = rows.select("file", "language", "seg", F.posexplode(F.arrays_zip(F.col("_w").alias("w"), F.col("_c").alias("c"))).alias("pos", "x")).select("file", "language", "seg", "pos", F.col("x.c").alias("cue"), "x.w.*")
+    rows = rows.where(F.size("_w") > 0).where(F.coalesce(mean_score(F.col("_w")) >= shape.junk, F.lit(True)))
+    words = rows.select("file", "language", "seg", F.col("_w").alias("words"), cut_numbers(F.col("_w"), F.col("language"), shape).alias("cues"))
     return rolled_up(words).unionByName(bare).where("text <> ''")
 
 
-def rolled_up(words: DataFrame) -> DataFrame:
-    """Words (file, language, seg, cue, pos, word, start, end, score) to cues."""
-    g = words.groupBy("file", "language", "seg", "cue").agg(
-        F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"), F.sort_array(F.collect_list(F.struct("pos", "word", "score"))).alias("_w"))
+def rolled_up(segments: DataFrame) -> DataFrame:
+    """Segments (file, language, seg, words, and cues, the rising number of each
+    word's cue) to cues. A cue is a slice of its segment's words."""
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is computed once
+    n = F.size("words")
+    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("cues", i) != F.get("cues", i - 1)))
+    part = lambda f, a, k: F.slice("words", a + 1, F.coalesce(F.get(f, k + 1), n) - a)
+    slices = bind(firsts, lambda f: F.transform(f, lambda a, k: F.struct(F.get("cues", a).alias("cue"), part(f, a, k).alias("w"))))
+    rows = segments.where(n > 0).select("file", "language", "seg", F.explode(slices).alias("c")).select("file", "language", "seg", "c.cue", F.col("c.w").alias("_w"))
     scores = F.filter(F.transform("_w", lambda w: w["score"]), lambda s: s.isNotNull())
-    return g.select("file", "language", "seg", "cue", "start", "end", T.join_words(F.transform("_w", lambda w: w["word"]), F.col("language")).alias("text"), scores.alias("scores"))
+    return rows.select("file", "language", "seg", "cue", F.get("_w", F.lit(0))["start"].alias("start"), F.element_at("_w", -1)["end"].alias("end"), T.join_words(F.transform("_w", lambda w: w["word"]), F.col("language")).alias("text"), scores.alias("scores"))
 
 
 def merge_slivers(cues: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """file, pos, start, end, text, score: a cue too short joins the one before
     it, unless a pause parts them or the two would be too long."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in pdf.sort_values(["seg", "cue"]).itertuples():
-            sep = "" if r.language in T.NO_SPACE else " "
-            scores = list(r.scores) if r.scores is not None else []
-            if out and (r.end - r.start < shape.sliver_seconds or len(r.text) < shape.sliver_chars) and r.start - out[-1][2] < shape.pause:
-                joined = f"{out[-1][3]}{sep}{r.text}".strip()
-                if len(joined) <= shape.max_chars and r.end - out[-1][1] <= shape.max_seconds:
-                    out[-1][2:] = [r.end, joined, out[-1][4] + scores]
-                    continue
-            out.append([r.file, r.start, r.end, r.text, scores])
-        rows = [(f, k, s, e, t, round(sum(sc) / len(sc), 3) if sc else None) for k, (f, s, e, t, sc) in enumerate(out)]
-        return pd.DataFrame(rows, columns=["file", "pos", "start", "end", "text", "score"])
-
-    kind = cues.schema["file"].dataType.simpleString()
-    return cues.groupBy("file").applyInPandas(merge, f"file {kind}, pos int, start double, end double, text string, score double")
+    of = t.StructType([cues.schema["file"], *(t.StructField(n, k) for n, k in (("pos", t.IntegerType()), ("start", t.DoubleType()), ("end", t.DoubleType()), ("text", t.StringType()), ("score", t.DoubleType())))])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # file, pos, start, end, text, sum and number of scores
+        for batch in batches:
+            done = []
+            for file, language, start, end, text, scores in zip(*(batch.column(c).to_pylist() for c in COLUMNS)):
+                total, n = sum(scores or (), 0.0), len(scores or ())
+                if held and held[0] == file:
+                    sliver = end - start < shape.sliver_seconds or len(text) < shape.sliver_chars
+                    both = (held[4] + ("" if language in T.NO_SPACE else " ") + text).strip() if sliver and start - held[3] < shape.pause else None
+                    if both is not None and len(both) <= shape.max_chars and end - held[2] <= shape.max_seconds:
+                        held[3:] = end, both, held[5] + total, held[6] + n
+                        continue
+                if held:
+                    done.append(held)
+                held = [file, held[1] + 1 if held and held[0] == file else 0, start, end, text, total, n]
+            yield rows(done, batch.schema.field("file").type)
+        if held:
+            yield rows([held], batch.schema.field("file").type)
+
+    def rows(done: list[list], of_file: pa.DataType) -> pa.RecordBatch:
+        cols = [[r[k] for r in done] for k in range(5)]
+        types = (of_file, pa.int32(), pa.float64(), pa.float64(), pa.string())
+        score = [round(r[5] / r[6], 3) if r[6] else None for r in done]
+        return pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, types)), pa.array(score, pa.float64())], names=["file", "pos", "start", "end", "text", "score"])
+
+    COLUMNS = ("file", "language", "start", "end", "text", "scores")
+    ordered = cues.repartition("file").sortWithinPartitions("file", "seg", "cue").select(*COLUMNS)
+    return ordered.mapInArrow(merge, of)
 
 
 def finalise(cues: DataFrame, shape: Shape = Shape()) -> DataFrame:

@@ -58,7 +58,9 @@ with takes as (select l_orderkey cue_id, l_linenumber attempt, round_even(1 - l_
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a document's lines: each word with integer-millisecond timings, some left out."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seg", "line"))
+    # the made words take many times the room of the text, so texts of few files are dealt over all cores first
+    texts = read(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition(spark.sparkContext.defaultParallelism)
+    d = texts.select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seg", "line"))
     ws = F.filter(F.split("line", " "), lambda w: w != "")
     seg = d.select("doc_id", "lang", "seg", "line", ws.alias("ws")).where(F.size("ws") > 0)
     k = F.col("doc_id") + F.col("seg")
