@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -17,9 +16,8 @@ from cuelight.functions import text as T
 SAME_WORD = 0.82
 
 
-def _folded(word: str) -> str:
-    parts = unicodedata.normalize("NFD", word.replace("đ", "d").replace("Đ", "D"))
-    return "".join(c for c in parts if unicodedata.category(c) != "Mn")
+#: Letters without their marks, and marks alone gone.
+PLAIN = str.maketrans(*T.accent_table()) | dict.fromkeys(range(0x300, 0x370))
 
 
 def likest(word: str, left: list[str], same: float) -> int | None:
@@ -47,8 +45,8 @@ def match_words(want: list[str], heard: list[str], same: float = SAME_WORD) -> t
     for word in want:
         place = likest(word, left, same)
         if place is None:
-            plain = _folded(word)
-            place = next((k for k, other in enumerate(left) if _folded(other) == plain), None)
+            plain = word.translate(PLAIN)
+            place = next((k for k, other in enumerate(left) if other.translate(PLAIN) == plain), None)
             (missing if place is None else tonal).append(word)
         if place is not None:
             del left[place]
@@ -103,6 +101,12 @@ def verdict(rows: DataFrame, coverage: str = "coverage", clip_ms: str = "clip_ms
     return rows.withColumn("status", status).withColumn("cer", F.when(none | silent, 1.0).otherwise(F.bround(1 - cov, 4))).withColumn("note", note)
 
 
+def take_means(best: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Mean coverage and likeness over best takes, 0 where there is none."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}")
+    return best.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("takes"), mean("coverage"), mean("similarity"))
+
+
 def best_of(*options: Callable[[], str]) -> str:
     """The first option that works; the last one's error if none does."""
     for k, f in enumerate(options):
