@@ -26,6 +26,8 @@ NO_SPACE = ("ja", "km", "lo", "my", "th", "yue", "zh")
 SENTENCE_END = ".?!…。！？"
 TRANSIENT_CODES = (429, 500, 502, 503, 504)
 TRANSIENT_MARKS = ("429", "500 internal", "502", "503", "504", "high demand", "internal server error", "overloaded", "rate limit", "resource_exhausted", "timed out", "timeout", "unavailable")
+#: The marks as a pattern, read alike by Java and Python; they hold no special characters.
+TRANSIENT_PATTERN = "|".join(TRANSIENT_MARKS)
 MODEL_SETTINGS = ("apply_watermark", "crossfade_p", "max_chars", "max_new_frames", "repetition_penalty", "repetition_window", "silence_p", "temperature", "top_k", "top_p", "use_ref_codes")
 
 
@@ -126,11 +128,7 @@ def language_code(name: Column) -> Column:
 
 def is_transient(code: Column, message: Column) -> Column:
     """An API failure worth another try: by status, or by what the message says."""
-    low = F.lower(F.coalesce(message, F.lit("")))
-    said = F.lit(False)
-    for mark in TRANSIENT_MARKS:
-        said = said | low.contains(mark)
-    return F.coalesce(code.isin(*TRANSIENT_CODES), F.lit(False)) | said
+    return F.coalesce(code.isin(*TRANSIENT_CODES), F.lit(False)) | F.coalesce(message, F.lit("")).rlike(f"(?i){TRANSIENT_PATTERN}")
 
 
 def model_settings(settings: Column) -> Column:
@@ -174,3 +172,36 @@ def dbfs(samples: Column, floor: float = -99.0) -> Column:
 
 def gain(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / 20)
+
+
+def cue_file(idx: Column) -> Column:
+    return F.format_string("cue_%05d.wav", idx.cast("int"))
+
+
+def line_file(idx: Column, ext: str = "wav") -> Column:
+    """Name of a line, counted from 1, in an archive."""
+    return F.format_string(f"%04d.{ext}", idx.cast("int") + 1)
+
+
+def job_path(owner: Column, job: Column, name: Column) -> Column:
+    return F.concat_ws("/", owner.cast("string"), job.cast("string"), name)
+
+
+def worker_label(label: Column, notebook: Column, pod: Column, host: Column) -> Column:
+    """How a worker is shown: its own label, else the notebook service, else its
+    pod's first eight characters, else its host."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(label), F.when(notebook, "Colab"), F.concat(F.lit("RunPod "), F.substring(some(pod), 1, 8)), some(host), F.lit("worker"))
+
+
+def device(spec: Column, cuda: Column) -> Column:
+    """struct(name, index) of 'cuda:1' and the like; cuda where none is named,
+    the processor where there is no cuda; index 0 where none is given."""
+    spec = F.coalesce(F.nullif(spec, F.lit("")), F.lit("cuda"))
+    name, index = F.split_part(spec, F.lit(":"), F.lit(1)), F.regexp_extract(spec, "^[^:]*:([0-9]+)$", 1)
+    return F.struct(F.when((name == "cuda") & ~cuda, "cpu").otherwise(name).alias("name"), F.coalesce(F.nullif(index, F.lit("")).cast("int"), F.lit(0)).alias("index"))
+
+
+def compute_type(name: Column, memory_gb: Column) -> Column:
+    """Half precision where the device's memory holds two models, or isn't known."""
+    return F.when(name != "cuda", "int8").when(memory_gb < 10, "int8_float16").otherwise("float16")

@@ -39,6 +39,41 @@ def captions(cues: DataFrame, text: str = "source_text") -> DataFrame:
     return cues.withColumn("spoken", ~T.is_caption(F.col(text)) | F.coalesce(F.col("read_captions"), F.lit(False)) | (F.coalesce(F.col("kind"), F.lit("")) == "tts"))
 
 
+def pending_translation(cues: DataFrame) -> DataFrame:
+    return cues.where(F.coalesce(F.col("translated_at").cast("string"), F.lit("")) == "")
+
+
+def pending_adaptation(cues: DataFrame) -> DataFrame:
+    """Cues without a rewrite: those that have one aren't paid for again."""
+    return cues.where(T.non_blank(F.col("final_text")).isNull())
+
+
+def dispatched(jobs: DataFrame) -> DataFrame:
+    """kind with its default, and work: what a worker does with the job."""
+    rows = jobs.withColumn("kind", F.coalesce(F.nullif("kind", F.lit("")), F.lit("subtitles")))
+    return rows.withColumn("work", F.when(F.col("kind") == "transcribe", "transcribe").otherwise("render"))
+
+
+def inserted(cues: DataFrame) -> DataFrame:
+    """status and note of cues new from a transcription; transcript_text is what was heard, which is spoken until it is translated."""
+    doubtful = F.coalesce("low_confidence", F.lit(False))
+    return cues.withColumns({"source_text": F.col("text"), "transcript_text": F.col("text"), "status": F.when(doubtful, "review").otherwise("pending"), "note": F.when(doubtful, "low confidence transcription — check this line")})
+
+
+def render_counters(cues: DataFrame) -> DataFrame:
+    """Per job, before it is rendered: cues in all, those done already (not
+    spoken, or kept from before), and kept ones to review. cues: spoken, render."""
+    kept = F.col("spoken") & ~F.col("render")
+    return cues.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_cues"), F.count_if(~F.col("spoken") | kept).alias("done_cues"), F.count_if(kept & F.col("status").isin("review", "qc_fail")).alias("review_cues"))
+
+
+def recombined(kept: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """Clips of a job after a second pass: fresh ones, and kept ones that were
+    not made again, in order of the keys."""
+    old = kept.join(fresh.select(*keys), keys, "left_anti")
+    return fresh.unionByName(old.select(*fresh.columns)).orderBy(*keys)
+
+
 def cue_voice(cue: Column, job: Column) -> Column:
     return F.coalesce(F.nullif(cue, F.lit("")), job)
 
@@ -56,6 +91,22 @@ def preset_known(rows: DataFrame, presets: DataFrame, column: str = "preset") ->
     return rows.join(names, F.col(column) == F.col("_name"), "left").join(F.broadcast(empty)).withColumn("known", F.col("_empty") | F.col("_name").isNotNull()).drop("_name", "_empty")  # one row
 
 
+def studio_lines(lines: DataFrame, voices: DataFrame, presets: DataFrame) -> DataFrame:
+    """lines (preset, voice_id, job_preset, job_voice_id) with voice and error:
+    the voice each is read in, and why it can't be. A preset must be known, a
+    recorded voice exist, with consent and a recording."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    rows = lines.withColumn("voice", studio_voice(F.col("preset"), F.col("voice_id"), F.col("job_preset"), F.col("job_voice_id")))
+    # the choice's own source: a line's voice stands before the job's preset
+    of_preset = some(F.col("preset")).isNotNull() | (some(F.col("voice_id")).isNull() & some(F.col("job_preset")).isNotNull())
+    rows = rows.withColumn("_preset", F.when(of_preset, F.col("voice"))).withColumn("_voice", F.when(~of_preset, F.coalesce(some(F.col("voice_id")), some(F.col("job_voice_id")))))
+    rows = preset_known(rows, presets, "_preset")
+    v = voice_errors(voices).select(F.col("id").alias("_id"), F.col("error").alias("_error"))
+    rows = rows.join(v, F.col("_voice") == F.col("_id"), "left")
+    error = F.when(F.col("voice").isNull(), "no voice named").when(F.col("_preset").isNotNull(), F.when(~F.col("known"), "unknown preset")).when(F.col("_id").isNull(), "no such voice").otherwise(F.col("_error"))
+    return rows.withColumn("error", error).drop("_preset", "_voice", "known", "_id", "_error")
+
+
 def voice_errors(voices: DataFrame) -> DataFrame:
     """Adds error: why a voice can't be used."""
     return voices.withColumn("error", F.when(F.col("id").isNull(), "no such voice").when(~F.coalesce("consent_confirmed", F.lit(False)), "no consent").when(F.coalesce(F.nullif("sample_path", F.lit("")), F.lit(None)).isNull(), "no recording"))
@@ -67,19 +118,53 @@ def gaps(beats: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     return beats.withColumn("gap_s", F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(late.cast("timestamp"))).where(F.col("gap_s") > seconds)
 
 
+def _is_stalled(now: Column, minutes: int) -> Column:
+    return ~F.col("status").isin("queued", "done", "failed") & (F.col("heartbeat_at") < now - F.make_dt_interval(mins=F.lit(minutes)))
+
+
 def stalled(jobs: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
-    return jobs.where(~F.col("status").isin("queued", "done", "failed") & (F.col("heartbeat_at") < now - F.make_dt_interval(mins=F.lit(minutes))))
+    return jobs.where(_is_stalled(now, minutes))
 
 
-def presence(beats: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
-    """Each worker's last beat, its age, and whether it passes for alive: 75
-    seconds when idle, three minutes when busy, not at all once stopped."""
+def requeued(jobs: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
+    """jobs with the stalled ones back in the queue, without their worker."""
+    rows = jobs.withColumn("_stalled", F.coalesce(_is_stalled(now, minutes), F.lit(False)))
+    back = rows.withColumn("status", F.when(F.col("_stalled"), "queued").otherwise(F.col("status")))
+    return back.withColumn("worker_label", F.when(~F.col("_stalled"), F.col("worker_label"))).drop("_stalled")
+
+
+def pruned_workers(workers: DataFrame, now: Column, hours: int = 72) -> DataFrame:
+    """workers seen in the last `hours`; those never seen go too."""
+    return workers.where(F.col("last_seen_at").cast("timestamp") >= now - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def last_beats(beats: DataFrame, key: str, ts: str) -> DataFrame:
     last = beats.groupBy(key).agg(F.max(F.struct(F.col(ts).alias("at"), F.col("status"))).alias("_l"), F.count(F.lit(1)).alias("beats"))
-    rows = last.select(key, "beats", F.col("_l.at").alias("last_seen"), F.col("_l.status").alias("status"))
-    rows = rows.withColumn("age_s", F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp")))
+    return last.select(key, "beats", F.col("_l.at").alias("last_seen"), F.col("_l.status").alias("status"))
+
+
+def liveness(last: DataFrame, now: Column) -> DataFrame:
+    """Adds age_s and alive to last beats: 75 seconds when idle, three minutes
+    when busy, not at all once stopped. now may be a column of the rows."""
+    rows = last.withColumn("age_s", F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp")))
     return rows.withColumn("alive", F.when(F.col("status") == "stopped", False).when(F.col("status") == "busy", F.col("age_s") <= 180).otherwise(F.col("age_s") <= 75))
 
 
+def presence(beats: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
+    """Each worker's last beat, its age, and whether it passes for alive."""
+    return liveness(last_beats(beats, key, ts), now)
+
+
+def until_switched_off(writes: DataFrame, key: str, ts: str, ok: str, most: int = 3) -> DataFrame:
+    """Presence writes that are tried: a worker stops for good after `most`
+    failures on end, as its table is missing then; a success starts the count anew."""
+    w = W.partitionBy(key).orderBy(ts)
+    failed = ~F.coalesce(F.col(ok), F.lit(False))
+    last = F.count_if(failed).over(w.rowsBetween(-(most - 1), 0)) == most
+    rows = writes.withColumn("_off", last.cast("int"))
+    return rows.withColumn("_before", F.coalesce(F.max("_off").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where("_before = 0").drop("_off", "_before")
+
+
 def sessions(events: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
     """Runs of events without a gap of gap_s or more: start, end, n."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))

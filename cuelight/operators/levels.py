@@ -13,7 +13,7 @@ from cuelight.functions import text as T
 # Levels in dBFS, times in seconds.
 SPEECH_DBFS, TARGET_DBFS, MOST_BOOST_DB = -45.0, -20.0, 12.0
 ATTACK_S, RELEASE_S = 0.05, 0.40
-SILENT_DBFS, DEFICIT_DB = -50.0, 20.0
+SILENT_DBFS, DEFICIT_DB, RESIDUAL_DB = -50.0, 20.0, -20.0
 
 
 def hops(samples: Column, hop: int) -> Column:
@@ -66,6 +66,16 @@ def thin_bed(bed_dbfs: Column, mix_dbfs: Column) -> Column:
     return (bed_dbfs <= SILENT_DBFS) | (mix_dbfs - bed_dbfs >= DEFICIT_DB)
 
 
+def blended(bed: Column, residual: Column, thin: Column, residual_db: float | None = RESIDUAL_DB) -> Column:
+    """A thin bed with what separation left over added at a low level; other beds as they are."""
+    if residual_db is None:
+        return bed
+    level = 10 ** (residual_db / 20)
+    n = F.least(F.size(bed), F.size(residual))
+    added = F.transform(bed, lambda x, i: F.when(i < n, x + F.get(residual, i) * level).otherwise(x))
+    return F.when(thin & residual.isNotNull(), added).otherwise(bed)
+
+
 def mixed(bed: Column, gain: Column, voice: Column, bed_gain_db: float = 0.0) -> Column:
     """Voice over the ducked bed, scaled down to a peak of 0.98 if it is over."""
     level = 10 ** (bed_gain_db / 20)

@@ -57,16 +57,22 @@ def assign(cues: DataFrame, file: str = "job_id", text: str = "source_text", lea
     return out.withColumn("spoken", F.when(F.col("speaker").isNotNull(), F.col("_c.spoken")).otherwise(T.strip(T.strip_markup(F.col(text))))).drop("_c")
 
 
-def cast(assigned: DataFrame, file: str = "job_id") -> DataFrame:
-    """Lines of each speaker of a file and their share of its cues in percent."""
+def cast(assigned: DataFrame, file: str = "job_id", order: str = "idx") -> DataFrame:
+    """Lines of each speaker of a file, their share of its cues in percent, and
+    the first cue they speak."""
     n = F.count(F.lit(1)).over(W.partitionBy(file))
     rows = assigned.withColumn("_n", n).where("speaker is not null")
-    return rows.groupBy(file, "speaker").agg(F.count(F.lit(1)).alias("lines"), (100 * F.count(F.lit(1)) / F.max("_n")).alias("share"))
+    return rows.groupBy(file, "speaker").agg(F.count(F.lit(1)).alias("lines"), (100 * F.count(F.lit(1)) / F.max("_n")).alias("share"), F.min(order).alias("first"))
 
 
 def describe(cast_rows: DataFrame, file: str = "job_id") -> DataFrame:
-    """One line a file: its speakers, most lines first."""
-    return cast_rows.groupBy(file).agg(F.expr("concat(count(1), ' speaker(s): ', listagg(concat(speaker, ' (', lines, ')'), ', ') within group (order by lines desc, speaker))").alias("cast"))
+    """One line a file: its speakers, most lines first, and who speaks first where equal."""
+    return cast_rows.groupBy(file).agg(F.expr("concat(count(1), ' speaker(s): ', listagg(concat(speaker, ' (', lines, ')'), ', ') within group (order by lines desc, first, speaker))").alias("cast"))
+
+
+def spoken_text(final: Column, source: Column, speaker: Column) -> Column:
+    """What is spoken for a cue: its rewrite, or where that is blank its source, without its speaker's label."""
+    return strip_label(F.coalesce(T.non_blank(final), source), speaker)
 
 
 def strip_label(text: Column, speaker: Column) -> Column:

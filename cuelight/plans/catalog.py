@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
-from cuelight.operators import fit, jobs, levels, providers, qc, shaping, speakers, timeline, verify
+from cuelight.operators import fit, jobs, levels, qc, shaping, speakers, timeline, verify
 from cuelight.plans import proxies as P
 from cuelight.plans.proxies import CUES, TAKES
 from cuelight.sources import srt, tables
@@ -93,13 +93,6 @@ def rewrite_prompt(spark, sf_dir):
     return jobs.rewrite_prompt(fit.analyse(P.cues(spark, sf_dir)))
 
 
-@query()
-def adapt_loop(spark, sf_dir):
-    """Rows only: the model is a stub that keeps a line's first words."""
-    stub = lambda texts, budgets: [" ".join((t or "").split()[:b]) for t, b in zip(texts, budgets)]
-    return providers.rewrite(P.cues(spark, sf_dir), stub).select("job_id", "idx", "source_text", "final_text")
-
-
 # --- scalar functions ------------------------------------------------------
 
 VIET = f"regexp_matches(coalesce(text, ''), '[{T.SYLLABIC}{T.SYLLABIC.upper()}]')"
@@ -270,12 +263,12 @@ def speaker_assign(spark, sf_dir):
     return speakers.assign(P.cues(spark, sf_dir), text="labelled").select("job_id", "idx", "speaker", "spoken")
 
 
-@query(ASSIGNED + ", n as (select *, count(*) over (partition by job_id) n from a) select job_id, speaker, count(*) lines, 100.0::double * count(*) / max(n) share from n where speaker is not null group by job_id, speaker")
+@query(ASSIGNED + ", n as (select *, count(*) over (partition by job_id) n from a) select job_id, speaker, count(*) lines, 100.0::double * count(*) / max(n) share, min(idx) \"first\" from n where speaker is not null group by job_id, speaker")
 def speaker_cast(spark, sf_dir):
     return speakers.cast(speakers.assign(P.cues(spark, sf_dir), text="labelled"))
 
 
-@query(ASSIGNED + ", n as (select job_id, speaker, count(*) k from a where speaker is not null group by all) select job_id, count(*) || ' speaker(s): ' || string_agg(speaker || ' (' || k || ')', ', ' order by k desc, speaker) as \"cast\" from n group by job_id")
+@query(ASSIGNED + ", n as (select job_id, speaker, count(*) k, min(idx) f from a where speaker is not null group by job_id, speaker) select job_id, count(*) || ' speaker(s): ' || string_agg(speaker || ' (' || k || ')', ', ' order by k desc, f, speaker) as \"cast\" from n group by job_id")
 def speaker_describe(spark, sf_dir):
     return speakers.describe(speakers.cast(speakers.assign(P.cues(spark, sf_dir), text="labelled")))
 
@@ -348,13 +341,6 @@ def speech_normalise(spark, sf_dir):
     return e.select("vec_id", F.round(levels.speech_gain(levels.hops(F.col("embedding"), 20)), 6).alias("gain"))
 
 
-@query()
-def duck_curve(spark, sf_dir):
-    """Rows only: an ordered fold and an interpolation."""
-    e = P.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return levels.duck_curve(e, "embedding", 8, 10 ** (-10 / 20)).select("vec_id", F.size("gain").alias("n"), F.round(F.array_min("gain"), 4).alias("least"))
-
-
 @query(f"""with l as (select vec_id, greatest(-120, 20 * log10(sqrt({SQ.format('embedding')} / len(embedding)))) a, greatest(-120, 20 * log10(sqrt({SQ.format('list_transform(embedding, lambda x: x / 4)')} / len(embedding)))) b from embeddings)
 select vec_id, round(a - b, 6) removed_db, b <= -50 or a - b >= 20 thin from l""")
 def bed_level(spark, sf_dir):
@@ -504,9 +490,8 @@ def worker_presence(spark, sf_dir):
     e = P.read(spark, sf_dir, "events")
     beats = e.select("user_id", "ts", F.when(F.col("event_type") == "purchase", "stopped").when(F.col("event_type") == "click", "busy").otherwise("idle").alias("status"))
     now = e.agg(F.max("ts").alias("_now"))
-    last = jobs.presence(beats, "user_id", "ts", F.lit(None).cast("timestamp")).drop("age_s", "alive").join(F.broadcast(now))  # one row
-    age = F.unix_seconds(F.col("_now").cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
-    return last.withColumn("age_s", age).select("user_id", "beats", "status", "age_s", F.when(F.col("status") == "stopped", False).when(F.col("status") == "busy", F.col("age_s") <= 180).otherwise(F.col("age_s") <= 75).alias("alive"))
+    last = jobs.last_beats(beats, "user_id", "ts").join(F.broadcast(now))  # one row
+    return jobs.liveness(last, F.col("_now")).select("user_id", "beats", "status", "age_s", "alive")
 
 
 @query("""with n as (select user_id, ts, case when lag(ts) over w is null or epoch_us(ts) - epoch_us(lag(ts) over w) >= 1800000000 then 1 else 0 end s from events window w as (partition by user_id order by ts)),
@@ -516,22 +501,9 @@ def sessions(spark, sf_dir):
     return s.select("user_id", "session", "n", (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("span_us"))
 
 
-@query()
-def kept_beats(spark, sf_dir):
-    """Rows only: each kept beat hangs on the last one kept."""
-    return jobs.kept_beats(P.read(spark, sf_dir, "events"), "user_id", "ts", 3600)
-
-
 # --- shaping ---------------------------------------------------------------------
 
 
-@query()
-def word_times(spark, sf_dir):
-    """Rows only: repaired word timings, by an ordered fold."""
-    s = P.words(spark, sf_dir)
-    return s.select("file", "seg", F.posexplode(shaping.repaired(F.col("words"), F.col("start"), F.col("end"))).alias("pos", "w")).select("file", "seg", "pos", F.bround(F.col("w.start") * 1000).cast("long").alias("start_ms"), F.bround(F.col("w.end") * 1000).cast("long").alias("end_ms"))
-
-
 SEGS = """
 with recursive l as (select doc_id file, lang language, unnest(range(0, len(s)))::int seg, unnest(s) line from (select doc_id, lang, string_split(coalesce(text, ''), chr(10)) s from documents)),
 w as (select file, language, seg, list_filter(string_split(line, ' '), lambda x: x <> '') ws from l),
@@ -585,7 +557,4 @@ def cue_invariants(spark, sf_dir):
     return v.select(F.col("file").alias("job_id"), "idx", F.array_join("broken", ",").alias("broken"))
 
 
-@query()
-def shape_cues(spark, sf_dir):
-    """Rows only: the whole of shaping, slivers merged by a grouped function."""
-    return shaping.shape_cues(P.words(spark, sf_dir))
+from cuelight.plans import more as more  # noqa: E402  registers further queries

@@ -7,6 +7,9 @@ lineitem takes, embeddings timbre vectors and short waveforms. What they lack
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share; in a local session without one, in its temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cuelight-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     k = F.col("conv_id") * 7 + F.col("turn") * 13

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import warnings
 import wave
 import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,17 @@ def encode(samples, rate: int) -> bytes:
     return out.getvalue()
 
 
+def encoded(samples, rate: int, kind: str = "wav", mp3: Callable | None = None) -> tuple[bytes, str, str]:
+    """Bytes, extension and media type. mp3: samples, rate -> bytes, an encoder
+    from outside; without one, or where it fails, a WAV is made."""
+    if kind == "mp3" and mp3 is not None:
+        try:
+            return mp3(samples, rate), "mp3", "audio/mpeg"
+        except Exception as e:
+            warnings.warn(f"no mp3, wav instead: {e}", stacklevel=2)
+    return encode(samples, rate), "wav", "audio/wav"
+
+
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
     """path, rate, samples, error of every file; a broken file has an error instead of samples."""
 

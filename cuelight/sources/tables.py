@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,9 +68,29 @@ def delete(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(keys.select(*on).distinct(), on, "left_anti")
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Adds to the event log, partitioned by nothing, never rewriting it."""
-    events.write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str, fatal: bool = False) -> bool:
+    """Adds to the event log, never rewriting it. A log that can't be written is
+    no reason to stop, so errors are warned of unless they are to be fatal."""
+    try:
+        events.write.mode("append").parquet(path)
+    except Exception as e:
+        if fatal:
+            raise
+        warnings.warn(f"event log not written: {e}", stacklevel=2)
+        return False
+    return True
+
+
+def persisted(batch: DataFrame, write: Callable[[DataFrame], None], each: Callable[[Row], None]) -> bool:
+    """Writes a batch at once; where that fails, row by row, on the executors.
+    Was it written at once? For foreachBatch, whose batches are small."""
+    try:
+        write(batch)
+        return True
+    except Exception as e:
+        warnings.warn(f"batch not written, now row by row: {e}", stacklevel=2)
+    batch.foreach(each)
+    return False
 
 
 def batches(rows: DataFrame, size: int = 500, order: str = "idx") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from cuelight.operators import jobs
 from cuelight.sources import tables
@@ -46,17 +47,94 @@ def claim_batch(queue: DataFrame, worker: str) -> DataFrame:
     return jobs.claim_next(queue).withColumn("status", F.lit("compiling")).withColumn("worker_label", F.lit(worker))
 
 
-def latest_wins(updates: DataFrame, path: str, keys: list[str], version: str):
-    """A streaming writer that keeps, under path, the newest row of each key:
-    each micro-batch is merged into a new numbered copy."""
-    spark = updates.sparkSession
+def latest_wins(updates: DataFrame, path: str, keys: list[str], version: str, buckets: int = 64):
+    """A streaming writer that keeps, under path, the newest row of each key.
+
+    Rows lie in folders by a hash of their key. A micro-batch rewrites the
+    folders its keys fall in, beside the old ones, and only then names the new
+    ones in a manifest, so a batch costs what it touches, a failed one leaves no
+    trace, and a repeated one changes nothing. Read with latest()."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        now = batch
-        if epoch > 0:
-            now = tables.upsert(spark.read.parquet(f"{path}/v{epoch - 1}"), batch, keys, version)
-        else:
-            now = tables.upsert(batch.limit(0), batch, keys, version)
-        now.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        spark = batch.sparkSession
+        folder = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch = batch.withColumn("_bucket", folder).persist()
+        try:
+            touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # `buckets` at most
+            old = _manifest(spark, path)
+            if not touched or any(e >= epoch for e in old.values()):
+                return
+            kept = [f"{path}/epoch={e}/_bucket={b}" for b, e in old.items() if b in touched]
+            before = spark.read.schema(batch.drop("_bucket").schema).parquet(*kept) if kept else batch.drop("_bucket").limit(0)
+            now = tables.upsert(before, batch.drop("_bucket"), keys, version).withColumn("_bucket", folder)
+            now.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch}")
+            rows = list((old | dict.fromkeys(touched, epoch)).items())
+            spark.createDataFrame(rows, "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{epoch:012d}")
+            for b in touched:
+                if b in old:
+                    _remove(spark, f"{path}/epoch={old[b]}/_bucket={b}")
+        finally:
+            batch.unpersist()
 
     return updates.writeStream.foreachBatch(merge)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at, store = _folder(spark, path)
+    store.delete(at, True)
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[int, int]:
+    """Epoch of each bucket by the newest manifest that was written whole."""
+    at, store = _folder(spark, f"{path}/manifest")
+    names = sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
+    for name in reversed(names):
+        whole, _ = _folder(spark, f"{path}/manifest/{name}/_SUCCESS")
+        if store.exists(whole):
+            return {r.bucket: r.epoch for r in spark.read.parquet(f"{path}/manifest/{name}").collect()}
+    return {}
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that latest_wins() keeps."""
+    return spark.read.parquet(*[f"{path}/epoch={e}/_bucket={b}" for b, e in _manifest(spark, path).items()])
+
+
+def drained(writer: DataStreamWriter, once: bool = True, poll: str = "10 seconds", budget_s: float | None = None) -> StreamingQuery:
+    """Runs a writer until its input is used up (once), or polls it; either way
+    for at most budget_s seconds, after which it stops cleanly."""
+    query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
+    if budget_s is None and once:
+        query.awaitTermination()
+    elif budget_s is not None and not query.awaitTermination(max(1, round(budget_s))):
+        query.stop()
+    return query
+
+
+class Progress(StreamingQueryListener):
+    """Tells `say` what each micro-batch did, and of ends and failures; also a
+    sign of life, so a job that runs long isn't taken for stalled."""
+
+    def __init__(self, say: Callable[[str], None] = print, alive: Callable[[], None] | None = None):
+        self.say, self.alive = say, alive
+
+    def onQueryStarted(self, event) -> None:
+        self.say(f"{event.name or event.id} started")
+
+    def onQueryProgress(self, event) -> None:
+        if self.alive:
+            self.alive()
+        p = event.progress
+        self.say(f"{p.name or p.id} batch {p.batchId}: {p.numInputRows} rows")
+
+    def onQueryIdle(self, event) -> None:
+        if self.alive:
+            self.alive()
+
+    def onQueryTerminated(self, event) -> None:
+        self.say(f"{event.id} {'failed: ' + event.exception if event.exception else 'ended'}")

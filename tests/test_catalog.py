@@ -9,7 +9,7 @@ import pytest
 from cuelight.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "customer documents embeddings events lineitem orders pages conversations".split()
+TABLES = "customer documents embeddings events lineitem nation orders pages conversations supplier".split()
 
 
 @pytest.fixture(scope="module")

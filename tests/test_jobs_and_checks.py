@@ -183,7 +183,7 @@ def test_streams(spark, tmp_path):
     up = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "id int, v string, ver int")
     up.write.parquet(str(tmp_path / "up"))
     liveness.latest_wins(spark.readStream.schema(up.schema).parquet(str(tmp_path / "up")), str(tmp_path / "out"), ["id"], "ver").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination(120)
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()] == [(1, "b", 2)]
+    assert [tuple(r) for r in liveness.latest(spark, str(tmp_path / "out")).collect()] == [(1, "b", 2)]
 
 
 def test_kept_beats_pass_midnight(spark):
@@ -195,3 +195,71 @@ def test_kept_beats_pass_midnight(spark):
     got = sorted((r.w or "", r.at_us // 1_000_000 - first) for r in jobs.kept_beats(beats, "w", "ts", 20).collect())
     base = min(s for _, s in got)  # the session's time zone
     assert [(w, s - base) for w, s in got] == [(w, s) for w in ("", "a", "b") for s in (0, 20, 86_400, 86_420)]
+
+
+def test_rewrite_asks_for_targets_only(spark, tmp_path):
+    """Of 120 lines 61 need a rewrite; each is sent once a pass, in calls of 25 at most."""
+    data = [(job, i, i * 1000, i * 1000 + 900, "one two three four five six seven eight nine" if i % 2 == 0 else "fine") for job in (1, 2) for i in range(60)] + [(3, 0, 0, 900, "only 7")]
+    cues = spark.createDataFrame(data, "job_id int, idx int, start_ms long, end_ms long, source_text string")
+    log = str(tmp_path / "calls")
+
+    def model(texts, budgets):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [" ".join(t.split()[:b]) for t, b in zip(texts, budgets)]
+
+    out = providers.rewrite(cues, model, passes=1).collect()
+    calls = [int(x) for x in open(log)]
+    assert len(out) == 60 and sum(calls) == 61 and sorted(calls) == [1, 5, 5, 25, 25]
+
+
+def test_translation_failures_say_what_is_saved():
+    class Busy(Exception):
+        code = 503
+
+    def busy():
+        raise Busy("later")
+
+    with pytest.raises(providers.ProviderUnavailable, match="later .*transcript is saved"):
+        providers.translation(busy, waits=(), sleep=lambda s: None)
+    assert providers.transient(Busy()) and providers.transient(RuntimeError("Model OVERLOADED")) and not providers.transient(ValueError("bad JSON"))
+
+
+def test_stream_runs_and_updates(spark, tmp_path):
+    """Buckets are rewritten where they are touched; a listener hears of it."""
+    said = []
+    listener = liveness.Progress(said.append)
+    spark.streams.addListener(listener)
+    try:
+        schema = "id int, v string, ver int"
+        for k, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(2, "c", 2), (3, "d", 1)], [(2, "old", 1)]]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+            source = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+            writer = liveness.latest_wins(source, str(tmp_path / "out"), ["id"], "ver", buckets=4).option("checkpointLocation", str(tmp_path / "check"))
+            liveness.drained(writer)
+        got = sorted(map(tuple, liveness.latest(spark, str(tmp_path / "out")).collect()))
+        assert got == [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
+        poll = liveness.drained(liveness.latest_wins(source, str(tmp_path / "out2"), ["id"], "ver").option("checkpointLocation", str(tmp_path / "check2")), once=False, poll="1 second", budget_s=15)
+        assert not poll.isActive
+    finally:
+        spark.streams.removeListener(listener)
+    assert any("batch" in x for x in said)
+
+
+def test_fallbacks_of_sinks(spark, tmp_path):
+    from cuelight.sources import audio
+
+    assert audio.encoded([0.0, 0.5], 8000, "mp3", lambda x, r: b"mp3")[1:] == ("mp3", "audio/mpeg")
+    with pytest.warns(UserWarning, match="wav instead"):
+        assert audio.encoded([0.0, 0.5], 8000, "mp3", lambda x, r: 1 / 0)[1] == "wav"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+
+    def each(row):
+        (tmp_path / f"row-{row.id}").write_text(row.v)
+
+    assert tables.persisted(rows, lambda b: None, each)
+    with pytest.warns(UserWarning, match="row by row"):
+        assert not tables.persisted(rows, lambda b: 1 / 0, each)
+    assert sorted(p.name for p in tmp_path.glob("row-*")) == ["row-1", "row-2"]
+    with pytest.warns(UserWarning, match="event log"):
+        assert not tables.append_events(rows.withColumnRenamed("v", "id"), str(tmp_path / "log"))
