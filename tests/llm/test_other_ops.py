@@ -24,7 +24,7 @@ def test_extract_one_page():
 
 @pytest.mark.parametrize("html", ["", "<", "<p", "plain text", "<script>never closed", "</div></p>", "<!-- open", "<a href='x", "&", "<p>" * 3000, "<div class=ad>", "\x00<b>x"])
 def test_broken_pages_do_not_crash(html):
-    html_extract.extract(html_extract.parse(html), ["/html/body"])
+    html_extract.extract(html_extract.parse(html), [1])
 
 
 def test_consensus_helps_a_thin_page(spark):
@@ -237,3 +237,47 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 ])
 def test_skipped_elements_end_where_their_ends_are_implied(html, want):
     assert html_extract.parse(html).blocks == want
+
+
+BODY = "<h1>Title</h1><p>" + "Words of the article, and more of them. " * 12 + "</p>"
+TEXT = "Title\n\n" + ("Words of the article, and more of them. " * 12).strip()
+
+
+@pytest.mark.parametrize("page", [
+    '<body><div class="layout has-sidebar"><article>{0}</article><div class="sidebar"><p>Side</p></div></div>',
+    '<body><div id="page" class="no-comments">{0}</div>',
+    '<body><div class="search-engine-history">{0}</div>',
+    '<body><div class="header-main-wrapper"><main>{0}</main></div><div class="comments"><h3>Say</h3><p>I read it.</p></div>',
+    '<body><form id="aspnetForm"><div>{0}</div><select><option>one</select><button>Go</button></form><form class="search"><label>Find</label></form>',
+    '<body><div class="widget">{0}</div><div class="share">Tell <a href="x">all</a></div>',
+    '<body><article>{0}</article><div class="comments">' + "<p>A reader's long remark, again and again.</p>" * 40 + "</div>",
+    '<body><article><header class="entry-header"><h1>Title</h1><p>By me</p></header>' + BODY[14:] + "</article>",
+])
+def test_names_are_evidence_only(page):
+    assert html_extract.extract(html_extract.parse(page.replace("{0}", BODY)), []) == TEXT
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<article><p title="abc>Hello there, you</p></article>', "Hello there, you"),
+    ('<article><p>One</p><p class="x', "One"),
+    ('<article><figure><figcaption>Caption</figcaption></figure><p>a <math><mi>x</mi></math></p></article>', "Caption\n\na x"),
+    ('<article><p>Press <button>here</button> now</p></article>', "Press now"),
+    ('<article><p>a <a href="b" title="x > y">b</a></p></article>', "a b"),
+])
+def test_markup_does_not_leak(page, want):
+    assert html_extract.extract(html_extract.parse(page), []) == want
+
+
+def test_deep_nesting_takes_little_memory():
+    """A megabyte of open tags: time and memory in proportion to its length."""
+    import time
+    import tracemalloc
+
+    for unit in ("<div>", "<div class=ad>", "<nav><div>", "<ul><li>", "<p><span class=x><b>"):
+        page = unit * (1_000_000 // len(unit)) + "text"
+        tracemalloc.start()
+        began = time.perf_counter()
+        html_extract.extract(html_extract.parse(page), [])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200e6 and time.perf_counter() - began < 60, (unit, peak)
