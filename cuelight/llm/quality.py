@@ -2,7 +2,9 @@
 
 Lines are normalised and hashed; the distinct documents of each host that hold a
 line are counted; lines above the limit are boilerplate and are removed, and a
-document that loses most of its words with them is rejected.
+document that loses most of its words with them is rejected. Copies are not what
+makes a line boilerplate: documents are told apart by the least hash of their
+5-word windows, which exact copies share, and near copies for the most part.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import staged, word_count, words
+from cuelight.llm.common import scratch, staged, word_count, words
 
 #: A line is boilerplate in over SHARE of its host's documents, and over LEAST.
-SHARE = 0.1
-LEAST = 20
+SHARE = 0.02
+LEAST = 4
 #: A document is depleted when under KEEP of its words lie in other lines.
 KEEP = 0.3
 MIN_WORDS = 50
@@ -42,14 +44,25 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
 
 
+def copy_mark(text: Column) -> Column:
+    """The least md5 of the 5-word windows of a text, of all its words where they
+    are fewer; 8 bytes of it. Null for null."""
+    def least(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0)))
+        return F.array_min(F.transform(at, lambda i: F.md5(F.concat_ws(" ", *[F.get(w, i + k) for k in range(5)]))))
+
+    return F.when(text.isNotNull(), F.unhex(F.substring(let(words(text), least), 1, 16)))
+
+
 def frequent_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """host, lines: the hashes above the host's limit. Equal texts of a host are
-    one document here, so copies alone don't make a line boilerplate. The counts
-    are summed before and after one shuffle by host, line and text, which deals
-    a line that all documents hold over all tasks."""
-    base = docs.select(F.col("source").cast("string").alias("_host"), F.xxhash64("text").alias("_text"), F.array_distinct(F.transform(text_lines(F.col("text")), line_hash)).alias("_lines"))
-    counts = base.select("_host", "_text", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count_distinct("_text").alias("_n"))
-    hosts = docs.select(F.col("source").cast("string").alias("_h"), F.xxhash64("text").alias("_text")).groupBy("_h").agg(F.count_distinct("_text").alias("_docs"))
+    """host, lines: the hashes above the host's limit. Texts of one copy_mark are
+    one document of a host here, and null texts are none. The counts are summed
+    before and after one shuffle by host, line and mark, which deals a line that
+    all documents hold over all tasks."""
+    base = docs.where("text is not null").select(F.col("source").cast("string").alias("_host"), copy_mark(F.col("text")).alias("_mark"), F.array_distinct(F.transform(text_lines(F.col("text")), line_hash)).alias("_lines"))
+    marked = staged(base.select("_host", "_mark", F.explode_outer("_lines").alias("_line")).distinct(), "host-lines")
+    counts = marked.where("_line is not null").groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
+    hosts = marked.groupBy(F.col("_host").alias("_h"), "_mark").agg(F.lit(1)).groupBy("_h").agg(F.count(F.lit(1)).alias("_docs"))
     over = counts.where(F.col("_n") > least).join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).where(F.col("_n") > share * F.col("_docs"))
     return over.groupBy("_host").agg(F.collect_list("_line").alias("_frequent"))
 
@@ -89,7 +102,8 @@ def _judged(docs: DataFrame, share: float, least: int, keep: float, min_words: i
     """Adds _q, _base_failed, _frequent, _left (words outside frequent lines)
     and _kept. Few lines can be above a host's limit, so the table of hosts is
     small; its files' size decides whether Spark broadcasts it."""
-    frequent = staged(frequent_lines(docs, share, least), "frequent-lines")
+    with scratch() as hold:
+        frequent = hold(staged(frequent_lines(docs, share, least), "frequent-lines"))
     rows = docs.withColumn("_hk", F.col("source").cast("string")).join(frequent, F.col("_hk").eqNullSafe(F.col("_host")), "left").drop("_host", "_hk")
     rows = _measured(rows, min_words, max_repeat)
     lost = F.when(F.col("_frequent").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(
@@ -101,10 +115,11 @@ def _judged(docs: DataFrame, share: float, least: int, keep: float, min_words: i
 def quality(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, left_words for every row.
 
-    Null and empty texts have no words and fail the base rules. A null source is
-    a host of its own. Repeated rows are equal texts: each is judged, and they
-    count once for their lines. Empty table: no rows. Other columns of docs are
-    not read.
+    Null and empty texts have no words and fail the base rules; null texts are no
+    documents of their host. A null source is a host of its own. Repeated rows
+    are equal texts: each is judged, and they count once for their lines. Ties:
+    a line at the limit stays. Very long texts are read whole. Empty table: no
+    rows. Other columns of docs are not read.
     """
     rows = _judged(docs.select("doc_id", "text", "source"), share, least, keep, min_words, max_repeat)
     q = F.col("_q")
@@ -113,7 +128,9 @@ def quality(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: flo
 
 def cleaned(docs: DataFrame, share: float = SHARE, least: int = LEAST, keep: float = KEEP, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """The rows of docs that are kept, with their own columns: frequent lines
-    are taken out of text, and n_chars, where there is one, follows."""
+    are taken out of text, and n_chars, where there is one, follows. Nulls, empty
+    texts, repeated rows and empty tables as in quality(): null and empty texts
+    are not kept, each row of several alike is. Columns of any names are carried."""
     own = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), "doc_id", "text", "source")
     rows = _judged(rows, share, least, keep, min_words, max_repeat)
@@ -132,8 +149,9 @@ with d as (select row_number() over () as id, doc_id, source, text, coalesce(tex
 ln as (select id, source, text, x, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) norm,
          len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) n
        from (select id, source, text, unnest(string_split(t, chr(10))) x from d) where regexp_matches(x, '[^\x20\x09-\x0D]')),
-hosts as (select source, count(distinct text) docs from d group by source),
-cnt as (select source, norm, count(distinct text) docs from ln group by source, norm),
+mark as (select id, min(md5(g)) mark from (select id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) g from d where text is not null) group by id),
+hosts as (select source, count(distinct mark) docs from d join mark using (id) group by source),
+cnt as (select source, norm, count(distinct mark) docs from ln join mark using (id) group by source, norm),
 freq as (select cnt.source, norm from cnt join hosts on cnt.source is not distinct from hosts.source where cnt.docs > {least} and cnt.docs > {share} * hosts.docs),
 lost as (select id, sum(n) lost from ln join freq on ln.source is not distinct from freq.source and ln.norm = freq.norm group by id),
 dup as (select id, count(*) - count(distinct x) n from ln group by id),

@@ -1,6 +1,8 @@
 """Operators on documents against brute force, on a table of awkward cases."""
 
+import hashlib
 import itertools
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -36,30 +38,72 @@ def empty(spark):
     return frame(spark, []).where("false")
 
 
-def test_quality_base(docs):
-    got = sorted(map(tuple, quality.quality(docs, share=0.2, least=2).collect()), key=str)
-    lines = defaultdict(set)
-    hosts = defaultdict(set)
-    norm = lambda x: " ".join("".join("0" if k == "0" else k for k in __import__("re").sub("[0-9]+", "0", x.lower())).split())
-    for r in rows():
-        hosts[r[3]].add(r[1])
-        for x in (r[1] or "").split("\n"):
-            if words(x):
-                lines[r[3], norm(x)].add(r[1])
+def mark_of(text):
+    """What makes documents distinct: the least md5 of their 5-word windows."""
+    w = words(text)
+    return min(hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest() for i in range(max(1, len(w) - 4)))
+
+
+def brute_quality(data, share, least):
+    lines, hosts = defaultdict(set), defaultdict(set)
+    norm = lambda x: " ".join("".join("0" if k == "0" else k for k in re.sub("[0-9]+", "0", x.lower())).split())
+    for r in data:
+        if r[1] is not None:
+            hosts[r[3]].add(mark_of(r[1]))
+            for x in r[1].split("\n"):
+                if words(x):
+                    lines[r[3], norm(x)].add(mark_of(r[1]))
     want = []
-    for r in rows():
+    for r in data:
         t = r[1] or ""
         w = words(t)
         win = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         cov = {i + k for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for k in range(3)}
         ls = [x for x in t.split("\n") if words(x)]
-        lost = sum(len(words(x)) for x in ls if (n := len(lines[r[3], norm(x)])) > 2 and n > 0.2 * len(hosts[r[3]] - {None}))
+        lost = sum(len(words(x)) for x in ls if (n := len(lines[r[3], norm(x)])) > least and n > share * len(hosts[r[3]]))
         bad = len(w) < 50 or 100 * len(cov) > 50 * len(w)
         want.append((r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(ls) - len(set(ls)), len(cov), bad, not bad and len(w) - lost >= 0.3 * len(w), len(w) - lost))
-    assert got == sorted(want, key=str)
+    return sorted(want, key=str)
+
+
+def test_quality_base(docs):
+    got = sorted(map(tuple, quality.quality(docs, share=0.2, least=2).collect()), key=str)
+    assert got == brute_quality(rows(), 0.2, 2)
     assert any(r[6] is False and r[7] for r in got)
 
 
+def test_quality_null_texts_are_no_documents(spark):
+    """Of two texts and a null, a line of one text is in half of the documents."""
+    text = lambda k: "One line that is held\n" * (k == 0) + " ".join(f"{k}w{i}" for i in range(60))
+    data = [(1, text(0), "en", "a", 0, "", "", 0), (2, text(1), "en", "a", 0, "", "", 0), (3, None, "en", "a", 0, "", "", 0)]
+    got = sorted(map(tuple, quality.quality(frame(spark, data), share=0.4, least=0).collect()), key=str)
+    assert got == brute_quality(data, 0.4, 0) and got[0][-1] == 0
+
+
+def test_planted_lines_go_and_copies_stay(spark):
+    """Production limits: a line in 12 of 300 documents goes, a document of hardly
+    anything else is rejected, and a group of near copies keeps its lines."""
+    import random
+
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    line, notice = "Planted line 17 of this host", "\n".join(f"notice {k} " + " ".join(f"n{k}x{j}" for j in range(12)) for k in range(8))
+    data = [(i, own(80) + ("\n" + line if i % 25 == 0 else "") + "\n" + own(30)) for i in range(300)]
+    data += [(400 + i, notice + "\n" + own(40)) for i in range(60)]
+    base = own(400).split()
+    for i in range(60):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = own(1)
+        data.append((500 + i, "\n".join(" ".join(w[k : k + 40]) for k in range(0, 400, 40))))
+    docs = frame(spark, [(i, t, "en", "h", 0, "", "", 0) for i, t in data])
+    assert sorted(map(tuple, quality.quality(docs).collect()), key=str) == brute_quality([(i, t, "en", "h") for i, t in data], quality.SHARE, quality.LEAST)
+    got = {r.doc_id: r.text for r in quality.cleaned(docs).collect()}
+    assert set(got) == {i for i, _ in data if not 400 <= i < 500}
+    assert not any(line in t for t in got.values())
+    assert all(got[i] == t for i, t in data if i >= 500)
+
+
 def test_quality_cleaned(docs):
     kept = quality.cleaned(docs, share=0.2, least=2)
     assert kept.columns == docs.columns
@@ -205,6 +249,21 @@ def test_packing(docs):
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
 
 
+def test_pack_writes_the_ids(docs, tmp_path):
+    """Documents are put together again from the sequences that were written."""
+    enc = __import__("tokenizers").Tokenizer.from_file(default_path(WORD_BPE))
+    packing.pack(docs.withColumn("part", docs.slot).withColumn("ids", docs.slot), capacity=128).write.parquet(str(tmp_path / "packed"))
+    got = docs.sparkSession.read.parquet(str(tmp_path / "packed")).collect()
+    assert sorted(r.sequence_id for r in got) == list(range(len(got)))
+    ids = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in got}
+    assert all(len(ids[r.sequence_id]) == r.length and r.offset == 0 for r in got)
+    once = Counter(r[0] for r in rows())
+    for doc_id, text in [(r[0], r[1]) for r in rows() if once[r[0]] == 1]:
+        own = sorted((r for r in got if r.doc_id == doc_id), key=lambda r: r.start)
+        assert np.concatenate([ids[r.sequence_id] for r in own]).tolist() == [*enc.encode(text or "", add_special_tokens=False).ids, 2]
+    assert packing.pack(docs.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
 def test_encoder_equals_library(name):
     import random
