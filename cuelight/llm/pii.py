@@ -1,11 +1,13 @@
 """Personal data: four base patterns, and spans that a trained tagger adds.
 
 The base patterns are matched leftmost and without overlaps, in linear time. The
-tagger reads overlapping windows on a fixed grid, wherever a digit or an at sign
-is: no span of these kinds is without one. Its spans are pooled over a text's
-windows, halves that windows cut are joined, and the best set without overlaps
-is chosen for the whole text; spans that a check of their kind refuses, or that
-touch a base span, are dropped. Base spans always stay.
+tagger reads overlapping windows on a fixed grid, wherever a digit, an at sign or
+one of its spellings is: no span of these kinds is without one. Its spans are
+pooled over a text's windows, halves that windows cut are joined, and the best
+set without overlaps is chosen for the whole text; spans that are none of their
+kind (a card fails its check digit, an address has no host), or that touch a base
+span, are dropped. Base spans always stay. What the tagger adds are numbers in
+groups of other shapes, and addresses that are spelled ('jo [at] post [dot] org').
 """
 
 from __future__ import annotations
@@ -36,7 +38,13 @@ HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|\bdot\b", re.I)
+SPELLED_AT = re.compile(r"\s*(?:@|[(\[]at[)\]]|(?<=\s)at(?=\s))\s*", re.I)
+SPELLED_DOT = re.compile(r"\s*(?:[(\[]dot[)\]]|(?<=\s)dot(?=\s))\s*", re.I)
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP_DOT = re.compile(r" ?(?:\.|[(\[]\.[)\]]) ?")
+GROUPED = re.compile(r"[0-9]+(?:[ ./_-]{1,3}[0-9]+)*")
+DIALLED = re.compile(r"[+(]{0,2}[0-9]+(?:[ ()./-]{1,3}[0-9]+)*")
 NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -81,21 +89,20 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def plausible(text: str, span: Span) -> bool:
-    """The check of a kind on what the tagger found."""
+    """Is what the tagger found of its kind? Its form is left to the tagger."""
     a, b, kind = span
     s = text[a:b]
-    d = NOT_DIGIT.sub("", s)
-    left, right = text[a - 1 : a], text[b : b + 1]
-    if left.isalnum() or right.isalnum() or "\n" in s:
+    if text[a - 1 : a].isalnum() or text[b : b + 1].isalnum() or "\n" in s:
         return False
     if kind == "email":
-        return re.fullmatch(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s) is not None
+        return ADDRESS.fullmatch(SPELLED_DOT.sub(".", SPELLED_AT.sub("@", s, count=1))) is not None
     if kind == "ip":
-        parts = re.split(r" ?\. ?", s)
+        parts = IP_DOT.split(s)
         return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
+    d = NOT_DIGIT.sub("", s)
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9]+(?:[ ./-][0-9]+)*", s) is not None
-    return 9 <= len(d) <= 15 and re.fullmatch(r"\+?\(?[0-9]+\)?(?:[ .-]{1,2}\(?[0-9]+\)?)+", s) is not None and len(re.findall("[0-9]+", s)) >= 3
+        return 13 <= len(d) <= 19 and luhn(d) and GROUPED.fullmatch(s) is not None
+    return 9 <= len(d) <= 15 and DIALLED.fullmatch(s) is not None
 
 
 def window_starts(text: str) -> list[int]:
@@ -210,8 +217,9 @@ def private_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans
     (base ones and those the tagger adds) for every row.
 
-    Null and empty texts: no spans. Repeated rows: the same spans. Empty table:
-    no rows. Other columns of docs are not read.
+    Null and empty texts: no spans. Repeated rows: the same spans. Very long
+    texts are read whole, window by window. Ties between the tagger's spans go to
+    the earlier one. Empty table: no rows. Other columns of docs are not read.
     """
     model = model or tagger.default_model()
 
@@ -228,7 +236,9 @@ def private_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 def redacted(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """docs with their own columns and the spans in text replaced by <KIND>;
-    n_chars, where there is one, follows. A null text stays null."""
+    n_chars, where there is one, follows. A null text stays null, an empty one
+    empty; repeated rows are treated alike. Empty table: no rows. Columns of any
+    names are carried along."""
     model = model or tagger.default_model()
     own = docs.columns
 

@@ -5,17 +5,27 @@ directions' states give a score per tag, and the CRF's transitions make the tags
 of a window one sequence. Training follows the exact gradient of the sequence's
 likelihood with Adam. Parameters are a dict of small float32 arrays, so a model
 travels in a task's closure.
+
+`python -m cuelight.llm.tagger` trains the default model and writes its
+parameters beside this file with the settings they were trained under; with
+other settings, or without the file, it is trained where it is first needed.
 """
 
 from __future__ import annotations
 
+import io
+import pkgutil
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
+#: Parameters of the default model, beside this file.
+FILE = "tagger_params.npz"
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-EMBED, HIDDEN = 12, 20
+EMBED, HIDDEN = 16, 32
 WINDOW = 96
 LETTERS, MARKS = "abcdefghijklmnopqrstuvwxyz", " \n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PAD, OTHER, DIGIT, WORDLIKE = 0, 1, 2, 3
@@ -58,14 +68,15 @@ def allowed() -> np.ndarray:
 
 
 def new_params(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    p = {"embed": rng.normal(0, 0.3, (SYMBOLS, EMBED))}
-    for d in "fb":
-        p[f"wx_{d}"] = rng.normal(0, EMBED**-0.5, (EMBED, 4 * HIDDEN))
-        p[f"wh_{d}"] = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN)) * 0.7
-        p[f"b_{d}"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])
-    p["out"] = rng.normal(0, 0.3, (2 * HIDDEN, TAGS))
-    p["bias"] = np.zeros(TAGS)
-    p["trans"] = np.zeros((TAGS, TAGS))
+    p = {
+        "embed": rng.normal(0, 0.3, (SYMBOLS, EMBED)),
+        "wx": rng.normal(0, EMBED**-0.5, (2, EMBED, 4 * HIDDEN)),
+        "wh": rng.normal(0, HIDDEN**-0.5, (2, HIDDEN, 4 * HIDDEN)) * 0.7,
+        "b": np.tile(np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]), (2, 1)),
+        "out": rng.normal(0, 0.3, (2 * HIDDEN, TAGS)),
+        "bias": np.zeros(TAGS),
+        "trans": np.zeros((TAGS, TAGS)),
+    }
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
@@ -74,69 +85,74 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray):
-    """States (time, batch, hidden) of x (time, batch, embed), and what the gradient needs."""
-    pre = x @ wx + b
-    T, B, _ = x.shape
-    h, c = np.zeros((B, HIDDEN), np.float32), np.zeros((B, HIDDEN), np.float32)
-    hs, cs, gates = np.empty((T, B, HIDDEN), np.float32), np.empty((T, B, HIDDEN), np.float32), np.empty((T, B, 4 * HIDDEN), np.float32)
+    """States (direction, time, batch, hidden) of x (direction, time, batch, embed),
+    and what the gradient needs. Both directions take a step at once."""
+    D, T, B, _ = x.shape
+    pre = (x.reshape(D, T * B, -1) @ wx).reshape(D, T, B, -1) + b[:, None, None]
+    h, c = np.zeros((D, B, HIDDEN), np.float32), np.zeros((D, B, HIDDEN), np.float32)
+    hs, cs, gates = (np.empty((T, D, B, n), np.float32) for n in (HIDDEN, HIDDEN, 4 * HIDDEN))
     for t in range(T):
-        z = pre[t] + h @ wh
+        z = pre[:, t] + h @ wh
         g = gates[t]
-        g[:, : 3 * HIDDEN] = _sigmoid(z[:, : 3 * HIDDEN])
-        g[:, 3 * HIDDEN :] = np.tanh(z[:, 3 * HIDDEN :])
-        c = g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * g[:, 3 * HIDDEN :]
-        h = g[:, 2 * HIDDEN : 3 * HIDDEN] * np.tanh(c)
+        g[..., : 3 * HIDDEN] = _sigmoid(z[..., : 3 * HIDDEN])
+        g[..., 3 * HIDDEN :] = np.tanh(z[..., 3 * HIDDEN :])
+        c = g[..., HIDDEN : 2 * HIDDEN] * c + g[..., :HIDDEN] * g[..., 3 * HIDDEN :]
+        h = g[..., 2 * HIDDEN : 3 * HIDDEN] * np.tanh(c)
         hs[t], cs[t] = h, c
-    return hs, (x, hs, cs, gates)
+    return hs.transpose(1, 0, 2, 3), (x, hs, cs, gates)
 
 
 def lstm_grad(dh_all: np.ndarray, kept, wx: np.ndarray, wh: np.ndarray):
     x, hs, cs, gates = kept
-    T, B, _ = x.shape
+    D, T, B, _ = x.shape
     dz_all = np.empty_like(gates)
-    dh, dc = np.zeros((B, HIDDEN), np.float32), np.zeros((B, HIDDEN), np.float32)
+    dh, dc = np.zeros((D, B, HIDDEN), np.float32), np.zeros((D, B, HIDDEN), np.float32)
+    back = wh.transpose(0, 2, 1)
     for t in range(T - 1, -1, -1):
-        dh = dh + dh_all[t]
-        i, f, o, g = (gates[t][:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        dh = dh + dh_all[:, t]
+        i, f, o, g = (gates[t][..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
         tc = np.tanh(cs[t])
         dc = dc + dh * o * (1 - tc * tc)
         before = cs[t - 1] if t else np.zeros_like(dc)
         dz = dz_all[t]
-        dz[:, :HIDDEN] = dc * g * i * (1 - i)
-        dz[:, HIDDEN : 2 * HIDDEN] = dc * before * f * (1 - f)
-        dz[:, 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)
-        dz[:, 3 * HIDDEN :] = dc * i * (1 - g * g)
+        dz[..., :HIDDEN] = dc * g * i * (1 - i)
+        dz[..., HIDDEN : 2 * HIDDEN] = dc * before * f * (1 - f)
+        dz[..., 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)
+        dz[..., 3 * HIDDEN :] = dc * i * (1 - g * g)
         dc = dc * f
-        dh = dz @ wh.T
-    flat = dz_all.reshape(-1, 4 * HIDDEN)
-    dwh = hs[:-1].reshape(-1, HIDDEN).T @ dz_all[1:].reshape(-1, 4 * HIDDEN)
-    return dz_all @ wx.T, x.reshape(-1, EMBED).T @ flat, dwh, flat.sum(0)
+        dh = dz @ back
+    dz = dz_all.transpose(1, 0, 2, 3).reshape(D, T * B, -1)
+    states = hs.transpose(1, 0, 2, 3)[:, :-1].reshape(D, (T - 1) * B, -1)
+    dwh = states.transpose(0, 2, 1) @ dz[:, B:]
+    return (dz @ wx.transpose(0, 2, 1)).reshape(x.shape), x.reshape(D, T * B, -1).transpose(0, 2, 1) @ dz, dwh, dz.sum(1)
 
 
 def emissions(p: dict, ids: np.ndarray):
     """Tag scores (time, batch, tags) of windows ids (batch, time)."""
     x = p["embed"][ids.T]
-    fwd, keep_f = lstm(x, p["wx_f"], p["wh_f"], p["b_f"])
-    bwd, keep_b = lstm(x[::-1], p["wx_b"], p["wh_b"], p["b_b"])
-    both = np.concatenate([fwd, bwd[::-1]], axis=2)
-    return both @ p["out"] + p["bias"], (both, keep_f, keep_b)
-
-
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+    states, kept = lstm(np.stack([x, x[::-1]]), p["wx"], p["wh"], p["b"])
+    both = np.concatenate([states[0], states[1][::-1]], axis=2)
+    return both @ p["out"] + p["bias"], (both, kept)
 
 
 def forward_backward(em: np.ndarray, trans: np.ndarray):
-    """log alpha, log beta (time, batch, tags) and log Z (batch)."""
+    """log alpha, log beta (time, batch, tags) and log Z (batch). Sums over the
+    tag before or after are matrix products of numbers scaled to at most 1."""
     T = len(em)
+    step = np.exp(trans)
     a, b = np.empty_like(em), np.zeros_like(em)
     a[0] = em[0] + allowed()[0]  # a window can't begin inside
+
+    def summed(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        top = x.max(axis=1, keepdims=True)
+        return top + np.log(np.maximum(np.exp(x - top) @ by, 1e-30))
+
     for t in range(1, T):
-        a[t] = em[t] + _logsumexp(a[t - 1][:, :, None] + trans, 1)
+        a[t] = em[t] + summed(a[t - 1], step)
     for t in range(T - 2, -1, -1):
-        b[t] = _logsumexp(trans + (em[t + 1] + b[t + 1])[:, None, :], 2)
-    return a, b, _logsumexp(a[-1], 1)
+        b[t] = summed(em[t + 1] + b[t + 1], step.T)
+    top = a[-1].max(axis=1, keepdims=True)
+    return a, b, (top + np.log(np.exp(a[-1] - top).sum(axis=1, keepdims=True)))[:, 0]
 
 
 def viterbi(em: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -156,7 +172,7 @@ def viterbi(em: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 def loss_grad(p: dict, ids: np.ndarray, tags: np.ndarray):
     """Mean negative log-likelihood of the tags (batch, time), and its gradient."""
-    em, (both, keep_f, keep_b) = emissions(p, ids)
+    em, (both, kept) = emissions(p, ids)
     trans = p["trans"] + allowed()
     T, B, _ = em.shape
     a, b, z = forward_backward(em, trans)
@@ -165,19 +181,21 @@ def loss_grad(p: dict, ids: np.ndarray, tags: np.ndarray):
     score = em[np.arange(T)[:, None], at, gold].sum(0) + trans[gold[:-1], gold[1:]].sum(0)
     d_em = np.exp(a + b - z[:, None])
     d_em[np.arange(T)[:, None], at, gold] -= 1
-    pair = np.exp(a[:-1, :, :, None] + trans + (em + b)[1:, :, None, :] - z[:, None, None]).sum((0, 1))
+    top = a[:-1].max(axis=2, keepdims=True)
+    left = np.exp(a[:-1] - top).reshape(-1, TAGS)
+    right = np.exp(np.minimum((em + b)[1:] + top - z[:, None], 80)).reshape(-1, TAGS)
+    pair = np.exp(trans) * (left.T @ right)
     np.subtract.at(pair, (gold[:-1].ravel(), gold[1:].ravel()), 1)
     d_em /= B
     g = {"trans": pair / B, "bias": d_em.sum((0, 1)), "out": both.reshape(-1, 2 * HIDDEN).T @ d_em.reshape(-1, TAGS)}
     d_both = d_em @ p["out"].T
-    dx_f, g["wx_f"], g["wh_f"], g["b_f"] = lstm_grad(np.ascontiguousarray(d_both[:, :, :HIDDEN]), keep_f, p["wx_f"], p["wh_f"])
-    dx_b, g["wx_b"], g["wh_b"], g["b_b"] = lstm_grad(np.ascontiguousarray(d_both[::-1, :, HIDDEN:]), keep_b, p["wx_b"], p["wh_b"])
+    dx, g["wx"], g["wh"], g["b"] = lstm_grad(np.stack([d_both[:, :, :HIDDEN], d_both[::-1, :, HIDDEN:]]), kept, p["wx"], p["wh"])
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], ids.T.ravel(), (dx_f + dx_b[::-1]).reshape(-1, EMBED))
+    np.add.at(g["embed"], ids.T.ravel(), (dx[0] + dx[1][::-1]).reshape(-1, EMBED))
     return float((z - score).mean()), g
 
 
-def fit(ids: np.ndarray, tags: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 1) -> dict[str, np.ndarray]:
+def fit(ids: np.ndarray, tags: np.ndarray, steps: int, batch: int = 96, rate: float = 0.02, seed: int = 1) -> dict[str, np.ndarray]:
     """Adam over random batches of labelled windows (rows of ids and tags)."""
     rng = np.random.default_rng(seed)
     p = new_params(rng)
@@ -206,58 +224,80 @@ def decode(p: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Labelled windows made for training, and the steps over them: a fixed bound.
-EXAMPLES, STEPS = 4000, 350
+EXAMPLES, STEPS, SEED = 16_000, 1200, 7
+
+# Ways to write an address, and syllables of made-up words.
+AT = ("@", "@", "@", "@", " @ ", "@ ", " at ", "(at)", " (at) ", "[at]", " [at] ")
+DOT = {"(at)": ("(dot)", "."), " (at) ": (" (dot) ", "."), "[at]": ("[dot]", "."), " [at] ": (" [dot] ", "."), " at ": (" dot ",)}
+PARTS = "an en in on er re th st ou le la de ge sch ver un ci os ar ti ra lo ma ne po ku vi ha so mi".split()
 
 
 def _word(rng) -> str:
-    parts = ("an en in on er re th st ou le la de ge sch ver un ci os ar ti ra lo ma ne po ku vi ha so mi").split()
-    w = "".join(rng.choice(parts) for _ in range(rng.integers(1, 5)))
+    w = "".join(PARTS[k] for k in rng.integers(0, len(PARTS), rng.integers(1, 5)))
     return w.upper() if rng.random() < 0.05 else w.capitalize() if rng.random() < 0.2 else w
 
 
+def _pick(rng, options) -> str:
+    return options[rng.integers(len(options))]
+
+
 def _digits(rng, n: int) -> str:
-    return "".join(str(rng.integers(0, 10)) for _ in range(n))
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _card(rng) -> str:
+    """A number that passes the check digit, whole or in groups."""
+    groups = _pick(rng, ([16], [4, 4, 4, 4], [4, 4, 4, 4], [4, 6, 5], [4, 4, 4, 4, 3], [13], [15], [6, 7]))
+    body = str(rng.integers(3, 7)) + _digits(rng, sum(groups) - 2)
+    total = sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(body))))
+    digits = body + str(-total % 10)
+    sep = _pick(rng, (" ", "-", ".", "/", " - ", "_", "  "))
+    return sep.join(digits[sum(groups[:k]) : sum(groups[: k + 1])] for k in range(len(groups)))
 
 
 def _entity(rng, kind: str) -> str:
     d = lambda n: _digits(rng, n)
     if kind == "email":
-        user = _word(rng).lower() + rng.choice(["", ".", "_", "-", "+"]) + rng.choice([_word(rng).lower(), d(2), d(1), "x"])
-        host = rng.choice(["mail", "post", "web", _word(rng).lower()]) + rng.choice(["", d(1)]) + rng.choice([".example", "-" + _word(rng).lower(), ""])
-        end = rng.choice([".com", ".org", ".net", ".de", ".co.uk", ".info"])
-        return user + rng.choice(["@", "@", "@", " @ ", "@ "]) + host + end
+        at = _pick(rng, AT)
+        dot = _pick(rng, DOT.get(at, (".",)))
+        user = _word(rng).lower() + _pick(rng, ("", ".", "_", "-", "+")) + _pick(rng, (_word(rng).lower(), d(2), d(1), "x"))
+        host = _pick(rng, ("mail", "post", "web", _word(rng).lower())) + _pick(rng, ("", d(1))) + _pick(rng, (".example", "-" + _word(rng).lower(), ""))
+        return user + at + (host + _pick(rng, (".com", ".org", ".net", ".de", ".co.uk", ".info"))).replace(".", dot)
     if kind == "ip":
-        return rng.choice([".", ".", ".", " . "]).join(str(rng.integers(1, 256)) for _ in range(4))
+        return _pick(rng, (".", ".", ".", " . ", "[.]", "(.)")).join(str(rng.integers(1, 256)) for _ in range(4))
     if kind == "card":
-        sep = rng.choice(["", "", " ", "-", ".", "/"])
-        return str(rng.integers(3, 7)) + sep.join([d(3), d(4), d(4), d(int(rng.integers(3, 5)))])
+        return _card(rng)
     a, b, c = d(3), d(3), d(4)
-    return str(rng.choice([f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{d(2)}-{d(2)}-{b}-{c}", f"00{d(2)} {a} {b} {c}", f"1-{a}-{b}-{c}"]))
+    return _pick(rng, (f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{d(2)}-{d(2)}-{b}-{c}", f"00{d(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"0{d(2)}/{d(7)}", f"+{d(2)} (0) {d(2)} {c} {c}", f"{a}/{b}-{c}"))
 
 
 def _decoy(rng) -> str:
     d = lambda n: _digits(rng, n)
-    return str(rng.choice([f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}", f"${d(1)},{d(3)}.{d(2)}", f"{d(3)}", f"#{d(5)}", f"{d(8)}", f"{d(1)}.{d(3)}", f"{d(4)}", f"{d(1)}{d(3)}%", "".join(rng.choice(list("0123456789abcdef"), 40)), f"@{_word(rng).lower()}", f"{d(2)}/{d(2)}/20{d(2)}", f"({d(1)})", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}.{d(2)}", f"pp. {d(2)}-{d(3)}", f"{d(3)}x{d(3)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(30)}", f"Version {d(1)}.0."]))
+    w = lambda: _word(rng)
+    numbers = (f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}", f"${d(1)},{d(3)}.{d(2)}", f"{d(3)}", f"#{d(5)}", f"{d(8)}", f"{d(1)}.{d(3)}", f"{d(4)}", f"{d(1)}{d(3)}%", f"{d(2)}/{d(2)}/20{d(2)}", f"({d(1)})", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}.{d(2)}", f"pp. {d(2)}-{d(3)}", f"{d(3)}x{d(3)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(30)}", f"Version {d(1)}.0.", f"{d(4)} {d(4)}", f"{d(1)} {d(2)} {d(1)} {d(2)}", f"20{d(2)}-20{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"1.{d(1)}.{d(1)}", f"{d(5)}-{d(4)}", f"[{d(2)}]")
+    mixed = ("".join(_pick(rng, "0123456789abcdef") for _ in range(40)), f"@{w().lower()}", f"at {w()}", f"dot {w()}", f"{w()} at {w()} dot", f"(at {w()})", f"{w()}{d(3)}", f"http://{w().lower()}.com/{d(6)}")
+    return _pick(rng, numbers if rng.random() < 0.7 else mixed)
 
 
 def labelled_texts(count: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Made-up sentences with their spans (kind, start, end)."""
     rng = np.random.default_rng(seed)
+    gaps = (*[" "] * 12, ", ", ". ", ".\n", "\n", ": ", "; ", "### ", ") ", "!! ")
     out = []
     for _ in range(count):
         text, spans = "", []
         while len(text) < WINDOW + 40:
             r = rng.random()
-            if r < 0.09:
-                kind = str(rng.choice(KINDS))
-                e = str(_entity(rng, kind))
+            if r < 0.11:
+                kind = _pick(rng, KINDS)
+                e = _entity(rng, kind)
                 spans.append((kind, len(text), len(text) + len(e)))
                 text += e
-            elif r < 0.17:
+            elif r < 0.19:
                 text += _decoy(rng)
             else:
                 text += _word(rng)
-            text += str(rng.choice([" "] * 12 + [", ", ". ", ".\n", "\n", ": ", "; ", "### ", ") ", "!! "]))
+            text += _pick(rng, gaps)
         out.append((text, spans))
     return out
 
@@ -275,8 +315,26 @@ def tagged(text: str, spans: list[tuple[str, int, int]], at: int, size: int = WI
     return ids, tags
 
 
-@lru_cache(maxsize=2)
-def default_model(examples: int = EXAMPLES, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+def trained(examples: int = EXAMPLES, steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     rows = [tagged(t, s, int(rng.integers(0, 40))) for t, s in labelled_texts(examples, seed)]
     return fit(np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows]), steps, seed=seed)
+
+
+def settings() -> str:
+    return f"examples {EXAMPLES} steps {STEPS} seed {SEED} embed {EMBED} hidden {HIDDEN} window {WINDOW} symbols {SYMBOLS} kinds {' '.join(KINDS)}"
+
+
+@lru_cache(maxsize=1)
+def default_model() -> dict[str, np.ndarray]:
+    """The parameters kept beside this file, if they were trained under these settings; else trained now."""
+    try:
+        raw = pkgutil.get_data("cuelight.llm", FILE)
+    except FileNotFoundError:
+        return trained()
+    kept = dict(np.load(io.BytesIO(raw)))
+    return kept if str(kept.pop("settings")) == settings() else trained()
+
+
+if __name__ == "__main__":
+    np.savez_compressed(Path(__file__).parent / FILE, settings=settings(), **trained())

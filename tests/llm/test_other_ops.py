@@ -138,19 +138,46 @@ def test_tagger_gradient():
         assert abs((moved[0] - moved[1]) / 2e-2 - g[k][at]) < 0.02 + 0.05 * abs(g[k][at]), k
 
 
-def test_tagger_on_held_out_spans():
-    """Spans that pass their kind's check are found, and few others are."""
+def held_out(count, seed):
+    """By kind: planted spans that no base span touches, found ones of them, and all that were added."""
     model = tagger.default_model()
-    right = wrong = missed = 0
-    for text, spans in tagger.labelled_texts(300, 99):
-        ((base, found),) = pii.all_spans([text], model)
-        want = {(a, b, k) for k, a, b in spans if (a, b, k) in base or pii.plausible(text, (a, b, k))}
-        added = set(found) - set(base)
-        right += len(added & want)
-        wrong += len(added - want)
-        missed += len(want - set(found))
+    planted, found_of, added_of = Counter(), Counter(), Counter()
+    texts = tagger.labelled_texts(count, seed)
+    for (text, spans), (base, found) in zip(texts, pii.all_spans([t for t, _ in texts], model)):
         assert set(base) <= set(found)
-    assert right >= 0.6 * (right + missed) and wrong <= 0.15 * (right + wrong), (right, wrong, missed)
+        want = {(a, b, k) for k, a, b in spans if not any(x < b and a < y for x, y, _ in base)}
+        added = set(found) - set(base)
+        for counter, spans_ in ((planted, want), (found_of, want & added), (added_of, added)):
+            counter.update(k for *_, k in spans_)
+    return planted, found_of, added_of
+
+
+def test_tagger_on_held_out_spans():
+    """Of the spans that the base patterns don't have, nine of ten of each kind
+    are found, to the character; and of what is added, nine of ten were planted."""
+    planted, found, added = held_out(800, 99)
+    for kind in tagger.KINDS:
+        assert planted[kind] > 50
+        assert found[kind] >= 0.9 * planted[kind] and found[kind] >= 0.9 * added[kind], (kind, planted, found, added)
+
+
+def test_training_lowers_the_loss(monkeypatch):
+    """The kept parameters are the code's own: a short run of it learns, and settings that differ aren't taken from the file."""
+    rows = [tagger.tagged(t, s, 0) for t, s in tagger.labelled_texts(300, 5)]
+    ids, tags = np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
+    first = tagger.loss_grad(tagger.new_params(np.random.default_rng(1)), ids, tags)[0]
+    assert tagger.loss_grad(tagger.trained(300, 40), ids, tags)[0] < 0.6 * first
+    assert tagger.loss_grad(tagger.default_model(), ids, tags)[0] < 0.15 * first
+    monkeypatch.setattr(tagger, "STEPS", 1)
+    monkeypatch.setattr(tagger, "trained", lambda: "anew")
+    tagger.default_model.cache_clear()
+    assert tagger.default_model() == "anew"
+    tagger.default_model.cache_clear()
+
+
+def test_spelled_addresses_are_found():
+    ((base, found),) = pii.all_spans(["Please write to marlen.po [at] webhost [dot] org or to Lisa, who looks at the dot."], tagger.default_model())
+    assert base == [] and found == [(16, 48, "email")]
 
 
 def test_windows_are_reconciled_over_their_edges():
