@@ -7,6 +7,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -47,17 +48,46 @@ def own_worker(name: str, clear) -> None:
 
 
 _made: list[tuple[SparkSession, str]] = []
+_scopes: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's process ends."""
+    """A fresh path in the shared folder, deleted at the end of the innermost
+    scratch(), else when the driver's process ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(drop_made)
     _made.append((spark, path))
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those handed to the
+    function it gives, which pass to the scratch() around it, if there is one."""
+    mine: list[str] = []
+    kept: set[str] = set()
+    _scopes.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        if _scopes:
+            _scopes[-1].extend(kept & set(mine))
+        gone = set(mine) - kept
+        for made in [m for m in _made if m[1] in gone]:
+            _made.remove(made)
+            with contextlib.suppress(Exception):
+                drop_path(*made)
+
+
 def drop_made() -> None:
     while _made:
         with contextlib.suppress(Exception):  # the session may have ended
@@ -74,7 +104,9 @@ def staged(df: DataFrame, what: str = "stage") -> DataFrame:
     recompute it nor depend on executors that may be lost."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def small(df: DataFrame, cap: int = BROADCAST_ROWS) -> DataFrame:

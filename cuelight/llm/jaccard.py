@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import own_worker, small, staged
+from cuelight.llm.common import own_worker, scratch, small, staged
 from cuelight.llm.components import components
 
 #: Ratio of a band's ends.
@@ -115,8 +115,10 @@ class Bands:
         return out
 
     def width(self, band: int) -> int:
-        """64-bit words of the sketches that are compared by Hamming distance."""
-        return max(8, 1 << (int(self.starts[band + 1] * 4 / 64)).bit_length())
+        """64-bit words of the sketches that are compared by Hamming distance: a
+        bit or two for each shingle of the band's largest sets, of which strangers
+        differ in about half."""
+        return max(4, 1 << (self.starts[band + 1] // 64).bit_length())
 
 
 def piece_keys(hashes: np.ndarray, band: int, pieces: int, spare: int, weak_bits: int) -> np.ndarray:
@@ -152,23 +154,35 @@ def parity_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(U)
 
 
-def _signatures(n: int, num: int, den: int):
+def _marks(n: int):
+    """Sizes of sets, and 128 bits that tell them apart."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
+            marks = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], names=["doc", "n", "fa", "fb"])
+
+    return make
+
+
+def _pieces(n: int, num: int, den: int):
+    """A row for each piece of each set that can link with another: its key, its node, the set's size."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
-            size, fa, fb, keys, ends = [], [], [], [], [0]
-            for text in batch.column("text").to_pylist():
+            keys, nodes, sizes = [np.empty(0, U)], [], []
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 s = shingle_set(text, n)
-                mark = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                own = [piece_keys(s, *b) for b in bands.of(len(s))] if len(s) >= bands.first else []
-                size.append(len(s))
-                fa.append(mark[0])
-                fb.append(mark[1])
-                keys += own
-                ends.append(ends[-1] + sum(map(len, own)))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.record_batch([batch.column("doc"), pa.array(size, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), lists], names=["doc", "n", "fa", "fb", "keys"])
+                for band in bands.of(len(s)) if len(s) >= bands.first else ():
+                    keys.append(piece_keys(s, *band))
+                    nodes.append((doc, len(keys[-1])))
+                    sizes.append(len(s))
+            times = [k for _, k in nodes]
+            yield pa.record_batch([
+                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([d for d, _ in nodes], np.int64), times)),
+                pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["key", "node", "n"])
 
     return make
 
@@ -303,7 +317,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int
     """Candidate pairs between components in the buckets that still hold several.
     Small buckets go to tasks by the dozen; a large one is dealt into blocks, and
     each pair of blocks is a task's."""
-    rows = _labelled(members, labels)
+    rows = _labelled(members.select("key", "node"), labels)
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi and _c > 2").select(F.col("key").alias("_k"), "_c", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
     mixed = staged(mixed, "mixed")
     bins = max(1, (mixed.agg(F.sum("_c")).first()[0] or 0) // BLOCK)
@@ -327,61 +341,108 @@ def linked_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     of docs are not read.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    signed = staged(docs.mapInArrow(_signatures(n, num, den), "doc long, n long, fa long, fb long, keys array<long>"), "signatures")
-
-    copies = signed.where("n > 0").groupBy("fa", "fb").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first < _last")
-    copies = staged(copies.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), "_first"), "copies")
-    classed = signed.join(small(copies), (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & (F.col("n") > 0), "left").withColumn("node", F.coalesce("_first", "doc"))
+    with scratch() as keep:
+        signed = staged(docs.mapInArrow(_marks(n), "doc long, n long, fa long, fb long"), "marks")
+        copies = signed.where("n > 0").groupBy("fa", "fb").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first < _last")
+        copies = staged(copies.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), "_first"), "copies")
+        classed = signed.join(small(copies), (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & (F.col("n") > 0), "left")
+        classes = keep(staged(classed.select("doc", "n", F.coalesce("_first", "doc").alias("node")), "classes"))
+        # copies of other documents stand for nothing of their own; keys are made anew from the texts rather than kept, as they take more room than these
+        alike = classes.groupBy("doc").agg(F.max(F.col("doc") == F.col("node")).alias("_own")).where("not _own").select(F.col("doc").alias("_copy"))
+        own = docs.join(small(staged(alike, "alike")), F.col("doc") == F.col("_copy"), "left_anti")
+        members = staged(shared_pieces(own.mapInArrow(_pieces(n, num, den), "key long, node long, n int")), "members")
+        labels = keep(staged(_labels(docs, members, classes, n, num, den), "labels"))
+
+    out = classes.join(small(labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))), F.col("node") == F.col("_n"), "left")
+    public = lambda c: F.when(c != NO_ID, c)
+    return out.select(public(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), public(F.coalesce("_r", "node")).alias("component_id"))
 
-    keyed = classed.where("doc = node").select(F.explode("keys").alias("key"), "node")
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count(F.lit(1)).alias("_c")).where("lead < last")
-    buckets = staged(buckets.select(F.col("key").alias("_k"), "lead", "last", "_c"), "buckets")
-    # the sums of a bucket of two name both its nodes; only larger ones have to be looked up again
-    pairs = buckets.where("_c = 2").select(F.col("_k").alias("key"), F.explode(F.array("lead", "last")).alias("node"), "lead")
-    large = staged(buckets.where("_c > 2").select("_k", "lead"), "large-buckets")
-    found = keyed.join(small(large), F.col("key") == F.col("_k")).groupBy("key", "node").agg(F.first("lead").alias("lead"))
-    members = staged(found.unionByName(pairs), "members")
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n), sorted, of the keys that several nodes have, with the
+    key's first node and its size. Of what went before, only the last key is held."""
+    held = None  # the last key, its first node and size, and whether its rows go out
+    for batch in batches:
+        key, node, n = (batch.column(c).to_numpy() for c in ("key", "node", "n"))
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        lead, of_lead, last = node[starts], n[starts], node[starts + sizes - 1]
+        several = lead < last
+        if held and key[0] == held[0]:
+            lead[0], of_lead[0] = held[1:3]
+            several[0] = held[3] or lead[0] < last[0]
+            if several[0] and not held[3]:  # its first row, of the batch before, wasn't sent
+                yield pa.record_batch([pa.array([x], k) for x, k in zip((held[0], held[1], held[2], held[1], held[2]), RUN_TYPES)], names=RUN_NAMES)
+        out = np.repeat(several, sizes)
+        held = (key[-1], lead[-1], of_lead[-1], bool(several[-1]))
+        if out.any():
+            cols = (key, node, n, np.repeat(lead, sizes), np.repeat(of_lead, sizes))
+            yield pa.record_batch([pa.array(x[out], k) for x, k in zip(cols, RUN_TYPES)], names=RUN_NAMES)
+
+
+RUN_NAMES = ["key", "node", "n", "lead", "n_lead"]
+RUN_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+
+
+def shared_pieces(keyed: DataFrame) -> DataFrame:
+    """key, node, n, lead (the key's smallest node), n_lead of the keys of two
+    nodes or more.
+
+    The slim rows are exchanged once, by key, sorted inside their partitions and
+    read as a stream, so a key of any number of nodes takes no memory. A
+    document's pieces have many keys, so that even a third of all documents, if
+    near copies, are a small part of a partition by each."""
+    rows = keyed.repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(_runs, "key long, node long, n int, lead long, n_lead int")
+
+
+def _labels(docs: DataFrame, members: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, root of the classes that links join."""
     nodes = staged(members.select(F.col("node").alias("_n")).distinct(), "nodes")
     sketches = staged(docs.join(small(nodes), F.col("doc") == F.col("_n"), "left_semi").mapInArrow(_sketches(n, num, den), "node long, n long, sketch binary"), "sketches")
 
     # a document of several texts may have a node of its own and some of copies: they are linked by it
-    several = staged(classed.groupBy("doc").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select(F.col("doc").alias("_d"), "_lo"), "several")
-    own = staged(classed.join(small(several), F.col("doc") == F.col("_d")).where("node <> _lo").select(F.col("_lo").alias("a"), F.col("node").alias("b")).distinct(), "own")
+    several = staged(classes.groupBy("doc").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select(F.col("doc").alias("_d"), "_lo"), "several")
+    own = staged(classes.join(small(several), F.col("doc") == F.col("_d")).where("node <> _lo").select(F.col("_lo").alias("a"), F.col("node").alias("b")).distinct(), "own")
 
-    first = members.where("node <> lead").groupBy("node").agg(F.min("lead").alias("a")).select("a", F.col("node").alias("b"))
+    # sets whose sizes are too far apart aren't linked, whatever they share
+    sized = members.where((F.col("n") * num <= F.col("n_lead") * den) & (F.col("n_lead") * num <= F.col("n") * den))
+    first = sized.where("node <> lead").groupBy("node").agg(F.min("lead").alias("a")).select("a", F.col("node").alias("b"))
     labels = _relabel(None, _linked(first, docs, sketches, n, num, den).unionByName(own))
-    rows = _labelled(members, labels)
+    rows = _labelled(sized, labels)
     lead = labels.select(F.col("node").alias("_m"), F.col("root").alias("_s"))
     second = rows.join(lead, F.col("lead") == F.col("_m"), "left").where(F.coalesce("_s", "lead") != F.col("label")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     labels = _relabel(labels, _linked(second, docs, sketches, n, num, den))
-    labels = _relabel(labels, _linked(_across(members, labels, sketches, num, den), docs, sketches, n, num, den))
-
-    out = classed.join(small(labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))), F.col("node") == F.col("_n"), "left")
-    public = lambda c: F.when(c != NO_ID, c)
-    return out.select(public(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), public(F.coalesce("_r", "node")).alias("component_id"))
+    return _relabel(labels, _linked(_across(members, labels, sketches, num, den), docs, sketches, n, num, den))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of docs of each group of linked texts, that of the smallest doc_id
     (null first), with its own columns; texts decide, whatever their ids, so an id
     may keep several rows whose texts aren't linked. Rows without words are one
-    document by their doc_id; one stays where no row of that id has words."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    if docs.groupBy(key.alias("_key")).count().where("count > 1").isEmpty():
-        linked = staged(linked_documents(docs, n, num, den), "linked")
-        gone = staged(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")), "gone")
-        return docs.join(small(gone), key == F.col("_gone"), "left_anti")
-    # ids don't tell rows apart: each row is a document under a number of its own
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    linked = linked_documents(rows.select(F.col("_row").alias("doc_id"), "text"), n, num, den)
-    who = rows.select("_row", key.alias("_key"), F.xxhash64("text").alias("_text"))
-    linked = staged(linked.join(who, F.col("doc_id") == F.col("_row")).select("_row", "_key", "_text", "n_shingles", "component_id"), "linked")
-    some, none = linked.where("n_shingles > 0"), linked.where("n_shingles = 0")
-    best = some.groupBy("component_id").agg(F.min(F.struct("_key", "_text", "_row"))["_row"].alias("_stays")).select("_stays")
-    blank = none.groupBy("_key").agg(F.min("_row").alias("_stays")).join(some.select("_key").distinct(), "_key", "left_anti").select("_stays")
-    stays = staged(best.unionByName(blank), "stays")
-    return rows.join(small(stays), F.col("_row") == F.col("_stays"), "left_semi").select(*docs.columns)
+    document by their doc_id; one stays where no row of that id has words. Columns
+    of any names are carried along. Empty table: no rows."""
+    own = docs.columns
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_key")
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("_doc"), key, docs["text"].alias("text"))
+    back = lambda kept: kept.select(*[F.col("_doc")[c].alias(c) for c in own])
+    with scratch() as keep:
+        if docs.groupBy(key).count().where("count > 1").isEmpty():
+            linked = linked_documents(docs, n, num, den).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+            gone = keep(staged(linked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")), "gone"))
+            return back(rows.join(small(gone), F.col("_key") == F.col("_gone"), "left_anti"))
+        # ids don't tell rows apart: each row is a document under a number of its own
+        rows = keep(staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows"))
+        linked = linked_documents(rows.select(F.col("_row").alias("doc_id"), "text"), n, num, den)
+        who = rows.select("_row", "_key", F.xxhash64("text").alias("_text"))
+        linked = staged(linked.join(who, F.col("doc_id") == F.col("_row")).select("_row", "_key", "_text", "n_shingles", "component_id"), "linked")
+        some, none = linked.where("n_shingles > 0"), linked.where("n_shingles = 0")
+        best = some.groupBy("component_id").agg(F.min(F.struct("_key", "_text", "_row"))["_row"].alias("_stays")).select("_stays")
+        blank = none.groupBy("_key").agg(F.min("_row").alias("_stays")).join(some.select("_key").distinct(), "_key", "left_anti").select("_stays")
+        stays = keep(staged(best.unionByName(blank), "stays"))
+        return back(rows.join(small(stays), F.col("_row") == F.col("_stays"), "left_semi"))
 
 
 def oracle(n: int = 3, num: int = 90, den: int = 100) -> str:
