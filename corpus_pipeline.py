@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelight.llm import jaccard, mixing, packing, pii, quality
-from cuelight.llm.common import staged
+from cuelight.llm.common import scratch, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths, each a sequence; a row a piece."""
-    return packing.packed_digests(docs)
+    """Sequences of power-of-two lengths with their ids, a row a sequence."""
+    return packing.pack(docs)
 
 
 STAGES = [
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what a stage staged for itself, and its input,
+    is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, "pipeline")
+    with scratch() as last:
+        for _, stage in STAGES[:-1]:
+            with scratch() as keep:
+                docs = keep(staged(stage(spark, docs, sf_dir), "pipeline"))
+        docs = last(staged(STAGES[-1][1](spark, docs, sf_dir), "pipeline"))
     return docs
