@@ -9,6 +9,7 @@ files, one row a document, says where each document's ids begin.
 
 from __future__ import annotations
 
+import bisect
 import io
 import uuid
 import zlib
@@ -79,31 +80,60 @@ class StreamWriter:
 
 
 class StreamReader:
-    """Random access to a file: sequences and masks are views of its buffers."""
-
-    def __init__(self, source):
-        with pa.ipc.open_stream(source) as stream:
-            self.batches = stream.read_all().to_batches()
-        self.ids = [b.column("ids").flatten().to_numpy(zero_copy_only=True) for b in self.batches]
-        self.starts = np.cumsum([0, *map(len, self.ids)])
+    """Access to a file's ids by place. Batches are read as they are asked for;
+    of a mapped file, or one in memory, they are views of its buffers. forward:
+    places only rise, and batches that were passed are let go, so no more is held
+    than a batch and what one call returns."""
+
+    def __init__(self, source, forward: bool = False):
+        self.stream, self.forward = pa.ipc.open_stream(source), forward
+        self.ids: list[np.ndarray] = []
+        self.starts = [0]
+
+    def _reach(self, at: int, end: int) -> None:
+        while self.starts[-1] < end:
+            ids = self.stream.read_next_batch().column("ids").flatten().to_numpy(zero_copy_only=True)
+            self.ids.append(ids)
+            self.starts.append(self.starts[-1] + len(ids))
+        while self.forward and self.ids and self.starts[1] <= at:
+            del self.ids[0], self.starts[0]
 
     def tokens(self, at: int, n: int) -> np.ndarray:
         """n ids from place `at`; a view when they lie in one batch."""
-        k = int(np.searchsorted(self.starts, at, "right")) - 1
-        if k < len(self.ids) and at + n <= self.starts[k + 1]:
+        self._reach(at, at + n)
+        k = bisect.bisect_right(self.starts, at) - 1
+        if at + n <= self.starts[k + 1]:
             return self.ids[k][at - self.starts[k] : at - self.starts[k] + n]
-        last = int(np.searchsorted(self.starts, at + n, "left"))
+        last = bisect.bisect_left(self.starts, at + n)
         return np.concatenate([a[max(0, at - s) : max(0, at + n - s)] for a, s in zip(self.ids[k:last], self.starts[k:last])])
 
     def sequence(self, row: int, seq_len: int) -> np.ndarray:
         return self.tokens(row * seq_len, seq_len)
 
 
+#: Names that Hadoop gives stores, and those pyarrow knows them by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "file": "file"}
+
+
 def open_store(uri: str):
-    """File system and path of a folder that all executors share."""
+    """File system and path of a folder that all executors share: a shared disk,
+    or a store that pyarrow reaches (S3, Google's, HDFS with its native library),
+    under Hadoop's name or its own. Credentials come from the environment."""
+    from pyarrow import fs
+
+    scheme, sep, rest = uri.partition("://")
+    if not sep:
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
+    if scheme not in SCHEMES.keys() | SCHEMES.values():
+        raise ValueError(f"token files can't be kept in {scheme}://; known are {', '.join(SCHEMES)}")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def opened(store, path: str):
+    """A file to read: mapped where it lies on a disk, else a stream."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_stream(path)
 
 
 def _write_part(uri: str, tokenizer: str, end_id: int, width: int, seq_len: int):
@@ -164,19 +194,21 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
 
 def read_digests(uri: str, places: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of 32-bit little-endian ids), file,
-    at, read from the files. A file's places stay together as they were staged,
-    in order, so a task maps the files of its rows one after another."""
+    at, read from the files. Places of one file stand together and rise, as they
+    were staged, so a task reads the files of its rows one after another, a batch
+    at a time. A place that repeats or falls back opens its file anew. Texts that
+    were null or empty have their end id alone; no places: no rows."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(uri)
-        name, reader = None, None
+        name, reader, last = None, None, 0
         for batch in batches:
             crcs = []
             for file, at, n in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), batch.column("n_tokens").to_pylist()):
-                if file != name:
+                if file != name or at < last:
                     name = file
-                    source = store.open_input_file(f"{root}/{file}")
-                    reader = StreamReader(source)
+                    reader = StreamReader(opened(store, f"{root}/{file}"), forward=True)
+                last = at
                 crcs.append(zlib.crc32(reader.tokens(at, n).astype("<u4").tobytes()))
             yield pa.record_batch([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crcs, pa.int64())] + [batch.column(c) for c in ("file", "at")], names=["doc_id", "start", "n_tokens", "ids_crc32", "file", "at"])
 
