@@ -2,8 +2,9 @@
 
 Every record hashes to one of SLOTS virtual slots, for good. The bytes of each
 slot are summed, and a versioned slot-to-shard map, a small table, is made from
-them: heaviest slot first, each to the lightest shard. Rebalancing edits the map
-and writes a new version; records never hash anew.
+them: heaviest slot first, each to the lightest shard. A later call goes on from
+a kept version: it moves the few slots that are out of balance, splits slots that
+became heavy, and writes the next version; records never hash anew.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import new_path, numbered, staged
+from cuelight.llm.common import new_path, numbered, small, staged
 
 #: Virtual slots, thousands of times a shard's fair share is split into.
 SLOTS = 16384
@@ -49,10 +50,19 @@ def sub_slots(loads: list[tuple[int, int]], shards: int) -> dict[int, int]:
 
 
 def with_sub_slots(recs: DataFrame, subs: dict[int, int]) -> DataFrame:
+    """Adds sub_slot, by a hash of the record, so other splits of the table deal
+    records alike. Only rows that nothing tells apart go by their place: which of
+    them lies where makes no difference."""
+    if not subs:
+        return recs.withColumn("sub_slot", F.lit(0))
     n = F.lit(1)
     for slot, count in sorted(subs.items()):
         n = F.when(F.col("virtual_slot") == slot, count).otherwise(n)
-    return recs.withColumn("sub_slot", F.pmod(F.xxhash64("_row"), n).cast("int"))
+    same = recs.where(F.col("virtual_slot").isin(*subs)).groupBy(F.col("doc_id").alias("_d"), F.col("text_crc32").alias("_t"), F.col("size").alias("_s")).count().where("count > 1").drop("count")
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_crc32") == F.col("_t")) & (F.col("size") == F.col("_s"))
+    rows = recs.join(small(staged(same, "same-records")), on, "left")
+    which = F.when(F.col("_t").isNull(), F.xxhash64("doc_id", "text_crc32", "size")).otherwise(F.xxhash64("_row"))
+    return rows.withColumn("sub_slot", F.pmod(which, n).cast("int")).drop("_d", "_t", "_s")
 
 
 def sub_slot_bytes(recs: DataFrame) -> dict[tuple[int, int], int]:
@@ -107,6 +117,22 @@ def rebalance(current: list[tuple], loads: dict[tuple[int, int], int], shards: i
         r[5] = low
 
 
+def split(current: list[tuple], subs: dict[int, int]) -> list[tuple]:
+    """The map with slots in more sub-slots where subs has more; new ones have no
+    shard (-1) yet, which rebalance gives them. Only a split slot's records move."""
+    known = {slot: n for _, slot, _, n, _, _ in current}
+    out = [(v, slot, sub, max(n, subs.get(slot, 1)), b, sh) for v, slot, sub, n, b, sh in current]
+    return out + [(current[0][0], slot, sub, subs[slot], 0, -1) for slot in sorted(subs) for sub in range(known[slot], subs[slot])]
+
+
+def versions(spark, path: str) -> list[int]:
+    """Versions of the map that are kept under path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+    return sorted(int(x.removeprefix("version=")) for x in found if x.startswith("version="))
+
+
 def store_map(spark, rows: list[tuple], path: str | None = None) -> str:
     """Adds one version to the map's table in the shared folder; its path."""
     path = path or new_path(spark, "slot-map")
@@ -116,28 +142,51 @@ def store_map(spark, rows: list[tuple], path: str | None = None) -> str:
 
 
 def load_map(spark, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
+    return spark.read.parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
     """Each row's shard under the `bytes` law: sizes near equal.
 
     Columns doc_id, size, text_crc32, law, shard, slot (the row's place in its
     shard, gapless from 0, by virtual slot and doc_id), grown_shard (null under
     this law), virtual_slot, sub_slot, map_version.
 
+    map_path: the folder that keeps the map's versions; without it the map lives
+    as long as the session. A call goes on from `version`, the newest one by
+    default, and writes the next if any entry changes: for other shards, bytes
+    that grew, or slots that became heavy.
+
     Null text: 8 bytes, crc32 0. Null doc_id: one virtual slot, split when
-    heavy. Repeated rows and equal doc_ids share a virtual slot, and rows of a
-    heavy one are dealt over its sub-slots. Empty table: no rows. Other columns
-    of docs are not read.
+    heavy. Equal doc_ids share a virtual slot, and the records of a heavy one are
+    dealt over its sub-slots. Equal texts of different doc_ids are records of
+    their own and may lie in different shards. Empty table: no rows. Other
+    columns of docs are not read.
     """
     spark = docs.sparkSession
     recs = staged(records(docs, slots), "records")
     subs = sub_slots(slot_bytes(recs), shards)
+    kept = versions(spark, map_path) if map_path else []
+    if version is not None and version not in kept:
+        raise ValueError(f"no version {version} of the slot map under {map_path}")
+    if kept:
+        # at most slots + shards / HEAVY rows
+        old = [tuple(r) for r in load_map(spark, map_path, kept[-1] if version is None else version).select(*(f.split()[0] for f in MAP_SCHEMA.split(", "))).orderBy("slot", "sub").collect()]
+        if len({slot for _, slot, *_ in old}) != slots:
+            raise ValueError("the kept map has another number of virtual slots")
+        before = split(old, subs)
+        subs = {slot: n for _, slot, _, n, _, _ in before if n > 1}
     recs = with_sub_slots(recs, subs)
-    rows = plan_map(sub_slot_bytes(recs), subs, shards, slots)
-    table = load_map(spark, store_map(spark, rows), 1)
+    loads = sub_slot_bytes(recs)
+    if kept:
+        rows = [(kept[-1] + 1, *r[1:]) for r in rebalance(before, loads, shards)]
+        changed = [r[1:4] + r[5:] for r in rows] != [r[1:4] + r[5:] for r in old]
+        rows, path = (rows, store_map(spark, rows, map_path)) if changed else (old, map_path)
+    else:
+        rows = plan_map(loads, subs, shards, slots)
+        path = store_map(spark, rows, map_path)
+    table = load_map(spark, path, rows[0][0])
     # the map has at most slots + shards / HEAVY rows
     placed = recs.join(F.broadcast(table.select(F.col("slot").alias("virtual_slot"), F.col("sub").alias("sub_slot"), "shard")), ["virtual_slot", "sub_slot"])
-    out = numbered(placed, ["shard"], ["virtual_slot", "doc_id", "_row"], "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "sub_slot", F.lit(1).alias("map_version"))
+    out = numbered(placed, ["shard"], ["virtual_slot", "doc_id", "text_crc32", "_row"], "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "sub_slot", F.lit(rows[0][0]).alias("map_version"))
