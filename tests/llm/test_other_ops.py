@@ -249,6 +249,45 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).columns[0] == "doc_id"
 
 
+def test_pipeline_takes_nulls_and_clashing_columns(spark, tmp_path):
+    """Null and repeated ids, nulls in every column, and columns of the stages'
+    own names: each stage's result is right, and the ids are what was written."""
+    import corpus_pipeline as P
+    from test_docs_ops import words
+
+    from cuelight.llm.tokens import WORD_BPE, default_path
+
+    from data import sentence
+
+    rng = __import__("random").Random(6)
+    data = [*rows(), *((None, sentence(rng, 90), None, None, None, "x", "y", 7) for _ in range(3))]
+    docs = frame(spark, data).withColumnsRenamed({"slot": "_row", "copies": "_doc"}).selectExpr("*", "1 as part")
+    out, seen = docs, []
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, out, str(tmp_path))
+        if k + 1 < len(P.STAGES):
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        out = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        seen.append(out.collect())
+    quality_, single, clean, mixed, packed = seen
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [words(t.lower())] for i in range(max(1, len(w) - 4))}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    kept = [sets(r.text) for r in single]
+    assert not any(near(a, b) for i, a in enumerate(kept) for b in kept[:i])
+    assert all(any(near(sets(r.text), k) for k in kept) for r in quality_) and any(r.doc_id is None for r in quality_)
+    assert Counter(r.doc_id for r in clean) == Counter(r.doc_id for r in single)
+    enc = __import__("tokenizers").Tokenizer.from_file(default_path(WORD_BPE))
+    want = Counter((r.doc_id, tuple([*enc.encode(r.text, add_special_tokens=False).ids, 2])) for r in mixed)
+    got = defaultdict(dict)
+    for r in packed:
+        got[r.doc_id, r.doc_tokens].setdefault(r.start, []).append(tuple(np.frombuffer(r.ids, "<u4").tolist()))
+    for (doc_id, n), parts in got.items():
+        texts = [ids for (d, ids), count in want.items() for _ in range(count) if d == doc_id and len(ids) == n]
+        for start, pieces in parts.items():
+            assert sorted(pieces) == sorted(ids[start : start + len(pieces[0])] for ids in texts)
+
+
 @pytest.mark.parametrize("html,want", [
     ('<article><ul><li class="ad">x<li>one<li>two</ul><p>after</article>', ["one", "two", "after"]),
     ('<article><ul><li>one<li class="ad">x</ul><p>after</article>', ["one", "after"]),
