@@ -1,10 +1,13 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are packed into blocks. A query strip meets a shard of candidate blocks
-in one task: the product of their int8 codes gives every inner product of the
-tile within a bound that follows from the parts the codes leave out. Pairs whose
-upper bound falls short of the query's k-th lower bound are done with; the others
-are computed in double precision. The best of each tile are merged by heaps, shard
+Vectors are packed into blocks, in the precision they come in. A strip of query
+blocks meets a shard of candidate blocks in one task, which makes int8 codes of
+both: their product gives every inner product of the tile within a bound that
+follows from the parts the codes leave out. Pairs whose upper bound falls short
+of the query's k-th lower bound are done with; the others are computed in double
+precision. Vectors travel with their block, not joined to survivors afterwards:
+of many equal or nearly equal vectors all survive, and only in the tile can all
+but k of them be dropped at once. The best of each tile are merged by heaps, shard
 by shard and then in rounds of a bounded number of shards, so the result is exact.
 """
 
@@ -22,15 +25,17 @@ from pyspark.sql import functions as F
 
 from cuelight.llm.common import staged
 
-#: Rows of a block; blocks of a shard; shards merged at once; queries of a merge.
+#: Rows of a block; blocks of a side of a tile; shards merged at once; queries of a merge.
 BLOCK = 1024
-SHARD_BLOCKS = 4
+SIDE_BLOCKS = 8
 FAN_IN = 64
 MERGE_QUERIES = 64
+#: Surviving pairs that are computed at once.
+PAIRS = 1 << 16
 #: Dimensions whose int8 products a float32 sums without rounding: 1024 * 127 * 127 < 2 ** 24.
 EXACT_DIMS = 1024
 
-BLOCKS = "block long, dim int, ids binary, codes binary, scale binary, norm binary, lost binary, vectors binary"
+BLOCKS = "block long, dim int, ids binary, vectors binary"
 
 
 def quantize(x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -60,11 +65,10 @@ def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 class Block:
     def __init__(self, row):
-        dim = int(row.dim)
-        self.ids = np.frombuffer(row.ids, np.int64)
-        self.codes = np.frombuffer(row.codes, np.int8).reshape(-1, dim)
-        self.scale, self.norm, self.lost = (np.frombuffer(b, np.float64) for b in (row.scale, row.norm, row.lost))
-        self.vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, dim)
+        self.block, self.ids = int(row.block), np.frombuffer(row.ids, np.int64)
+        width = len(row.vectors) // (len(self.ids) * int(row.dim))
+        self.vectors = np.frombuffer(row.vectors, np.float32 if width == 4 else np.float64).reshape(len(self.ids), -1).astype(np.float64)
+        self.codes, self.scale, self.norm, self.lost = quantize(self.vectors)
 
 
 def _pack(id_col: str):
@@ -78,14 +82,13 @@ def _pack(id_col: str):
         def out(dim: int) -> pa.RecordBatch:
             nonlocal at
             rows = held.pop(dim)
-            x = np.array([v for _, v in rows], np.float64)
-            parts = [np.array([i for i, _ in rows], np.int64), *quantize(x), x]
+            parts = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows])
             at += 1
-            return pa.record_batch([pa.array([at - 1], pa.int64()), pa.array([dim], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in (parts[0], *parts[1:])]], names=[f.split()[0] for f in BLOCKS.split(", ")])
+            return pa.record_batch([pa.array([at - 1], pa.int64()), pa.array([dim], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], names=[f.split()[0] for f in BLOCKS.split(", ")])
 
         for batch in batches:
             for i, v in zip(batch.column(id_col).to_pylist(), batch.column("vector")):
-                x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
+                x = v.values.to_numpy(zero_copy_only=False)
                 held.setdefault(len(x), []).append((i, x))
                 if len(held[len(x)]) == BLOCK:
                     yield out(len(x))
@@ -98,7 +101,8 @@ def _pack(id_col: str):
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("vector")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
 
 
@@ -112,11 +116,9 @@ def _tile(k: int):
     def search(key, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         cols: list[list] = [[], [], [], [], []]
         shard = key[1] if len(key) > 1 else 0
-        for q_row in queries.itertuples():
-            q = Block(q_row)
-            heaps: list[list] = [[] for _ in q.ids]  # (score, -id), the worst of the k best first
-            for c_row in blocks.sort_values("block").itertuples():
-                c = Block(c_row)
+        strip = [(q, [[] for _ in q.ids]) for q in map(Block, queries.itertuples())]  # heaps of (score, -id), the worst of the k best first
+        for c in map(Block, blocks.itertuples()):
+            for q, heaps in strip:
                 about = code_products(q.codes, c.codes) * q.scale[:, None] * c.scale[None, :]
                 size_q, size_c = q.norm + q.lost, c.norm + c.lost
                 bound = q.norm[:, None] * c.lost[None, :] + q.lost[:, None] * size_c[None, :] + 1e-12 * size_q[:, None] * size_c[None, :]
@@ -124,18 +126,18 @@ def _tile(k: int):
                 low = np.where(own, -np.inf, about - bound)
                 need = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(q.ids), -np.inf)
                 held = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
-                near = (about + bound >= np.maximum(need, held)[:, None]) & ~own
-                qi, ci = np.nonzero(near)
-                score = inner_products(q.vectors[qi], c.vectors[ci])
+                qi, ci = np.nonzero((about + bound >= np.maximum(need, held)[:, None]) & ~own)
+                score = np.concatenate([inner_products(q.vectors[qi[at : at + PAIRS]], c.vectors[ci[at : at + PAIRS]]) for at in range(0, len(qi), PAIRS)] or [np.zeros(0)])
                 for i, s, d in zip(qi.tolist(), score.tolist(), c.ids[ci].tolist()):
                     h = heaps[i]
                     if len(h) < k:
                         heapq.heappush(h, (s, -d))
                     elif (s, -d) > h[0]:
                         heapq.heapreplace(h, (s, -d))
+        for q, heaps in strip:
             for place, (i, h) in enumerate(zip(q.ids.tolist(), heaps)):
                 for s, d in h:
-                    for col, v in zip(cols, ((int(q_row.block) << 11) + place, i, shard, -d, s)):
+                    for col, v in zip(cols, ((q.block << 11) + place, i, shard, -d, s)):
                         col.append(v)
         return pd.DataFrame(dict(zip(("row", "query_id", "shard", "vec_id", "score"), cols))).astype({"row": "int64", "query_id": "int64", "shard": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -174,15 +176,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
     bounded by their sizes, and no task sees the candidates of a whole query.
     """
     cand, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
-    shards = max(1, -(-cand.count() // (BLOCK * SHARD_BLOCKS)))
-    strips = max(1, -(-asked.count() // BLOCK))
+    n_asked = asked.count()
+    shards = max(1, -(-cand.count() // (BLOCK * SIDE_BLOCKS)))
+    strips = max(1, -(-n_asked // (BLOCK * SIDE_BLOCKS)))
     group = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     c = cand.mapInArrow(_pack("id"), BLOCKS).withColumn("shard", group(shards)).withColumn("strip", F.explode(upto(strips)))
     q = asked.mapInArrow(_pack("id"), BLOCKS).withColumn("strip", group(strips)).withColumn("shard", F.explode(upto(shards)))
     by = ["strip", "shard", "dim"]
     best = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_tile(k), "row long, query_id long, shard long, vec_id long, score double")
-    merges = max(1, -(-strips * BLOCK // MERGE_QUERIES))
+    merges = max(1, -(-n_asked // MERGE_QUERIES))
     while True:
         best = best.withColumn("_to", F.floor(F.col("shard") / FAN_IN)).withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(merges)))
         best = best.groupBy("_to", "_part").applyInPandas(_merge(k), "row long, query_id long, shard long, rank int, vec_id long, score double")
