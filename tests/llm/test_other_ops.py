@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -83,6 +84,22 @@ def test_quantization_bound_holds():
     assert (np.abs(about - x @ y.T) <= bound + 1e-9).all()
 
 
+@pytest.mark.parametrize("queries", ["double", "float"])
+def test_neighbours_keep_double_vectors(spark, monkeypatch, queries):
+    rng = np.random.default_rng(4)
+    data = [(i, (1 + rng.normal(size=6) * 1e-12).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "SIDE_BLOCKS", 2)
+    asked = df.where("vec_id % 20 = 0").selectExpr("vec_id", f"cast(embedding as array<{queries}>) embedding")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.nearest(asked, df, 3).collect()}
+    for q in (0, 20, 40):
+        x = np.array(data[q][1]).astype("float32" if queries == "float" else "float64")
+        in_order = lambda y: reduce(lambda s, ab: s + float(ab[0]) * ab[1], zip(x, y), 0.0)  # noqa: E731  sum() makes up for rounding
+        near = sorted((-in_order(y), i) for i, y in data if i != q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(i, -s) for s, i in near]
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(df, df).count() == 0
