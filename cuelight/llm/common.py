@@ -6,7 +6,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
+from contextvars import ContextVar
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,29 +49,35 @@ def own_worker(name: str, clear) -> None:
         _owner.append((name, clear))
 
 
-_made: list[tuple[SparkSession, str]] = []
-_scopes: list[list[str]] = []
+_made: dict[str, SparkSession] = {}
+_lock = threading.Lock()
+#: The scratch() blocks that the running thread is in, outermost first. Each
+#: thread has its own, so operators that run side by side keep their own tables.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder, deleted at the end of the innermost
     scratch(), else when the driver's process ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(drop_made)
-    _made.append((spark, path))
-    if _scopes:
-        _scopes[-1].append(path)
+    with _lock:
+        if not _made:
+            atexit.register(drop_made)
+        _made[path] = spark
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     return path
 
 
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables staged inside are deleted at the end, but for those handed to the
-    function it gives, which pass to the scratch() around it, if there is one."""
+    """Tables staged inside, by this thread, are deleted at the end, but for those
+    handed to the function it gives, which pass to the scratch() around it, if
+    there is one."""
     mine: list[str] = []
     kept: set[str] = set()
-    _scopes.append(mine)
+    outer = _scopes.get()
+    token = _scopes.set((*outer, mine))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df._staged_at)
@@ -78,20 +86,25 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _scopes.remove(mine)
-        if _scopes:
-            _scopes[-1].extend(kept & set(mine))
-        gone = set(mine) - kept
-        for made in [m for m in _made if m[1] in gone]:
-            _made.remove(made)
-            with contextlib.suppress(Exception):
-                drop_path(*made)
+        _scopes.reset(token)
+        if outer:
+            outer[-1].extend(p for p in mine if p in kept)
+        for path in mine:
+            if path not in kept:
+                _drop_made(path)
+
+
+def _drop_made(path: str) -> None:
+    with _lock:
+        spark = _made.pop(path, None)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            drop_path(spark, path)
 
 
 def drop_made() -> None:
-    while _made:
-        with contextlib.suppress(Exception):  # the session may have ended
-            drop_path(*_made.pop())
+    for path in list(_made):
+        _drop_made(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -116,18 +129,21 @@ def small(df: DataFrame, cap: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= cap else df
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list, name: str, within: list | None = None, columns: list | None = None) -> DataFrame:
     """df with `name`: 0, 1, ... within each group of `keys`, following `order`.
 
     No group is gathered in a task: rows are range-partitioned by keys and
     order, numbered inside partitions, and shifted by what earlier partitions
-    hold of the group. `order` should break ties, as equal rows share a task.
+    hold of the group. `order` should break ties, as equal rows share a task;
+    inside a task rows follow `within`, where it says more than `order`.
+    columns: what is kept of the rows once they are sorted; all, unless given.
     """
-    by = [F.col(k) for k in (*keys, *order)]
+    by = [*map(F.col, keys), *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*map(F.col, keys), *(within or order)).withColumn("_mid", F.monotonically_increasing_id())
+    if columns:
+        rows = rows.select(*columns, "_mid")
     rows = staged(
-        df.repartitionByRange(*by).sortWithinPartitions(*by)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumns({"_part": F.shiftright("_mid", 33), "_at": F.col("_mid").bitwiseAND((1 << 33) - 1)})
+        rows.withColumns({"_part": F.shiftright("_mid", 33), "_at": F.col("_mid").bitwiseAND((1 << 33) - 1)})
         .drop("_mid"), "numbered")
     runs = rows.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
@@ -138,6 +154,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return rows.join(small(runs), on).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_p", "_shift", *[f"_k_{k}" for k in keys])
 
 
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL of the crc32 of a text of ASCII characters, bit by bit."""
+    bits = "[" + ", ".join(["0::bigint"] * 8) + "]"
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({x}, ''), lambda y: ord(y)::bigint)),
+ lambda a, b: list_reduce(list_prepend(xor(a, b), {bits}), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
 
