@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import arrow_store, fim, html_extract, jaccard, licenses, mixing, neighbours, packing, pii, prefix_trie, quality, sharding
+from cuelight.llm import arrow_store, fim, html_extract, jaccard, language_model, licenses, mixing, neighbours, packing, pii, prefix_trie, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,14 +57,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html_main_text, op2_block_matrix_ann, op3_license_scan, op4_quality_rules, op5_source_mixing, op6_private_spans, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding, op11_fill_in_middle, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_block_matrix_ann, op3_license_scan, op4_quality_rules, op5_source_mixing, op6_private_spans, op7_ngram_jaccard, op8_token_files, op9_packing, op10_sharding, op11_fill_in_middle, op12_backoff_automaton, op13_prefix_trie)}
 
 
 def oracle_sql():
     return {"op2_block_matrix_ann": neighbours.oracle(), "op3_license_scan": licenses.oracle(), "op4_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(), "op7_ngram_jaccard": jaccard.oracle(),
-            "op11_fill_in_middle": fim.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
+            "op11_fill_in_middle": fim.oracle(), "op12_backoff_automaton": language_model.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
