@@ -160,6 +160,7 @@ def _write_part(uri: str, tokenizer: str, end_id: int, width: int, seq_len: int)
         if writer is not None:
             writer.close()
             sink.close()
+        enc.rest()
         for k in range(0, len(rows), 10_000):
             cols = list(zip(*rows[k : k + 10_000]))
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "file", "part", "at", "n_tokens"])

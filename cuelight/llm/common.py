@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import threading
 import uuid
@@ -45,10 +46,18 @@ def own_worker(name: str, clear) -> None:
     in this one are cleared before `name` fills its own."""
     if _owner and _owner[0][0] != name:
         _owner.pop()[1]()
+        give_back()
     if not _owner:
         _owner.append((name, clear))
 
 
+def give_back() -> None:
+    """Memory that Python has freed goes back to the machine, where the C library
+    can do that: an idle worker shares its executor's memory with the JVM."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _made: dict[str, SparkSession] = {}
 _lock = threading.Lock()
 #: The scratch() blocks that the running thread is in, outermost first. Each

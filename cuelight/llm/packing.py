@@ -70,6 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                         places[length] += 1
                     done += 1
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+        enc.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

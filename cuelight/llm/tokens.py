@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from cuelight.llm.common import own_worker
+from cuelight.llm.common import give_back, own_worker
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -182,6 +182,11 @@ class Encoder:
             if on:
                 gc.enable()
 
+    def rest(self) -> None:
+        """At a task's end: the older generations go, the newer ones stay for the next task."""
+        self.chunks.old, self.pieces.old = {}, {}
+        give_back()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Arrow cuts the texts, numbers the distinct pieces, and strings their
         bytes together; Python sees each distinct piece of the batch once."""
