@@ -14,7 +14,7 @@ place. Texts are dealt to blocks of bounded size; a block asks for the counts of
 its own n-grams (64-bit hashes in sorted runs, one for each range of hashes that
 it touches), ranges of hashes add up the counts of all blocks and answer each,
 and a block builds the part of the automaton that its texts can reach.
-Log-probabilities are whole numbers of 1e-12, so sums don't hang on their order.
+Log-probabilities are whole numbers of 1e-10, so sums don't hang on their order.
 """
 
 from __future__ import annotations
@@ -36,12 +36,17 @@ ORDER = 2
 #: ones. On held-out texts of sf0.1 the best of ten values for pairs and of six for triples.
 PRIOR = (500.0, 5.0)
 #: Bytes of texts of a block, and of texts whose n-grams fall in one range of hashes; ranges at least.
-BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 8 << 20, 16 << 20, 64
-SLICE = 4 << 20
+BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 6 << 20, 16 << 20, 64
+#: Bytes of texts that are cut into words at once.
+SLICE = 8 << 20
 BLANK = " \t\n\x0b\x0c\r"
+#: Hashes are even; the last bit says, while n-grams are counted, that one is of a training text.
+EVEN = np.uint64(2**64 - 2)
 #: What stands for a text's end among the hashes of words.
-END = np.uint64(0xD1B54A32D192ED03)
-UNIT = 10**12
+END = np.uint64(0xD1B54A32D192ED02)
+#: Parts of a log-probability of 1: sums of whole parts don't hang on their order. An arc is one
+#: number, its parts above STATES bits for the state it leads to.
+UNIT, STATES = 10**10, 24
 
 COUNTS = "bucket int, block long, part int, n long, keys binary, counts binary, texts binary"
 
@@ -54,7 +59,7 @@ def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().dictionary_encode()
     at = flat.indices.to_numpy()
-    keys = np.fromiter(map(xxhash.xxh64_intdigest, flat.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(flat.dictionary))
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, flat.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(flat.dictionary)) & EVEN
     blank = pc.index(flat.dictionary, "").as_py()  # the one piece of a text without words
     if blank >= 0:
         of_text = np.repeat(np.arange(len(sizes)), sizes)[at == blank]
@@ -81,16 +86,17 @@ def longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     x = keys * np.uint64(0x9E3779B97F4A7C15) + words
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) & EVEN
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of like weight together, so that Spark's compression finds the zeros."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """Bytes of like weight together, compressed: most of them are zeros, or few values."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), codec="zstd", asbytes=True)
 
 
-def unplanes(raw: bytes, dtype) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+def unplanes(raw: bytes, size: int, dtype) -> np.ndarray:
+    wide = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, size * wide, codec="zstd"), np.uint8).reshape(wide, -1).T).view(dtype).ravel()
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -98,8 +104,8 @@ def packed(keys: np.ndarray) -> bytes:
     return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    return np.cumsum(unplanes(raw, size, np.uint64), dtype=np.uint64)
 
 
 def by_range(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
@@ -109,12 +115,28 @@ def by_range(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     return [(int(at[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
 
 
-def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first).astype(counts.dtype) if len(keys) else counts
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def tallied(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and how often each stands at a place of training."""
+    marked = np.sort(keys | trains.astype(np.uint64))
+    keys = marked & EVEN
+    first = runs(keys)
+    return keys[first], np.add.reduceat(marked & np.uint64(1), first).astype(np.uint32)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, the sums of their counts, and that sum at each of the given places."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = runs(keys)
+    sums = np.add.reduceat(counts[order], first)
+    each = np.empty(len(keys), np.int64)
+    each[order] = np.repeat(sums, np.diff(first, append=len(keys)))
+    return keys[first], sums, each
 
 
 class Grams:
@@ -158,18 +180,20 @@ def vocabulary(docs: DataFrame, ranges: int) -> DataFrame:
             yield send(*merged(held))
 
     def merged(held):
-        keys, counts = counted(*map(np.concatenate, zip(*held)))
+        keys, counts, _ = summed(*map(np.concatenate, zip(*held)))
         return keys[counts > 0], counts[counts > 0]
 
     def send(keys, counts):
-        runs = by_range(keys, ranges)
-        return pa.record_batch([pa.array([r[0] for r in runs], pa.int32()), pa.array([packed(keys[a:b]) for _, a, b in runs], pa.binary()), pa.array([planes(counts[a:b]) for _, a, b in runs], pa.binary())], names=["bucket", "keys", "counts"])
+        cuts = by_range(keys, ranges)
+        columns = [pa.array([c[0] for c in cuts], pa.int32()), pa.array([b - a for _, a, b in cuts], pa.int64()), *[pa.array([f(x[a:b]) for _, a, b in cuts], pa.binary()) for f, x in ((packed, keys), (planes, counts))]]
+        return pa.record_batch(columns, names=["bucket", "n", "keys", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        keys, counts = counted(np.concatenate([unpacked(k) for k in group["keys"].to_pylist()]), np.concatenate([unplanes(c, np.int64) for c in group["counts"].to_pylist()]))
+        rows = group.to_pylist()
+        keys, counts, _ = summed(np.concatenate([unpacked(r["keys"], r["n"]) for r in rows]), np.concatenate([unplanes(r["counts"], r["n"], np.int64) for r in rows]))
         return pa.table({"types": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    sent = docs.where("not held_out").select("text").mapInArrow(count, "bucket int, keys binary, counts binary")
+    sent = docs.where("not held_out").select("text").mapInArrow(count, "bucket int, n long, keys binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(add, "types long, tokens long")
 
 
@@ -204,10 +228,10 @@ def asked(docs: DataFrame, ranges: int, order: int, block_bytes: int) -> DataFra
         text = Texts(head)
         vocab, local = np.unique(words, return_inverse=True)
         grams = Grams(vocab[local], text.age, order)
-        out = [(((number >> 33) + number) * 2654435761 % (1 << 32) * ranges >> 32, number, 0, 0, None, None, np.int64(len(head)).tobytes() + head.tobytes() + planes(local.astype(np.uint32)))]
+        out = [(((number >> 33) + number) * 2654435761 % (1 << 32) * ranges >> 32, number, 0, len(local), head.tobytes(), None, planes(local.astype(np.uint32)))]
         for n in range(1, order + 1):
             used = text.used(grams, n, order)
-            keys, counts = counted(grams.keys[n - 1][used], text.trains[used].astype(np.uint32))
+            keys, counts = tallied(grams.keys[n - 1][used], text.trains[used])
             out += [(bucket, number, n, b - a, packed(keys[a:b]), planes(counts[a:b]), None) for bucket, a, b in by_range(keys, ranges)]
         for k in range(0, len(out), 256):
             yield from _table(out[k : k + 256]).to_batches()
@@ -241,19 +265,15 @@ def answered(group: pa.Table) -> pa.Table:
     """Counts over all blocks, for each block's hashes of one range; of words the
     hashes too. Lengths of n-grams share the space of hashes."""
     rows = group.to_pylist()
-    out = [tuple(r[c] for c in ("bucket", "block", "part", "n", "keys", "counts", "texts")) for r in rows if r["part"] == 0]
+    out = [tuple(r.values()) for r in rows if r["part"] == 0]
     sent = [r for r in rows if r["part"]]
     if sent:
-        keys = np.concatenate([unpacked(r["keys"]) for r in sent])
-        counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in sent]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate([[True], np.diff(keys[order]) > 0])
-        sums = np.add.reduceat(counts[order], np.flatnonzero(new))
-        total = np.empty(len(keys), np.int64)
-        total[order] = sums[np.cumsum(new) - 1]
+        keys = np.concatenate([unpacked(r["keys"], r["n"]) for r in sent])
+        counts = np.concatenate([unplanes(r["counts"], r["n"], np.uint32) for r in sent]).astype(np.int64)
+        _, _, each = summed(keys, counts)
         at = 0
         for r in sent:
-            out.append((r["bucket"], r["block"], r["part"], r["n"], r["keys"] if r["part"] == 1 else None, planes(total[at : at + r["n"]]), None))
+            out.append((r["bucket"], r["block"], r["part"], r["n"], r["keys"] if r["part"] == 1 else None, planes(each[at : at + r["n"]]), None))
             at += r["n"]
     return _table(out)
 
@@ -262,9 +282,10 @@ class Automaton:
     """States, arcs and failure arcs that a block's texts can take."""
 
     def __init__(self, ids: list[np.ndarray], used: list[np.ndarray], counts: list[np.ndarray], tokens: int, types: int, prior):
-        """ids: for each n-gram length the number of the n-gram that ends at each
-        place, where it is used; counts: training counts of the numbered n-grams."""
-        order, width = len(ids), len(counts[0])
+        """ids: for each length the number of the n-gram that ends at each place; used:
+        for each length one place of each n-gram, in the order of their numbers;
+        counts: their training counts."""
+        order, width = len(counts), len(counts[0])
         total = tokens + 0.5 * (types + 1)
         p = (counts[0] + 0.5) / total
         self.width, self.words, self.unknown = width, units(p), int(units(np.array([0.5 / total]))[0])
@@ -278,8 +299,7 @@ class Automaton:
             m, of_context = prior[min(n - 2, len(prior) - 1)], counts[n - 2]
             back.append(units(m / (of_context + m)))
             fail.append(fails)
-            place = np.flatnonzero(used[n - 1])
-            place = place[np.unique(ids[n - 1][place], return_index=True)[1]]  # one of each n-gram
+            place = used[n - 1]
             context, suffix, word = ids[n - 2][place - 1], ids[n - 2][place], ids[0][place]
             p = (counts[n - 1] + m * p[suffix]) / (of_context[context] + m)
             fails = state[suffix]
@@ -287,14 +307,16 @@ class Automaton:
             seen = np.flatnonzero(counts[n - 1])
             arcs.append((state[context[seen]] * width + word[seen], units(p[seen]), reach[seen]))
             state, states = reach, states + len(p)
+        if states >= 1 << STATES:
+            raise ValueError("a block has too many states: take smaller ones")
         key, weight, target = map(np.concatenate, zip(*arcs))
-        self.arcs = dict(zip(key.tolist(), zip(weight.tolist(), target.tolist())))
+        self.arcs = dict(zip(key.tolist(), (weight << STATES | target).tolist()))
         self.back, self.fail = np.concatenate(back).tolist(), np.concatenate(fail).tolist()
 
     def read(self, words: list[int], state: int) -> tuple[int, int]:
         """(log-probability of the words, in units; the state after them)."""
         arcs, back, fail, width = self.arcs.get, self.back, self.fail, self.width
-        unknown = (self.unknown, 0)
+        unknown, low = self.unknown << STATES, (1 << STATES) - 1
         total = 0
         for w in words:
             arc = arcs(state * width + w)
@@ -305,8 +327,8 @@ class Automaton:
                     arc = arcs(state * width + w)
                 else:
                     arc = unknown
-            total += arc[0]
-            state = arc[1]
+            total += arc >> STATES
+            state = arc & low
         return total, state
 
 
@@ -320,21 +342,24 @@ FOUND = "row long, doc_id long, held_out boolean, piece int, n_tokens long, n_kn
 def scored(group: pa.Table, order: int, tokens: int, types: int, prior) -> pa.Table:
     """A block's texts and answers as rows of FOUND, the sums in units."""
     rows = sorted(group.to_pylist(), key=lambda r: (r["part"], r["bucket"]))
-    raw = rows[0]["texts"]
-    n = int(np.frombuffer(raw[:8], np.int64)[0])
-    head = np.frombuffer(raw[8 : 8 + 56 * n], np.int64).reshape(n, 7)
-    local = unplanes(raw[8 + 56 * n :], np.uint32).astype(np.int64)
-    text = Texts(head)
-    counts = [np.concatenate([unplanes(r["counts"], np.int64) for r in rows if r["part"] == k] or [np.zeros(0, np.int64)]) for k in range(1, order + 1)]
-    vocab = np.concatenate([unpacked(r["keys"]) for r in rows if r["part"] == 1])
+    head = np.frombuffer(rows[0]["keys"], np.int64).reshape(-1, 7)
+    local = unplanes(rows[0]["texts"], rows[0]["n"], np.uint32).astype(np.int64)
+    counts = [np.concatenate([unplanes(r["counts"], r["n"], np.int64) for r in rows if r["part"] == k] or [np.zeros(0, np.int64)]) for k in range(1, order + 1)]
+    vocab = np.concatenate([unpacked(r["keys"], r["n"]) for r in rows if r["part"] == 1])
     rows.clear()
+    text = Texts(head)
     grams = Grams(vocab[local], text.age, order)
-    ids, used = [local], [grams.there[0]]
+    ids, used = [local], [None]
     for k in range(2, order + 1):
-        used.append(text.used(grams, k, order))
-        number = np.full(len(local), -1, np.int64)
-        number[used[-1]] = np.unique(grams.keys[k - 1][used[-1]], return_inverse=True)[1]
-        ids.append(number)
+        place = np.flatnonzero(text.used(grams, k, order))
+        by = np.argsort(grams.keys[k - 1][place])
+        first = runs(grams.keys[k - 1][place[by]])
+        used.append(place[by[first]])
+        if k < order:
+            number = np.full(len(local), -1, np.int64)
+            number[place[by]] = np.repeat(np.arange(len(first)), np.diff(first, append=len(by)))
+            ids.append(number)
+    del grams
     machine = Automaton(ids, used, counts, tokens, types, prior)
     known = counts[0] > 0
     out, at = [], 0
