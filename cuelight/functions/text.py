@@ -49,12 +49,17 @@ def syllables(s: Column) -> Column:
     return F.size(F.filter(tokens(s), lambda t: t.rlike(r"[\p{L}\p{N}]")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def has_digit(s: Column) -> Column:
     return F.coalesce(s, F.lit("")).rlike(r"\p{Nd}")
 
 
 def syllabic(s: Column) -> Column:
-    return F.coalesce(s, F.lit("")).rlike(f"[{SYLLABIC}{SYLLABIC.upper()}]")
+    return F.translate(F.coalesce(s, F.lit("")), SYLLABIC + SYLLABIC.upper(), "") != F.coalesce(s, F.lit(""))
 
 
 def natural_seconds(s: Column, rate: float = 6.0) -> Column:

@@ -192,6 +192,20 @@ def context_windows(cues: DataFrame, size: int = 25, beside: int = 2, text: str
     return out.where("n > 0")
 
 
+def translate_prompts(cues: DataFrame, language: str, size: int = 25, beside: int = 2, text: str = "source_text") -> DataFrame:
+    """job_id, batch, prompt: what a model is asked to translate, `size` cues a
+    call, between their neighbours as context, in the order they are spoken in."""
+    rn = F.row_number().over(W.partitionBy("job_id").orderBy("idx")) - 1
+    rows = cues.select("job_id", "idx", F.coalesce(text, F.lit("")).alias("t"), rn.alias("rn")).withColumn("own", F.floor(F.col("rn") / size))
+    to = F.array_distinct(F.array(F.floor((F.col("rn") - beside) / size), "own", F.floor((F.col("rn") + beside) / size)))
+    rows = rows.withColumn("batch", F.explode(F.filter(to, lambda b: b >= 0)))
+    line = F.concat(F.when(F.col("batch") != F.col("own"), "CONTEXT ").otherwise(""), F.lit("["), F.col("idx").cast("string"), F.lit("]"), F.when(F.col("batch") != F.col("own"), ": ").otherwise(" "), "t")
+    g = rows.groupBy("job_id", "batch").agg(F.count_if(F.col("batch") == F.col("own")).alias("n"), F.sort_array(F.collect_list(F.struct("rn", line.alias("l")))).alias("ls"))
+    # Fixed value: the first line of a prompt.
+    head = F.concat(F.lit(f"Translate these subtitle cues into {language}."), F.lit("\n\n"))
+    return g.where("n > 0").select("job_id", "batch", F.concat(head, F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("prompt"))
+
+
 def rewrite_prompt(fit: DataFrame, text: str = "source_text") -> DataFrame:
     """job_id, prompt: a line for each cue to rewrite."""
     line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] budget "), F.col("budget").cast("string"), F.lit(" syllables (currently "), F.col("syllables").cast("string"), F.lit("): "), F.coalesce(F.col(text), F.lit("")))

@@ -71,18 +71,19 @@ def blended(bed: Column, residual: Column, thin: Column, residual_db: float | No
     if residual_db is None:
         return bed
     level = 10 ** (residual_db / 20)
-    n = F.least(F.size(bed), F.size(residual))
-    added = F.transform(bed, lambda x, i: F.when(i < n, x + F.get(residual, i) * level).otherwise(x))
+    both = F.zip_with(bed, residual, lambda x, r: F.when(r.isNull(), x).otherwise(x + r * level))
+    added = F.slice(both, F.lit(1), F.size(bed))  # what is left over may be longer
     return F.when(thin & residual.isNotNull(), added).otherwise(bed)
 
 
 def mixed(bed: Column, gain: Column, voice: Column, bed_gain_db: float = 0.0) -> Column:
-    """Voice over the ducked bed, scaled down to a peak of 0.98 if it is over."""
+    """Voice over the ducked bed, scaled down to a peak of 0.98 if it is over.
+    Time is linear in the samples: mix and peak are computed once a row."""
     level = 10 ** (bed_gain_db / 20)
     duck = F.zip_with(bed, gain, lambda b, g: F.coalesce(b, F.lit(0.0)).cast("double") * F.coalesce(g, F.lit(0.0)) * level)
     mix = F.zip_with(duck, voice, lambda b, v: F.coalesce(b, F.lit(0.0)) + F.coalesce(v.cast("double"), F.lit(0.0)))
-    peak = F.coalesce(F.array_max(F.transform(mix, F.abs)), F.lit(0.0))
-    return F.transform(mix, lambda x: F.when(peak > 0.98, x * 0.98 / peak).otherwise(x))
+    both = T.let(mix, lambda m: F.struct(m.alias("m"), F.coalesce(F.aggregate(m, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))), F.lit(0.0)).alias("peak")))
+    return T.let(both, lambda s: F.when(s["peak"] > 0.98, F.transform(s["m"], lambda x: x * 0.98 / s["peak"])).otherwise(s["m"]))
 
 
 def joined(clips: Column, gap: int) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ SAME_WORD = 0.82
 PLAIN = str.maketrans(*T.accent_table()) | dict.fromkeys(range(0x300, 0x370))
 
 
-def likest(word: str, left: list[str], same: float) -> int | None:
+def likest(word: str, left: list[str], same: float = SAME_WORD) -> int | None:
     """Place of the first word of `left` that is most like `word`, if like
     enough. Cheap upper bounds rule most words out before they are compared."""
     if word in left:
@@ -35,7 +37,7 @@ def likest(word: str, left: list[str], same: float) -> int | None:
     return place
 
 
-def match_words(want: list[str], heard: list[str], same: float = SAME_WORD) -> tuple[float, list[str], list[str]]:
+def match_words(want: list[str], heard: list[str], find: Callable[[str, list[str]], int | None] = likest) -> tuple[float, list[str], list[str]]:
     """Share of wanted words that were heard, the missing ones, and those heard
     with other tones. In order, each word takes the likest word left, if like
     enough, else the first that differs in tone marks only."""
@@ -43,7 +45,7 @@ def match_words(want: list[str], heard: list[str], same: float = SAME_WORD) -> t
     missing: list[str] = []
     tonal: list[str] = []
     for word in want:
-        place = likest(word, left, same)
+        place = find(word, left)
         if place is None:
             plain = word.translate(PLAIN)
             place = next((k for k, other in enumerate(left) if other.translate(PLAIN) == plain), None)
@@ -53,16 +55,94 @@ def match_words(want: list[str], heard: list[str], same: float = SAME_WORD) -> t
     return (len(want) - len(missing)) / max(1, len(want)), missing, tonal
 
 
-def coverage(rows: DataFrame, script: str, heard: str) -> DataFrame:
-    """Adds coverage, missing, tonal. Words are cut by Spark; only the fuzzy,
-    order-bound matching runs in Python, in Arrow batches."""
-
-    def match(want: pd.Series, got: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([match_words(list(a), list(b)) for a, b in zip(want, got)], columns=["coverage", "missing", "tonal"])
+def word_pairs(rows: DataFrame, same: float = SAME_WORD) -> DataFrame:
+    """id, w, g: of each row (id, want, got) the pairs of a wanted and another
+    heard word that may be alike enough: two upper bounds of likeness, by length
+    and by letters in common, leave few of them. The bounds are worked out for a
+    wanted word and all the row's heard words at once."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[str, str, str]] = []
+            for key, left, right in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                ws, gs = sorted(set(left or ())), sorted(set(right or ()))
+                if not ws or not gs:
+                    continue
+                cw, cg, nw, ng = letter_counts(ws), letter_counts(gs), np.array([*map(len, ws)]), np.array([*map(len, gs)])
+                for k in range(len(ws)):
+                    sizes = same * (nw[k] + ng)
+                    close = np.flatnonzero(2 * np.minimum(nw[k], ng) >= sizes - 1e-9)
+                    if nw[k] < 255:  # beyond, counts may have been cut
+                        close = close[2 * np.minimum(cw[k], cg[close]).sum(1, dtype=np.int32) >= sizes[close] - 1e-9]
+                    found += [(key, ws[k], gs[j]) for j in close.tolist() if ws[k] != gs[j]]
+            yield pa.record_batch([pa.array([f[k] for f in found], pa.string()) for k in range(3)], names=["id", "w", "g"])
+
+    return rows.select("id", "want", "got").mapInArrow(near, "id string, w string, g string")
+
+
+def letter_counts(words: list[str]) -> np.ndarray:
+    """How often each word has the letters of each of 32 classes: what two words
+    have in common by class is no less than by letter. Counts end at 255, which
+    only longer words reach; those pass for alike by letters."""
+    places = np.repeat(np.arange(len(words)), [*map(len, words)]) * 32
+    flat = np.bincount(places + np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % 32, minlength=32 * len(words))
+    return np.minimum(flat, 255).astype(np.uint8).reshape(-1, 32)
+
+
+def alike(pairs: DataFrame, same: float = SAME_WORD) -> DataFrame:
+    """The pairs (id, w, g) whose likeness is `same` or more, with it. Equal pairs
+    of words of all rows come together, so each likeness is worked out once."""
+
+    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, r = None, 0.0
+        for batch in batches:
+            out = []
+            for pair in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if pair != last:
+                    m = SequenceMatcher(None, *pair)
+                    last, r = pair, m.ratio() if m.quick_ratio() >= same else 0.0
+                out.append(r)
+            out = np.array(out, float)
+            yield batch.append_column("ratio", pa.array(out)).filter(pa.array(out >= same))
+
+    return pairs.repartition("w", "g").sortWithinPartitions("w", "g").mapInArrow(ratio, "id string, w string, g string, ratio double")
+
+
+def coverage(rows: DataFrame, script: str, heard: str, same: float = SAME_WORD) -> DataFrame:
+    """Adds coverage, missing, tonal: what match_words() finds.
+
+    Words are cut by Spark. Likenesses are worked out for distinct pairs of words
+    of the whole table and joined back to the texts that need them; the greedy
+    pass over a text only looks them up. Equal texts are matched once. Null texts
+    have no words."""
+    text = F.concat_ws("\x00", F.coalesce(script, F.lit("")), F.coalesce(heard, F.lit("")))
+    keyed = rows.withColumn("_text", F.sha2(text, 256))
+    base = keyed.select(F.col("_text").alias("id"), T.script_words(F.col(script)).alias("want"), T.script_words(F.col(heard)).alias("got")).dropDuplicates(["id"])
+    like = alike(word_pairs(base, same), same).groupBy("id").agg(F.collect_list(F.struct("w", "g", "ratio")).alias("like"))
+
+    def match(want: pd.Series, got: pd.Series, like: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, pairs in zip(want, got, like):
+            near = {(p["w"], p["g"]): p["ratio"] for p in (pairs if pairs is not None else ())}
+            out.append(match_words([*a], [*b], lambda w, left: likest_known(w, left, near)))  # noqa: B023
+        return pd.DataFrame(out, columns=["coverage", "missing", "tonal"])
 
     run = F.pandas_udf(match, "coverage double, missing array<string>, tonal array<string>")
-    out = rows.withColumn("_m", run(T.script_words(F.col(script)), T.script_words(F.col(heard))))
-    return out.select(*rows.columns, "_m.coverage", "_m.missing", "_m.tonal")
+    found = base.join(like, "id", "left").select(F.col("id").alias("_id"), run("want", "got", "like").alias("_m"))
+    out = keyed.join(found, F.col("_text") == F.col("_id"))
+    return out.select(*[keyed[c] for c in rows.columns], "_m.coverage", "_m.missing", "_m.tonal")
+
+
+def likest_known(word: str, left: list[str], near: dict[tuple[str, str], float]) -> int | None:
+    """As likest(), by known likenesses: the first word of the greatest."""
+    if word in left:
+        return left.index(word)
+    best, place = 0.0, None
+    for k, other in enumerate(left):
+        r = near.get((word, other), 0.0)
+        if r > best:
+            best, place = r, k
+    return place
 
 
 def exact_coverage(rows: DataFrame, script: str, heard: str, key: str) -> DataFrame:

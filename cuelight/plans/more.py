@@ -209,21 +209,38 @@ def adapt_loop(spark, sf_dir):
     return providers.rewrite(P.cues(spark, sf_dir), stub).select("job_id", "idx", "source_text", "final_text")
 
 
-@query("select * from (values (0, 'a', 'a-fast'), (1, 'a', 'a-old'), (2, 'b', 'b-fast')) t(place, provider, model)")
+@query("""with j as (select o_orderkey id, case when o_orderkey % 3 > 0 then 'a' else 'b' end p, o_orderkey % 4 = 0 own, o_orderkey % 5 > 0 falls from orders),
+c as (select *, case when own then ['mine'] when p = 'a' then ['a-fast', 'a-old'] || case when falls then ['b-fast'] else [] end else ['b-fast'] || case when falls then ['a-fast', 'a-old'] else [] end end m from j)
+select id, len(m)::int n, array_to_string(m, ' > ') models from c""")
 def provider_chain(spark, sf_dir):
-    name = providers.choose_provider("auto", {"a": "key", "b": "key"}, ("a", "b"))
-    chain = providers.model_chain(None, name, {"a": ("a-fast", "a-old"), "b": ("b-fast",)}, True)
-    return spark.createDataFrame([(k, *x) for k, x in enumerate(chain)], "place int, provider string, model string")
+    """The models that each job tries in turn, by its own choice of provider and model."""
+    k = F.col("o_orderkey")
+    has, models = {"a": "key", "b": "key"}, {"a": ("a-fast", "a-old"), "b": ("b-fast",)}
+    chain = lambda wanted, own, falls: F.lit(" > ".join(m for _, m in providers.model_chain("mine" if own else None, providers.choose_provider(wanted, has, ("a", "b")), models, falls)))
+    tried = F.lit(None).cast("string")
+    for wanted in ("auto", "b"):  # the eight settings there are, each chosen once on the driver
+        for own in (True, False):
+            for falls in (True, False):
+                of = ((k % 3 > 0) == F.lit(wanted == "auto")) & ((k % 4 == 0) == F.lit(own)) & ((k % 5 > 0) == F.lit(falls))
+                tried = F.when(of, chain(wanted, own, falls)).otherwise(tried)
+    return P.read(spark, sf_dir, "orders").select(k.alias("id"), F.size(F.split(tried, " > ")).alias("n"), tried.alias("models"))
+
+
+@query(CUES + """, n as (select job_id, idx, row_number() over (partition by job_id order by idx) - 1 rn, coalesce(source_text, '') t from cues), b as (select distinct job_id, rn // 5 batch from n)
+select b.job_id, b.batch::bigint batch, 'Translate these subtitle cues into Vietnamese.' || chr(10) || chr(10) || string_agg(case when rn // 5 = b.batch then '[' || idx || '] ' || t else 'CONTEXT [' || idx || ']: ' || t end, chr(10) order by rn) prompt
+from b join n on n.job_id = b.job_id and rn >= b.batch * 5 - 2 and rn < b.batch * 5 + 7 group by b.job_id, b.batch""")
+def translate_prompts(spark, sf_dir):
+    return jobs.translate_prompts(P.cues(spark, sf_dir), "Vietnamese", size=5)
 
 
 # --- names, paths, numbers ------------------------------------------------------
 
 
-@query("select vec_id, 'db-' || vec_id enrol, 'cue_' || lpad(vec_id::varchar, 5, '0') || '.wav' cue, lpad((vec_id + 1)::varchar, greatest(4, length((vec_id + 1)::varchar))::int, '0') || '.mp3' line, label || '/' || vec_id || '/dub.srt' output from embeddings where vec_id < 100000")
+@query("select vec_id, 'db-' || vec_id enrol, 'cue_' || lpad(vec_id::varchar, greatest(5, length(vec_id::varchar))::int, '0') || '.wav' cue, lpad((vec_id + 1)::varchar, greatest(4, length((vec_id + 1)::varchar))::int, '0') || '.mp3' line, label || '/' || vec_id || '/dub.srt' output from embeddings")
 def asset_paths(spark, sf_dir):
     v = F.col("vec_id")
     none = F.lit(None).cast("string")
-    return P.read(spark, sf_dir, "embeddings").where("vec_id < 100000").select("vec_id", jobs.studio_voice(none, v.cast("string"), none, none).alias("enrol"), T.cue_file(v).alias("cue"), T.line_file(v, "mp3").alias("line"), T.job_path(F.col("label"), v, F.lit("dub.srt")).alias("output"))
+    return P.read(spark, sf_dir, "embeddings").select("vec_id", jobs.studio_voice(none, v.cast("string"), none, none).alias("enrol"), T.cue_file(v).alias("cue"), T.line_file(v, "mp3").alias("line"), T.job_path(F.col("label"), v, F.lit("dub.srt")).alias("output"))
 
 
 @query("""select event_id, case when event_id % 5 = 0 then 'mine' when event_id % 4 = 0 then 'Colab' when event_id % 3 = 0 then 'RunPod ' || left(md5(event_id::varchar), 8) when event_id % 2 = 0 then 'host' || event_id % 9 else 'worker' end label,
@@ -305,10 +322,10 @@ def wav_round_trip(spark, sf_dir):
     return audio.encode_wav(e, 8000).select("vec_id", "wav").mapInPandas(back, "vec_id long, rate int, n int, total long")
 
 
-@query("with n as (select event_id i from events) select i::int idx, case when i % 2 = 0 then 'clips/' || i || '.wav' else 'clips/' || lpad(i::varchar, 4, '0') || '.wav' end path from n where i < 10000 and (i % 2 = 0 or i % 3 > 0)")
+@query("with n as (select event_id i from events) select i::int idx, case when i % 2 = 0 then 'clips/' || i || '.wav' else 'clips/' || lpad(i::varchar, greatest(4, length(i::varchar))::int, '0') || '.wav' end path from n where i % 2 = 0 or i % 3 > 0")
 def clip_index(spark, sf_dir):
     k = K().cast("int")
-    e = _events(spark, sf_dir).where("event_id < 10000")
+    e = _events(spark, sf_dir)
     plain = e.where("event_id % 2 = 0").select(F.format_string("clips/%d.wav", k).alias("path"))
     padded = e.where("event_id % 3 > 0").select(F.format_string("clips/%04d.wav", k).alias("path"))
     return audio.clip_index(plain.unionByName(padded).unionByName(e.select(F.format_string("clips/x%d.txt", k).alias("path"))).distinct())

@@ -53,15 +53,21 @@ def upsert(current: DataFrame, updates: DataFrame, keys: list[str], version: str
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
-def apply_changes(rows: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Partial updates: columns of changes that aren't null replace those of rows."""
-    c = changes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(x).alias(f"_c_{x}") for x in columns])
+def apply_changes(rows: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], version: str | None = None, nulls: bool = False) -> DataFrame:
+    """Partial updates, a row in and a row out. Of several changes of one key the
+    later version counts, for each column on its own, as if they had been made one
+    after another; without a version, or at equal ones, the greater value. A null
+    leaves a column as it is, or, with `nulls`, is what the last change sets."""
+    at = F.col(version) if version else F.lit(0)
+    last = lambda x: F.max_by(F.col(x), F.struct(at, F.col(x))) if nulls else F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct(at, F.col(x))))
+    c = changes.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[last(x).alias(f"_c_{x}") for x in columns]).withColumn("_changed", F.lit(True))
     on = [rows[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     cond: Column = on[0]
     for o in on[1:]:
         cond = cond & o
     out = rows.join(c, cond, "left")
-    return out.select(*[F.coalesce(f"_c_{x}", x).alias(x) if x in columns else F.col(x) for x in rows.columns])
+    new = lambda x: F.when(F.col("_changed"), F.col(f"_c_{x}")).otherwise(rows[x]) if nulls else F.coalesce(F.col(f"_c_{x}"), rows[x])
+    return out.select(*[new(x).alias(x) if x in columns else rows[x] for x in rows.columns])
 
 
 def delete(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,9 +52,12 @@ def latest_wins(updates: DataFrame, path: str, keys: list[str], version: str, bu
     """A streaming writer that keeps, under path, the newest row of each key.
 
     Rows lie in folders by a hash of their key. A micro-batch rewrites the
-    folders its keys fall in, beside the old ones, and only then names the new
-    ones in a manifest, so a batch costs what it touches, a failed one leaves no
-    trace, and a repeated one changes nothing. Read with latest()."""
+    buckets its keys fall in, in a folder of its own, and only then names the new
+    ones in a manifest, so a batch costs what it touches and a failed one leaves
+    no trace. Nothing hangs on a batch's number, which starts anew with each
+    checkpoint: a repeated batch is merged again, which changes nothing. Folders
+    that neither the newest manifest nor the one before it names are deleted, so
+    a reader of the last one can end. One writer at a time. Read with latest()."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -61,18 +65,17 @@ def latest_wins(updates: DataFrame, path: str, keys: list[str], version: str, bu
         batch = batch.withColumn("_bucket", folder).persist()
         try:
             touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # `buckets` at most
-            old = _manifest(spark, path)
-            if not touched or any(e >= epoch for e in old.values()):
+            if not touched:
                 return
-            kept = [f"{path}/epoch={e}/_bucket={b}" for b, e in old.items() if b in touched]
-            before = spark.read.schema(batch.drop("_bucket").schema).parquet(*kept) if kept else batch.drop("_bucket").limit(0)
-            now = tables.upsert(before, batch.drop("_bucket"), keys, version).withColumn("_bucket", folder)
-            now.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch}")
-            rows = list((old | dict.fromkeys(touched, epoch)).items())
-            spark.createDataFrame(rows, "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{epoch:012d}")
-            for b in touched:
-                if b in old:
-                    _remove(spark, f"{path}/epoch={old[b]}/_bucket={b}")
+            number, old = _manifest(spark, path)
+            rows = batch.drop("_bucket")
+            kept = [f"{path}/rows/{old[b]}/_bucket={b}" for b in touched if b in old]
+            before = spark.read.schema(rows.schema).parquet(*kept) if kept else rows.limit(0)
+            mine = uuid.uuid4().hex
+            tables.upsert(before, rows, keys, version).withColumn("_bucket", folder).write.partitionBy("_bucket").parquet(f"{path}/rows/{mine}")
+            new = old | dict.fromkeys(touched, mine)
+            spark.createDataFrame(list(new.items()), "bucket int, folder string").coalesce(1).write.parquet(f"{path}/manifest/{number + 1:012d}-{mine}")
+            _sweep(spark, path, {*old.items(), *new.items()})
         finally:
             batch.unpersist()
 
@@ -84,25 +87,57 @@ def _folder(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _names(spark: SparkSession, path: str) -> list[str]:
     at, store = _folder(spark, path)
-    store.delete(at, True)
+    return sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
 
 
-def _manifest(spark: SparkSession, path: str) -> dict[int, int]:
-    """Epoch of each bucket by the newest manifest that was written whole."""
-    at, store = _folder(spark, f"{path}/manifest")
-    names = sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
-    for name in reversed(names):
-        whole, _ = _folder(spark, f"{path}/manifest/{name}/_SUCCESS")
-        if store.exists(whole):
-            return {r.bucket: r.epoch for r in spark.read.parquet(f"{path}/manifest/{name}").collect()}
-    return {}
+def _remove(spark: SparkSession, path: str) -> None:
+    at, store = _folder(spark, path)
+    store.delete(at, True)
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The table that latest_wins() keeps."""
-    return spark.read.parquet(*[f"{path}/epoch={e}/_bucket={b}" for b, e in _manifest(spark, path).items()])
+def _sweep(spark: SparkSession, path: str, named: set[tuple[int, str]]) -> None:
+    """Deletes the buckets that aren't named, what a lost batch has left among them, and all but two manifests."""
+    folders = {f for _, f in named}
+    for folder in _names(spark, f"{path}/rows"):
+        if folder not in folders:
+            _remove(spark, f"{path}/rows/{folder}")
+            continue
+        for name in _names(spark, f"{path}/rows/{folder}"):
+            if name.startswith("_bucket=") and (int(name[8:]), folder) not in named:
+                _remove(spark, f"{path}/rows/{folder}/{name}")
+    for name in _whole(spark, path)[:-2]:
+        _remove(spark, f"{path}/manifest/{name}")
+
+
+def _whole(spark: SparkSession, path: str) -> list[str]:
+    """Manifests that were written whole, by number."""
+    found = []
+    for name in _names(spark, f"{path}/manifest"):
+        at, store = _folder(spark, f"{path}/manifest/{name}/_SUCCESS")
+        if store.exists(at):
+            found.append(name)
+    return found
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """Number of the newest whole manifest, 0 without one, and the folder of each bucket."""
+    whole = _whole(spark, path)
+    if not whole:
+        return 0, {}
+    return int(whole[-1].split("-")[0]), {r.bucket: r.folder for r in spark.read.parquet(f"{path}/manifest/{whole[-1]}").collect()}
+
+
+def latest(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The table that latest_wins() keeps. Before its first batch there is none:
+    then an empty one, if its schema is given."""
+    _, folders = _manifest(spark, path)
+    if not folders:
+        if schema is None:
+            raise LookupError(f"no batch has been written to {path}")
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*[f"{path}/rows/{folder}/_bucket={b}" for b, folder in folders.items()])
 
 
 def drained(writer: DataStreamWriter, once: bool = True, poll: str = "10 seconds", budget_s: float | None = None) -> StreamingQuery:

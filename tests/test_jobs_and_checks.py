@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cuelight.functions import text as T
 from cuelight.operators import jobs, levels, providers, qc, verify
 from cuelight.sources import tables
 from cuelight.streaming import liveness
@@ -263,3 +264,97 @@ def test_fallbacks_of_sinks(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.glob("row-*")) == ["row-1", "row-2"]
     with pytest.warns(UserWarning, match="event log"):
         assert not tables.append_events(rows.withColumnRenamed("v", "id"), str(tmp_path / "log"))
+
+
+def test_fuzzy_coverage_equals_the_greedy_rule(spark):
+    """Likenesses by distinct pairs give what comparing each word with each gives."""
+    import random
+
+    rng = random.Random(11)
+    stem = lambda: "".join(rng.choice("abcdeghnoạảâ") for _ in range(rng.randrange(1, 9)))
+    pool = [stem() for _ in range(60)]
+
+    def bent(w):
+        k = rng.randrange(len(w))
+        return rng.choice([w, w, w[:k] + rng.choice("abxạ") + w[k + 1 :], w + rng.choice("ab"), w[:k] + w[k + 1 :] or "z", w[::-1], w.upper()])
+
+    rows = []
+    for i in range(120):
+        want = [rng.choice(pool) for _ in range(rng.randrange(0, 25))]
+        heard = [bent(w) for w in want if rng.random() < 0.9]
+        rng.shuffle(heard) if i % 3 == 0 else None
+        rows.append((i % 100, " ".join(want), " ".join(heard), 1.5))
+    rows += [(None, None, "a b", 1.0), (1, "a b", None, 1.0), (2, "", "", 1.0), rows[3], (7, "12 cats", "một hai cats", 0.0)]
+    df = spark.createDataFrame(rows, "id long, script string, heard string, w double").repartition(3)
+    words = df.select("id", "w", T.script_words(F.col("script")).alias("a"), T.script_words(F.col("heard")).alias("b")).collect()
+    want = sorted(((r.id, r.w, *verify.match_words(r.a, r.b)) for r in words), key=str)
+    got = sorted(((r.id, r.w, r.coverage, r.missing, r.tonal) for r in verify.coverage(df, "script", "heard").collect()), key=str)
+    assert got == want and any(r[4] for r in got) and any(r[3] for r in got)
+
+
+def test_mix_is_linear_in_samples(spark):
+    """100,000 samples a row take seconds, and what is computed is the same."""
+    import time
+
+    import numpy as np
+
+    n = 100_000
+    wave = lambda k: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.sin((x * k).cast("double")))
+    rows = spark.range(4).select("id", wave(1).alias("bed"), wave(2).alias("gain"), wave(3).alias("voice"))
+    start = time.perf_counter()
+    m = levels.mixed(levels.blended(F.col("bed"), F.slice(F.reverse("voice"), 1, n - 5), F.col("id") >= 0), F.col("gain"), F.col("voice"), 3.0)
+    got = np.array(rows.select(m.alias("m")).where("id = 3").first().m)
+    assert rows.select(F.size(m).alias("n")).agg(F.sum("n")).first()[0] == 4 * n
+    assert time.perf_counter() - start < 30
+    x = np.arange(1, n + 1.0)
+    bed, voice = np.sin(x), np.sin(3 * x)
+    bed[: n - 5] += voice[::-1][: n - 5] * 10 ** (levels.RESIDUAL_DB / 20)
+    want = bed * np.sin(2 * x) * 10 ** (3 / 20) + voice
+    assert np.allclose(got, want * 0.98 / np.abs(want).max(), atol=1e-9)
+
+
+def test_changes_of_one_key_are_one_change(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "id int, v string, w int")
+    changes = spark.createDataFrame([(1, "x", None, 1), (1, "y", 7, 2), (1, None, None, 3), (None, "m", None, 1), (9, "new", 1, 1)], "id int, v string, w int, ver int")
+    one = {r.id: (r.v, r.w) for r in tables.apply_changes(rows, changes, ["id"], ["v", "w"], "ver").collect()}
+    assert one == {1: ("y", 7), 2: ("b", 2), None: ("m", 3)}
+    other = {r.id: (r.v, r.w) for r in tables.apply_changes(rows, changes, ["id"], ["v", "w"], "ver", nulls=True).collect()}
+    assert other == {1: (None, None), 2: ("b", 2), None: ("m", None)}
+    assert tables.apply_changes(rows, changes, ["id"], ["v"]).count() == 3
+
+
+def test_latest_wins_over_checkpoints_and_lost_batches(spark, tmp_path):
+    """A new checkpoint counts batches anew; none of its updates is lost. Nor does a lost batch's folder stay."""
+    schema, out = "id int, v string, ver int", str(tmp_path / "out")
+    assert liveness.latest(spark, out, schema).count() == 0
+    with pytest.raises(LookupError):
+        liveness.latest(spark, out)
+    for k, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (3, "d", 1)], [(4, "e", 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}/x"))
+        for again in range(2):  # the second run finds nothing new, or, with another checkpoint, everything
+            source = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{k}/*"))
+            liveness.drained(liveness.latest_wins(source, out, ["id"], "ver", buckets=4).option("checkpointLocation", str(tmp_path / f"check{k}-{again if k == 1 else 0}")))
+        if k == 0:
+            spark.createDataFrame(rows, schema).write.parquet(out + "/rows/lost/_bucket=1")
+            spark.createDataFrame([(0, "lost")], "bucket int, folder string").write.parquet(out + "/manifest/000000000099-lost/_temporary")
+    assert sorted(map(tuple, liveness.latest(spark, out).collect())) == [(1, "c", 2), (2, "b", 1), (3, "d", 1), (4, "e", 1)]
+    assert not (tmp_path / "out/rows/lost").exists()
+
+
+def test_errors_say_why():
+    try:
+        try:
+            raise ValueError("first\nlast line" + "x" * 300)
+        except ValueError as e:
+            raise RuntimeError("") from e
+    except RuntimeError as e:
+        said = providers.why(e)
+    assert said == "RuntimeError: (no message) <- caused by ValueError: " + ("last line" + "x" * 300)[:200]
+    a, b = ValueError("a"), ValueError("b")
+    a.__cause__, b.__cause__ = b, a
+    assert providers.why(a) == "ValueError: a <- caused by ValueError: b"
+    odd = RuntimeError("strange")
+    odd.code = [1, 2]
+    assert providers.transient(odd) is False
+    odd.code = 503
+    assert providers.transient(odd) is True
