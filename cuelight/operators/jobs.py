@@ -15,15 +15,19 @@ from cuelight.functions import text as T
 
 def claim_next(queue: DataFrame, per: list[str] | None = None, order: tuple[str, ...] = ("priority", "created_at", "id")) -> DataFrame:
     """The next queued row: lowest priority number, then oldest; nulls last. With
-    `per`, one of each queue. A compare-and-set on the row's status is the
-    writer's part (streaming.claim_batch)."""
+    `per`, one of each queue. Of several workers that see a row as queued
+    streaming.claims lets one have it."""
+    if not per:
+        return first_queued(queue, order, 1)
     rows = queue.where(F.col("status") == "queued")
     by = [F.col(c).asc_nulls_last() for c in order]
-    if not per:
-        return rows.orderBy(*by).limit(1)
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy(*per).orderBy(*by))).where("_rn = 1").drop("_rn")
 
 
+def first_queued(queue: DataFrame, order: tuple[str, ...], n: int) -> DataFrame:
+    return queue.where(F.col("status") == "queued").orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
+
+
 def needs_render(status: Column, audio_path: Column, studio: bool = False) -> Column:
     """Rows to do again on resumption: sent back, or without audio; in the studio also pending and failed ones."""
     again = status.isin("rerolled", "pending", "failed") if studio else status == "rerolled"

@@ -47,10 +47,36 @@ def voice_levels(frames: DataFrame) -> DataFrame:
     """Per voice: mean loud and quiet levels around the 60th and 20th percentile
     of its frames' rms, and their ratio in dB. frames: voice, rms."""
     cuts = frames.groupBy("voice").agg(F.percentile("rms", F.lit(0.6)).alias("_hi"), F.percentile("rms", F.lit(0.2)).alias("_lo"))
+    return _levels(frames, cuts)
+
+
+def _levels(frames: DataFrame, cuts: DataFrame) -> DataFrame:
     g = frames.join(cuts, "voice").groupBy("voice").agg(F.avg(F.when(F.col("rms") > F.col("_hi"), F.col("rms"))).alias("loud"), F.avg(F.when(F.col("rms") < F.col("_lo"), F.col("rms"))).alias("quiet"))
     return g.withColumn("snr_db", F.when(F.col("quiet").isNotNull() & (F.col("loud") > 0), 20 * F.log10(F.col("loud") / F.greatest(F.col("quiet"), F.lit(1e-9)))).otherwise(0.0))
 
 
+def sketched_levels(frames: DataFrame, k: int = 200) -> DataFrame:
+    """voice_levels() by mergeable quantile sketches: one exchange of a sketch a
+    voice and task in place of every frame's level. A cut's rank is off by about
+    1.33 % of a voice's frames at k = 200 (99 % sure), half of it at k = 400."""
+    sketches = frames.groupBy("voice").agg(F.kll_sketch_agg_double("rms", F.lit(k)).alias("_s"))
+    cuts = sketches.select("voice", F.kll_sketch_get_quantile_double("_s", F.lit(0.6)).alias("_hi"), F.kll_sketch_get_quantile_double("_s", F.lit(0.2)).alias("_lo"))
+    return _levels(frames, cuts)
+
+
+def level_reports(cues: DataFrame) -> DataFrame:
+    """Lines, failures and audio of each job, of each voice of a job, of each
+    speaker of a job, and over all, in one pass: level says of what a row is."""
+    sets = [["job_id", "voice"], ["job_id", "speaker"], ["job_id"], []]
+    by = ["job_id", "voice", "speaker"]
+    g = cues.groupingSets([[F.col(c) for c in s] for s in sets], *by)
+    out = g.agg(
+        F.grouping("voice").alias("_v"), F.grouping("speaker").alias("_s"), F.grouping("job_id").alias("_j"), F.count(F.lit(1)).alias("lines"), F.count_if(F.col("status").isin("failed", "qc_fail")).alias("failed"),
+        F.coalesce(F.sum("clip_ms"), F.lit(0)).alias("audio_ms"))
+    level = F.when(F.col("_v") == 0, "voice").when(F.col("_s") == 0, "speaker").when(F.col("_j") == 0, "job").otherwise("all")
+    return out.select(level.alias("level"), *by, "lines", "failed", "audio_ms")
+
+
 def bandwidth(spectrum: DataFrame, part: float = 0.99) -> DataFrame:
     """voice, hz: the first frequency by which `part` of the spectrum's sum lies."""
     w = W.partitionBy("voice").orderBy("hz")

@@ -359,11 +359,13 @@ def best_take(spark, sf_dir):
     return best.select("cue_id", "attempt", "coverage", "similarity", "part", "supp")
 
 
-@query(TAKES + ", r as (select *, row_number() over (partition by cue_id order by coverage desc, similarity desc, attempt, part, supp, price) rn from takes) select cue_id, case when clip_ms <= 0 then 'qc_fail' when coverage >= 1 then 'qc_pass' when coverage >= 0.9 then 'review' else 'qc_fail' end status, case when clip_ms <= 0 then 1.0::double else round_even(1 - coverage, 4) end cer from r where rn = 1")
+@query(TAKES + ", r as (select *, row_number() over (partition by cue_id order by coverage desc, similarity desc, attempt, part, supp, price) rn from takes) select cue_id, case when clip_ms <= 0 then 'qc_fail' when coverage >= 1 then 'qc_pass' when coverage >= 0.9 then 'review' else 'qc_fail' end status, case when clip_ms <= 0 then 1.0::double else round_even(1 - coverage, 4) end cer, case when clip_ms <= 0 then 'no audio' when coverage < 1 then 'missing: w' || part % 7 || case when part % 2 = 0 then ', w' || supp % 5 else '' end when part % 3 = 0 then 'tone check: t' || part % 4 end note from r where rn = 1")
 def cue_verdict(spark, sf_dir):
     best = verify.best_take(P.takes(spark, sf_dir), ["cue_id"], [F.desc("coverage"), F.desc("similarity"), F.col("attempt"), F.col("part"), F.col("supp"), F.col("price")])
-    none = F.array().cast("array<string>")
-    return verify.verdict(best.withColumns({"missing": none, "tonal": none})).select("cue_id", "status", "cer")
+    name = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    missing = F.array_compact(F.array(F.when(F.col("coverage") < 1, name("w", "part", 7)), F.when((F.col("coverage") < 1) & (F.col("part") % 2 == 0), name("w", "supp", 5))))
+    tonal = F.array_compact(F.array(F.when(F.col("part") % 3 == 0, name("t", "part", 4))))
+    return verify.verdict(best.withColumns({"missing": missing, "tonal": tonal})).select("cue_id", "status", "cer", "note")
 
 
 WORDS_OF = lambda x: f"(select job_id, idx, unnest({SCRIPT_WORDS(x)}) w from cues)"
@@ -558,3 +560,4 @@ def cue_invariants(spark, sf_dir):
 
 
 from cuelight.plans import more as more  # noqa: E402  registers further queries
+from cuelight.plans import timed as timed  # noqa: E402

@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState
 
-from cuelight.operators import jobs
 from cuelight.sources import tables
 
+#: What a job that nobody works on says.
+QUIET = ("queued", "done", "failed")
+
 
 def session_stream(beats: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """Runs of beats without a gap, once the watermark has passed them."""
@@ -42,10 +45,51 @@ def kept_beats_stream(beats: DataFrame, key: str, ts: str, least_s: int = 20) ->
     return rows.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, at_us long", "last long", "append", "NoTimeout")
 
 
-def claim_batch(queue: DataFrame, worker: str) -> DataFrame:
-    """The next queued row as this worker's. Run by one writer, as in
-    foreachBatch, so that reading and writing the status can't be interleaved."""
-    return jobs.claim_next(queue).withColumn("status", F.lit("compiling")).withColumn("worker_label", F.lit(worker))
+def requeue_stream(beats: DataFrame, key: str, ts: str, status: str, minutes: int = 15, late: str = "1 minute") -> DataFrame:
+    """key, last_at, due_at: of each job whose last beat is older than `minutes`, as
+    the stream's own time tells; as jobs.requeued() does for a table. A beat that
+    says queued, done or failed ends the watch. A job's state is its last beat,
+    and goes when the watch ends or the timer has fired; a beat that comes after
+    starts it anew, one that comes later than the watermark is not counted."""
+
+    def watch(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "last_us": [last], "due_us": [last + minutes * 60_000_000]})
+            return
+        rows = [(us, s) for pdf in batches for us, s in zip(pdf["_us"], pdf["_status"])]
+        if state.exists:
+            rows.append((state.get[0], "busy"))
+        last, said = max(rows, key=lambda r: (r[0], r[1] in QUIET))
+        if said in QUIET:
+            if state.exists:
+                state.remove()
+            return
+        state.update((last,))
+        # the timer fires once the watermark is past it, so never for a beat it has just let through
+        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+
+    kind = beats.schema[key].dataType.simpleString()
+    rows = beats.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    rows = rows.select(key, ts, F.unix_micros(ts).alias("_us"), F.coalesce(status, F.lit("")).alias("_status"))
+    out = rows.groupBy(key).applyInPandasWithState(watch, f"{key} {kind}, last_us long, due_us long", "last long", "append", "EventTimeTimeout")
+    return out.select(key, F.timestamp_micros("last_us").alias("last_at"), F.timestamp_micros("due_us").alias("due_at"))
+
+
+def unique_stream(rows: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
+    """Rows without those whose keys came before, as far apart as `within` at most;
+    the state of a key goes once the watermark has passed it by as much."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
+
+
+def with_dimension(stream: DataFrame, dimension: DataFrame, on: list[str]) -> DataFrame:
+    """A stream's rows with what a table says of their keys; nulls where it says
+    nothing. Each micro-batch reads the table as it then is; of rows of one key
+    the first by its columns counts, so that no row of the stream doubles."""
+    rest = [c for c in dimension.columns if c not in on]
+    one = dimension.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_d")) if rest else dimension.select(*on).distinct()
+    return stream.join(one, on, "left").select(*stream.columns, *[F.col("_d")[c].alias(c) for c in rest])
 
 
 def latest_wins(updates: DataFrame, path: str, keys: list[str], version: str, buckets: int = 64):

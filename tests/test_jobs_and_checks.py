@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuelight.functions import text as T
 from cuelight.operators import jobs, levels, providers, qc, verify
 from cuelight.sources import tables
-from cuelight.streaming import liveness
+from cuelight.streaming import claims, liveness
 
 
 @pytest.mark.parametrize("want,heard,ratio,missing,tonal", [
@@ -34,10 +34,10 @@ def test_take_ties_and_verdict(spark):
     assert got == {1: ("qc_pass", 0.0, "tone check: x"), 2: ("review", 0.05, "missing: a, b"), 3: ("qc_fail", 0.5, "missing: q"), 4: ("qc_fail", 1.0, "no take"), 5: ("qc_fail", 1.0, "no audio")}
 
 
-def test_claim_order(spark):
+def test_claim_order(spark, tmp_path):
     q = spark.createDataFrame([(1, None, 1, "queued"), (2, 1, 5, "queued"), (3, 1, 5, "queued"), (4, 0, 0, "done"), (5, 1, None, "queued")], "id int, priority int, created_at int, status string")
     assert jobs.claim_next(q).first().id == 2
-    assert liveness.claim_batch(q, "w1").first().asDict() == {"id": 2, "priority": 1, "created_at": 5, "status": "compiling", "worker_label": "w1"}
+    assert claims.claim(q, str(tmp_path), "w1").first().asDict() == {"id": 2, "priority": 1, "created_at": 5, "status": "compiling", "attempt": 1, "worker_label": "w1"}
     assert jobs.claim_next(q.where("status = 'x'")).count() == 0
 
 
