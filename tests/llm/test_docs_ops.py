@@ -201,8 +201,10 @@ def test_jaccard_components(docs, n, num, den):
     assert got == brute_components(rows(), n, num, den)
 
 
-def test_jaccard_near_copies(spark):
+@pytest.mark.parametrize("crowded", [jaccard.CROWDED, 0])
+def test_jaccard_near_copies(spark, monkeypatch, crowded):
     """A cloud of near copies around one text, with chains at the threshold."""
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
     import random
 
     rng = random.Random(5)
