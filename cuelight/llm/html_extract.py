@@ -7,9 +7,13 @@ again from the containers at the paths that won its host. A page that has none
 of them falls back on its own best container, and without one on its body.
 
 Menus, headers, footers, sidebars and controls go by their tags. Names of classes
-and ids are evidence only: an element of such a name goes when it is a lesser
-part of its page, and stays when it holds what the page is about. A path is a
-64-bit hash chained from step to step, so its size doesn't grow with its depth.
+and ids are evidence that is weighed: a box goes by a name that says nothing but
+what it is ('sidebar', 'ad-slot', 'user-comments'), unless it holds what the page
+is about; where a name says other things too, or may mean much, only if the box
+is a list of links, or a line. Headings and quotations never go by name, nor does
+a title in a box named header; what stands within a line goes by an advert's name
+only. A path is a 64-bit hash chained from step to step, so its size doesn't grow
+with its depth.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ VOTES = 3
 BROADCAST_HOSTS = 100_000
 #: An element that its name speaks against stays when it holds at least this part of its page's text.
 MOST_TEXT = 0.5
-#: And one whose name says other things too, when it holds at least this part.
-SOME_TEXT = 0.1
+#: Part of a box's text in links from which it is a list of them, and characters below which a box of a soft name is a line.
+LINKED, LINE = 0.5, 300
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -68,23 +72,40 @@ IN_P = frozenset("body caption html legend tbody td tfoot th thead tr".split())
 CONTAINERS = frozenset("article main section div td blockquote form body".split())
 LIKELY = {"article": 1.5, "main": 1.3, "section": 1.0, "div": 1.0, "form": 1.0, "td": 0.9, "blockquote": 0.8, "body": 0.5}
 #: Words in class or id names, and roles, of what isn't main text.
-NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner banners cookie cookies consent notice notices popup modal overlay sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot comment comments disqus reply replies respond related recommended share sharing social newsletter subscribe signup login search pagination pager widget toolbar copyright legal disclaimer hidden".split())
+NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner banners cookie cookies consent notice notices popup modal overlay sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus reply replies respond newsletter subscribe pagination pager widget toolbar disclaimer hidden".split())
+#: Of what holds a title, beside what isn't main text.
+TITLED = frozenset("header masthead".split())
+#: Words that mean as much beside.
+SOFT_WORDS = frozenset("related recommended share sharing social signup login search side foot copyright legal".split())
 #: Words that say nothing of what an element holds.
-NEUTRAL = frozenset("area bar block bottom box col column container content entry form group holder inner item items left lg link links list main md module outer page panel post posts primary reader readers right row secondary section site slot sm thread top unit user users wrap wrapper xl xs js ui".split())
+NEUTRAL = frozenset("area article bar block body bottom box button buttons col column component container content desktop entry fixed form global group holder icon icons inner item items left lg link links list main md mobile module outer page panel post posts primary reader readers region right row secondary section site slot sm sticky thread top unit user users wrap wrapper xl xs js ui".split())
 #: Words that speak of the layout around: the next word isn't what this element is.
 ABOUT = frozenset("has no non not with without show hide is in".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 
-FORM, STRONG, WEAK = "form", "strong", "weak"
+#: Those by which what stands within a line goes as well.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
+
+FORM, STRONG, TITLE, SOFT, WEAK = "form", "strong", "title", "soft", "weak"
+#: Elements that can go by name.
+NAMED = BLOCKS - HEADINGS - frozenset("main body html head hgroup blockquote pre figcaption caption legend summary hr thead tbody tfoot".split())
 
 
 class Zone:
     """An element that its name or tag speaks against: it stays or goes as a whole."""
 
-    __slots__ = ("kind", "parent", "size", "main", "kept")
+    __slots__ = ("kind", "parent", "size", "linked", "main", "kept")
 
     def __init__(self, kind: str, parent: int):
-        self.kind, self.parent, self.size, self.main, self.kept = kind, parent, 0, False, False
+        self.kind, self.parent, self.size, self.linked, self.main, self.kept = kind, parent, 0, 0.0, False, False
+
+    def stays(self, total: int) -> bool:
+        links = self.linked >= LINKED * self.size
+        if self.kind == WEAK:
+            return not links
+        if self.kind == SOFT:
+            return not links and self.size >= LINE
+        return self.main and self.size >= MOST_TEXT * total
 
 
 class Node:
@@ -110,23 +131,28 @@ class Page:
 
 def name_kind(attrs: dict[str, str]) -> str | None:
     """What class and id names say: STRONG where a name is of noise words and
-    neutral ones, WEAK where it has others beside."""
-    kind = None
+    neutral ones, TITLE and SOFT where its other words are of those sets, WEAK
+    where it has words beside that say other things."""
+    kinds = set()
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
-        found, other, skipped = False, False, False
+        found, other, skipped = set(), False, False
         for word in map(str.lower, NAMES.findall(name)):
             if word in ABOUT:
                 skipped = True
             elif skipped:
                 skipped = False
-            elif word in NOISE:
-                found = True
+            elif word in NOISE or word in TITLED or word in SOFT_WORDS:
+                found.add(STRONG if word in NOISE else TITLE if word in TITLED else SOFT)
             elif word not in NEUTRAL:
                 other = True
-        if found and not other:
-            return STRONG
-        kind = WEAK if found else kind
-    return kind
+        if found:
+            kinds.add(WEAK if other else next(k for k in (STRONG, TITLE, SOFT) if k in found))
+    return next((k for k in (STRONG, TITLE, SOFT, WEAK) if k in kinds), None)
+
+
+def advert(attrs: dict[str, str]) -> bool:
+    names = [[w.lower() for w in NAMES.findall(name)] for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split()]
+    return any(ADVERTS.intersection(words) and ADVERTS.union(NEUTRAL).issuperset(words) for words in names)
 
 
 def unseen(attrs: dict[str, str]) -> bool:
@@ -145,6 +171,8 @@ class Reader:
         self.zones: list[Zone] = []
         self.nodes: list[Node] = []
         self.found: list[tuple[str, int, Node | None, float]] = []  # block, zone, holder, part that isn't linked
+        self.titles: list[tuple[int, bool, bool]] = []  # headings in boxes of TITLE: place in found, is it first, is it an article's
+        self.first_heading = False  # is there a first heading outside of such boxes?
         self.words: list[str] = []
         self.chars = self.linked = self.links = 0
 
@@ -154,6 +182,11 @@ class Reader:
             self.words.clear()
             if block:
                 top = self.stack[-1]
+                if top.tag in HEADINGS:
+                    if top.zone >= 0 and self.zones[top.zone].kind == TITLE:
+                        self.titles.append((len(self.found), top.tag == "h1", top.article))
+                    else:
+                        self.first_heading |= top.tag == "h1"
                 self.found.append((block, top.zone, top if top.tag in CONTAINERS else top.holder, 1 - self.linked / self.chars if self.chars else 1.0))
         self.chars = self.linked = 0
 
@@ -196,10 +229,10 @@ class Reader:
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         parent = self.stack[-1]
         node = Node(tag, parent, len(self.found))
-        kind = None if tag in ("main", "body", "html") else name_kind(attrs)
+        kind = name_kind(attrs) if tag in NAMED else None
         if tag == "form":
             kind = kind or FORM
-        if tag in SKIP or unseen(attrs) or kind and tag not in BLOCKS:
+        if tag in SKIP or unseen(attrs) or tag not in BLOCKS and advert(attrs):
             node.dropped = node.dropped or node
         elif tag in HEADINGS and node.dropped is not None and node.dropped is self.header() and node.dropped.article:
             node.dropped = None  # the heading of an article's own header
@@ -248,7 +281,7 @@ class Reader:
                 self.words.append(" ")
             return
         attrs = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in ATTR.finditer(rest)} if rest else {}
-        if tag not in BLOCKS and tag not in SKIP and not (attrs and (unseen(attrs) or name_kind(attrs))):
+        if tag not in BLOCKS and tag not in SKIP and not (attrs and (unseen(attrs) or advert(attrs))):
             self.links += tag == "a"
             return
         if tag in BLOCKS:
@@ -272,16 +305,21 @@ class Reader:
         self.flush()
         self.close(1)
         total = sum(len(b) for b, *_ in self.found)
-        for block, zone, *_ in self.found:
+        for k, first, article in self.titles:
+            if article or first and not self.first_heading:
+                block, zone, holder, own = self.found[k]
+                self.found[k] = (block, self.zones[zone].parent, holder, own)
+        for block, zone, _, own in self.found:
             if zone >= 0:
                 self.zones[zone].size += len(block)
+                self.zones[zone].linked += len(block) * (1 - own)
         for z in reversed(self.zones):
             if z.parent >= 0:
                 self.zones[z.parent].size += z.size
+                self.zones[z.parent].linked += z.linked
                 self.zones[z.parent].main |= z.main
         for z in self.zones:
-            stays = z.size >= SOME_TEXT * total if z.kind == WEAK else z.main and z.size >= MOST_TEXT * total
-            z.kept = stays and (z.parent < 0 or self.zones[z.parent].kept)
+            z.kept = z.stays(total) and (z.parent < 0 or self.zones[z.parent].kept)
         page, before = Page(), [0]
         for block, zone, holder, own in self.found:
             if zone < 0 or self.zones[zone].kept:

@@ -126,18 +126,20 @@ def split(current: list[tuple], subs: dict[int, int]) -> list[tuple]:
 
 
 def versions(spark, path: str) -> list[int]:
-    """Versions of the map that are kept under path."""
+    """Versions of the map that are kept under path and were written whole."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
-    return sorted(int(x.removeprefix("version=")) for x in found if x.startswith("version="))
+    whole = lambda x: store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))
+    return sorted(int(x.removeprefix("version=")) for x in found if x.startswith("version=") and whole(x))
 
 
 def store_map(spark, rows: list[tuple], path: str | None = None) -> str:
-    """Adds one version to the map's table in the shared folder; its path."""
+    """Adds one version to the map's table in the shared folder; its path. What a
+    lost driver left of that version, which isn't whole, is written over."""
     path = path or new_path(spark, "slot-map")
     table = spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1)
-    table.drop("version").write.parquet(f"{path}/version={rows[0][0]}")
+    table.drop("version").write.mode("overwrite").parquet(f"{path}/version={rows[0][0]}")
     return path
 
 

@@ -410,3 +410,15 @@ def test_one_of_each_keeps_every_text(spark):
     assert Counter({k: n for k, n in got.items() if k[1]}) == Counter([(3, t), (5, u), (None, v), (None, w)])
     third = spark.createDataFrame([(i if i % 3 else None, " ".join(f"a{i}b{k}" for k in range(30))) for i in range(30)], "doc_id long, text string")
     assert jaccard.one_of_each(third).count() == 30
+
+
+def test_a_half_written_map_version_is_no_version(spark, tmp_path):
+    """What a lost driver left is passed over, and written over by the next call."""
+    path = str(tmp_path / "map")
+    small, grown = (spark.range(n).selectExpr("id as doc_id", "repeat('x', cast(id % 9 as int)) as text") for n in (300, 900))
+    sharding.shard(small, 4, 64, path).count()
+    (tmp_path / "map/version=2/_temporary/0").mkdir(parents=True)
+    assert sharding.versions(spark, path) == [1]
+    got = sharding.shard(grown, 4, 64, path)
+    assert got.count() == 900 and {r.map_version for r in got.select("map_version").distinct().collect()} == {2}
+    assert sharding.versions(spark, path) == [1, 2] and not (tmp_path / "map/version=2/_temporary").exists()

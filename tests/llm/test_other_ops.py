@@ -364,3 +364,28 @@ def test_deep_nesting_takes_little_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 200e6 and time.perf_counter() - began < 60, (unit, peak)
+
+
+LONG = "A paragraph of the article that goes on for some while, so that it is plainly prose, and says what there is to say."
+
+
+@pytest.mark.parametrize("element", [
+    '<h1 class="page-header">Kept title</h1>', '<div class="post-header"><h1>Kept title</h1></div>', '<h2 class="section-header">Kept title</h2>',
+    '<section id="related-work"><p>Kept part, of others.</p></section>', '<div id="legal-framework"><p>Kept part, of laws.</p></div>', '<p class="login-steps">Kept steps.</p>',
+    '<div class="ad-hoc-networks"><p>Kept networks.</p></div>', '<blockquote class="side">Kept words.</blockquote>', '<p>Code <span class="hljs-comment"># Kept comment</span> here.</p>',
+    '<p>Kept <strong class="notice">and noted</strong> words.</p>', '<h2><a class="header-link" href="#x">Kept heading</a></h2>', '<section id="full-text-search"><p>Kept: how an index answers.</p></section>',
+    '<h3 class="sidebar">Kept name</h3>', '<p>Kept <em class="search">and found</em> <a class="share" href="y">Kept link</a>.</p>',
+])
+def test_names_take_nothing_of_an_article(spark, element):
+    """Beside an article's own parts that have such names, boxes of these names still go."""
+    boxes = '<div class="sidebar"><h3>Popular</h3><p>Gone one.</p></div><div class="ad">Gone two.</div><section class="user-comments"><article class="comment"><p>Gone three, said a reader.</p></article></section><div class="cookie-notice">Gone four.</div><div class="related"><ul><li><a href="x">Gone five</a></li></ul></div>'
+    page = f'<html><body><div class="site-header"><a href="/">Gone six</a></div><div class="story"><p>{LONG}</p>{element}<p>{LONG}</p>{boxes}<p>{LONG}</p></div><div class="site-footer">Gone seven.</div></body></html>'
+    (row,) = html_extract.main_text(spark.createDataFrame([(1, "https://a.example/x", page)], "page_id long, url string, html string")).collect()
+    assert "Gone" not in row.text and "Popular" not in row.text and row.text.count(LONG) == 3
+    for words in re.findall(r"Kept[^<]*|and noted|here\.", element):
+        assert words.strip() in row.text
+
+
+def test_a_site_title_is_no_article_title(spark):
+    page = f'<body><div class="header"><h1>The Site</h1></div><h1>The article</h1><p>{LONG}</p><p>{LONG}</p></body>'
+    assert html_extract.extract(html_extract.parse(page), []) == f"The article\n\n{LONG}\n\n{LONG}"
