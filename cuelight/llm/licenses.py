@@ -1,7 +1,7 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: small letters, no copyright lines, one
-spelling of what is spelled in several ways, no punctuation, single spaces. The
+A text is brought to a canonical form: small letters, no copyright clauses (a line
+that names a holder, up to what it says of rights), one spelling of what is spelled in several ways, no punctuation, single spaces. The
 md5 of the form is joined with the digests of known licences: of the entire text,
 and of each of its lines, as a notice is often a line of its own. Entire licences
 and headers of several lines are found by a second form, which doesn't hang on how
@@ -84,7 +84,7 @@ BODY = (
 )
 #: Pattern and replacement, in order; Java and RE2 read them alike.
 STEPS = (
-    (r"(?m)^[^\n]*(copyright|©|\(c\))[^\n]*$", " "), ("licence", "license"), ("licensed|released|distributed", "licensed"), ("https://", "http://"), (r"version +([0-9])", "v$1"),
+    (r"(?m)^[^\n]*?(?:copyright|©|\(c\))[^\n]*?((?:all rights reserved|(?:licensed|released|distributed) under)[^\n]*)?$", " $1"), ("licence", "license"), ("licensed|released|distributed", "licensed"), ("https://", "http://"), (r"version +([0-9])", "v$1"),
     (r"[^\p{L}\p{N}.]+", " "), (r"\.( |$)", " "), (r"\.0\b", ""), (" +", " "),
 )
 
@@ -115,7 +115,8 @@ def scan(docs: DataFrame, known=KNOWN, headers=HEADERS, digests=DIGESTS) -> Data
     Null and empty texts: nothing found. Rows of one doc_id are one document.
     Empty table: no rows. Other columns are not read. The known digests are a
     fixed few hundred rows, so they are broadcast. A licence in the midst of a
-    longer text is found by its notice, header or SPDX line only.
+    longer text is found by its notice, header or SPDX line only. Very long texts
+    are read whole, in time linear in their length.
     """
     spark = docs.sparkSession
     lines = [*known, *((x.lower(), f"SPDX-License-Identifier: {x}") for x in SPDX)]
@@ -143,3 +144,19 @@ def oracle(known=KNOWN) -> str:
     return f"""with k as (select distinct license, md5({form('notice')}) d from (values {rows}) v(license, notice)),
 u as (select doc_id, text t, true whole from documents union all select doc_id, unnest(string_split(coalesce(text, ''), chr(10))), false from documents)
 select doc_id, license, bool_or(whole) whole, count(*) filter (not whole) n_lines from u join k on md5({form('t')}) = k.d group by doc_id, license"""
+
+
+def digests_of(texts: DataFrame) -> DataFrame:
+    """license, digest of entire licences (license, text), as DIGESTS has them."""
+    return texts.select("license", body_digest(F.col("text")).alias("digest")).distinct()
+
+
+if __name__ == "__main__":  # python -m cuelight.llm.licenses NAME=FILE ...: the entries of DIGESTS for these texts
+    import sys
+    from pathlib import Path
+
+    from pyspark.sql import SparkSession
+
+    named = [(name, Path(path).read_text()) for name, path in (x.split("=", 1) for x in sys.argv[1:])]
+    for row in sorted(digests_of(SparkSession.builder.getOrCreate().createDataFrame(named, "license string, text string")).collect()):
+        print(f'("{row.license}", "{row.digest}"),')

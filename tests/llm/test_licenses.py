@@ -80,3 +80,64 @@ def test_long_licences(spark):
 def test_every_header_bears_a_mark(spark):
     table = spark.createDataFrame(list(licenses.HEADERS), "license string, notice string")
     assert table.where(~table.notice.rlike(licenses.MARK)).count() == 0
+
+
+def test_rights_beside_a_holder(spark):
+    """A copyright clause goes, what the same line says of rights stays; in SQL as in Spark."""
+    import duckdb
+
+    data = [(1, "x\nCopyright 2024 Acme Inc. All rights reserved.\ny"), (2, "© 2020 Jane Doe, released under the MIT licence"), (3, "(c) Acme\nCopyright (c) Acme\n"), (4, "// Copyright The Authors. Licensed under CC BY 4.0."), (5, "copyright all rights reserved copyright"), (6, "We reserve all rights reserved seats.")]
+    got = sorted(map(tuple, licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()))
+    assert got == [(1, "all-rights-reserved", False, 1), (2, "mit", True, 1), (4, "cc-by-4.0", True, 1)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", data)
+    assert sorted(con.execute(licenses.oracle()).fetchall()) == got
+
+
+def brute_scan(data):
+    """The whole operator in plain Python: both forms of whole texts, lines and paragraphs."""
+    import hashlib
+    import re
+    from collections import defaultdict
+
+    import regex
+
+    def form(text, steps):
+        out = (text or "").lower()
+        for pattern, to in steps:
+            out = regex.sub(pattern, lambda m, to=to: to.replace("$1", (m[1] or "") if m.re.groups else "") if "$1" in to else to, out)
+        return out.strip(" ")
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    one, two = lambda t: md5(form(t, licenses.STEPS)), lambda t: md5("text " + form(t, licenses.BODY))
+    known = defaultdict(set)
+    for name, notice in [*licenses.KNOWN, *((x.lower(), f"SPDX-License-Identifier: {x}") for x in licenses.SPDX)]:
+        known[one(notice)].add(name)
+    for name, notice in licenses.HEADERS:
+        known[two(notice)].add(name)
+    for name, digest in licenses.DIGESTS:
+        known[digest].add(name)
+    out = defaultdict(lambda: [False, 0])
+    for doc, text in data:
+        t = text or ""
+        units = [(one(t), True), *((one(x), False) for x in t.split("\n"))]
+        if regex.search(licenses.MARK, t):
+            units += [(two(t), True), *((two(x), False) for x in regex.split(r"\n(?:[^\p{L}\p{N}\n]*\n)+", t))]
+        for digest, whole in units:
+            for name in known.get(digest, ()):
+                out[doc, name][0] |= whole
+                out[doc, name][1] += not whole
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_scan_equals_a_plain_version(spark):
+    """Entire licences, headers, SPDX lines and notices, planted between other lines."""
+    import random
+
+    rng = random.Random(6)
+    parts = [APACHE, GPL, MIT, BSD.format("Acme"), "SPDX-License-Identifier: MPL-2.0", "# SPDX-License-Identifier: MIT", "All rights reserved.", "Copyright 2020 A. All rights reserved.", "Licensed under CC BY-SA 4.0.", "prose of no licence at all", "permission to speak", "\n", "  \n * \n"]
+    data = [(i, "\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 7)))) for i in range(60)] + [(100, None), (101, ""), (102, "The MIT License\n\nCopyright (c) 2001 B\n\n" + MIT), (103, "Copyright X\n\n" + BSD.format("the University of Y") + "\n\n")]
+    got = {(r.doc_id, r.license): (r.whole, r.n_lines) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute_scan(data) and (102, "mit") in got and got[103, "bsd-3-clause"][0]
+    assert {r.digest for r in licenses.digests_of(spark.createDataFrame([("mit", MIT)], "license string, text string")).collect()} <= {d for n, d in licenses.DIGESTS if n == "mit"}
