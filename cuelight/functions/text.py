@@ -146,7 +146,8 @@ def clip_error(message: Column, most: int = 500) -> Column:
 
 
 def cause_chain(causes: Column, most: int = 4) -> Column:
-    return F.array_join(F.slice(causes, 1, most), " <- ")
+    """An error and what caused it, as providers.why() puts them. Fixed value: what joins them."""
+    return F.array_join(F.slice(causes, 1, most), " <- caused by ")
 
 
 def srt_time(ms: Column) -> Column:

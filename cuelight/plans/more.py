@@ -254,7 +254,7 @@ def worker_setup(spark, sf_dir):
     return rows.select("event_id", "label", F.col("d.name").alias("device"), F.col("d.index").alias("idx"), T.compute_type(F.col("d.name"), K() % 16).alias("compute"))
 
 
-@query("select event_id, round(power(10, (event_id % 40 - 20) / 20.0::double), 9) gain, array_to_string(['a', event_type, 'c', 'd' || event_id, 'e'][1:4], ' <- ') why from events")
+@query("select event_id, round(power(10, (event_id % 40 - 20) / 20.0::double), 9) gain, array_to_string(['a', event_type, 'c', 'd' || event_id, 'e'][1:4], ' <- caused by ') why from events")
 def gains_and_causes(spark, sf_dir):
     why = T.cause_chain(F.array(F.lit("a"), F.col("event_type"), F.lit("c"), F.concat(F.lit("d"), K().cast("string")), F.lit("e")))
     return _events(spark, sf_dir).select("event_id", F.round(T.gain((K() % 40 - 20).cast("double")), 9).alias("gain"), why.alias("why"))
