@@ -380,7 +380,7 @@ def coverage_exact(spark, sf_dir):
 
 @query()
 def coverage_fuzzy(spark, sf_dir):
-    """Rows only: greedy fuzzy matching, tested on fixtures."""
+    """SQL has no such likeness of words; tests compare with the greedy rule, word by word, on random texts."""
     heard = F.regexp_replace(F.reverse(F.reverse(F.col("source_text"))), "e", "a")
     c = verify.coverage(P.cues(spark, sf_dir).withColumn("heard", heard), "source_text", "heard")
     return c.select("job_id", "idx", F.round("coverage", 6).alias("coverage"), F.size("missing").alias("n_missing"), F.size("tonal").alias("n_tonal"))

@@ -7,8 +7,12 @@ lineitem takes, embeddings timbre vectors and short waveforms. What they lack
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +23,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share; in a local session without one, in its temporary folder."""
+    """A new path in the folder all executors share; in a local session without
+    one, in a temporary folder of the process. It is deleted when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cuelight-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = _local_root()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_deleted, spark, path)
+    return path
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    folder = tempfile.mkdtemp(prefix="cuelight-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
