@@ -45,7 +45,7 @@ PIECE_BITS = 16
 SKETCHES = 12
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
-#: Mean nodes of the buckets that still hold several components, above which nearest nodes are joined first, in so many rounds at most.
+#: Candidate pairs for each node of a bucket above which only its nearest ones are looked at first, in so many rounds at most.
 CROWDED, ROUNDS = 16, 3
 WORDS_CACHED = 300_000
 NO_ID = -(1 << 63)
@@ -284,59 +284,64 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("_r", "node").alias("label"))
 
 
-def _compare(num: int, den: int, nearest: bool):
+def _compare(num: int, den: int, crowded: float):
     """Pairs of the block pairs of some buckets that lie in different components
-    and whose sketches are near enough for a link; with `nearest`, of each node
-    only the one whose sketch is nearest."""
+    and whose sketches are near enough for a link. Where a bucket has more than
+    `crowded` for each node, only the nearest of each node, and whole is false."""
 
-    def bucket(sketch, node, n, label, side, one: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    def bucket(sketch, node, n, label, side, one: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
         words = min(map(len, sketch))
         sketch = np.vstack([folded(s, words) for s in sketch])
         left, right = (np.arange(len(node)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        out = []
+        out, best, found = [], [], 0
         for i in left:
-            other = right[(label[right] != label[i]) & ((node[right] > node[i]) | nearest | (not one))]
+            other = right[(label[right] != label[i]) & (node[right] != node[i])]
             apart = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             near = apart * (den + num) <= (n[other] + n[i]) * (den - num)
             other = other[near]
-            if nearest and len(other):
-                other = other[[np.argmin(apart[near])]]
-            out.append((np.full(len(other), node[i]), node[other]))
-        return out
+            if len(other):
+                best.append((node[[i]], node[other[[np.argmin(apart[near])]]]))
+            if one:
+                other = other[node[other] > node[i]]
+            found += len(other)
+            if found <= crowded * len(node):
+                out.append((np.full(len(other), node[i]), node[other]))
+        return (out, True) if found <= crowded * len(node) else (best, False)
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         sketch = [np.frombuffer(s, U) for s in pdf["sketch"]]
         key, node, n, label, side, ti, tj = (pdf[c].to_numpy() for c in ("key", "node", "n", "label", "side", "ti", "tj"))
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        out = []
+        out, whole = [], True
         for x, y in zip(cuts, cuts[1:]):
-            out += bucket(sketch[x:y], node[x:y], n[x:y], label[x:y], side[x:y], ti[x] == tj[x])
+            pairs, all_ = bucket(sketch[x:y], node[x:y], n[x:y], label[x:y], side[x:y], ti[x] == tj[x])
+            out += pairs
+            whole &= all_
         a = np.concatenate([np.empty(0, np.int64), *(p for p, _ in out)])
         b = np.concatenate([np.empty(0, np.int64), *(q for _, q in out)])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "whole": whole}).drop_duplicates()
 
     return across
 
 
-def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int, whole: bool = False) -> tuple[DataFrame, bool]:
+def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int, crowded: float) -> tuple[DataFrame, bool]:
     """Candidate pairs between components in the buckets that still hold several,
     and whether these are all. Small buckets go to tasks by the dozen; a large one
-    is dealt into blocks, and each pair of blocks is a task's. Where buckets hold
-    many nodes yet, only the nearest of each node come, unless the whole is asked
-    for: they join most of a group of near copies, so that its pairs needn't all be made."""
+    is dealt into blocks, and each pair of blocks is a task's. Of crowded buckets
+    only the nearest of each node come: they join most of a group of near copies,
+    so that its pairs needn't all be made."""
     rows = _labelled(members.select("key", "node"), labels)
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi and _c > 2").select(F.col("key").alias("_k"), "_c", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
     mixed = staged(mixed, "mixed")
-    size = mixed.agg(F.sum("_c"), F.sum(F.col("_c").cast("double") * F.col("_c"))).first()
-    whole = whole or (size[1] or 0) <= CROWDED * (size[0] or 0)
-    bins = max(1, (size[0] or 0) // BLOCK)
+    bins = max(1, (mixed.agg(F.sum("_c")).first()[0] or 0) // BLOCK)
     rows = rows.join(small(mixed), F.col("key") == F.col("_k")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     task = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key"))
     rows = rows.select("key", "node", "label", "_blocks", task.alias("task"), F.least("_own", "_other").alias("ti"), F.greatest("_own", "_other").alias("tj"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
     rows = rows.join(sketches.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("key", "_blocks", "task", "ti", "tj", "side", "node", "label", "n", "sketch")
-    return rows.groupBy("_blocks", "task", "ti", "tj").applyInPandas(_compare(num, den, not whole), "a long, b long").distinct(), whole
+    pairs = staged(rows.groupBy("_blocks", "task", "ti", "tj").applyInPandas(_compare(num, den, crowded), "a long, b long, whole boolean"), "pairs")
+    return pairs.select("a", "b").distinct(), pairs.where("not whole").isEmpty()
 
 
 def linked_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -425,8 +430,8 @@ def _labels(docs: DataFrame, members: DataFrame, classes: DataFrame, n: int, num
     lead = labels.select(F.col("node").alias("_m"), F.col("root").alias("_s"))
     second = rows.join(lead, F.col("lead") == F.col("_m"), "left").where(F.coalesce("_s", "lead") != F.col("label")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     labels = _relabel(labels, _linked(second, docs, sketches, n, num, den))
-    for last in (*[False] * ROUNDS, True):
-        pairs, whole = _across(members, labels, sketches, num, den, last)
+    for crowded in (*[CROWDED] * ROUNDS, float("inf")):
+        pairs, whole = _across(members, labels, sketches, num, den, crowded)
         labels = _relabel(labels, _linked(pairs, docs, sketches, n, num, den))
         if whole:
             break
