@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
-from cuelight.operators import jobs, levels, providers, qc, shaping, speakers, timeline, verify
+from cuelight.operators import jobs, levels, providers, shaping, speakers, timeline, verify
 from cuelight.plans import proxies as P
-from cuelight.plans.catalog import ASSIGNED, BUDGET, DIGIT, FIT, MARKUP, PLACED, QUEUE, REWRITTEN, SEGS, STRIP, SYLLABLES, TIME, VIET, _queue, query
+from cuelight.plans.catalog import ASSIGNED, FIT, MARKUP, PLACED, QUEUE, REWRITTEN, SEGS, STRIP, SYLLABLES, TIME, VIET, _queue, query
 from cuelight.plans.proxies import CUES
 from cuelight.sources import audio, srt, tables
 
