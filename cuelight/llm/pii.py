@@ -29,7 +29,7 @@ from cuelight.llm.tagger import KINDS, WINDOW
 STRIDE = WINDOW // 2
 BATCH = 256
 #: Least mean probability of a span's characters.
-SURE = 0.9
+SURE = 0.75
 
 Span = tuple[int, int, str]
 
@@ -45,6 +45,7 @@ ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP_DOT = re.compile(r" ?(?:\.|[(\[]\.[)\]]) ?")
 GROUPED = re.compile(r"[0-9]+(?:[ ./_-]{1,3}[0-9]+)*")
 DIALLED = re.compile(r"[+(]{0,2}[0-9]+(?:[ ()./-]{1,3}[0-9]+)*")
+WORD = re.compile(r"\S+")
 NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -105,6 +106,16 @@ def plausible(text: str, span: Span) -> bool:
     return 9 <= len(d) <= 15 and DIALLED.fullmatch(s) is not None
 
 
+def fitted(text: str, span: Span) -> Span | None:
+    """The span, or what is plausible of it without a few words at its beginning
+    or end: where an address is written with blanks, its bounds are the hardest part."""
+    a, b, kind = span
+    words = [m.span() for m in WORD.finditer(text, a, b)]
+    starts, ends = [a, *(s for s, _ in words[1:4])], [b, *(e for _, e in words[-2:-5:-1])]
+    cuts = sorted(((s, e) for s in starts for e in ends if s < e), key=lambda x: (a - x[0]) + (x[1] - b), reverse=True)
+    return next(((s, e, kind) for s, e in cuts if plausible(text, (s, e, kind))), None)
+
+
 def window_starts(text: str) -> list[int]:
     """Starts, on the grid of STRIDE, of the windows that hold a trigger."""
     at = set()
@@ -146,7 +157,7 @@ def reconcile(text: str, found: list[tuple[int, int, str, float, bool]], base: l
                 old[0], old[1], old[3] = min(a, old[0]), max(b, old[1]), min(sure, old[3])
         else:
             pooled.append([a, b, kind, sure, cut])
-    ok = [(p[0], p[1], p[2], p[3]) for p in pooled if p[3] >= SURE and plausible(text, (p[0], p[1], p[2]))]
+    ok = [(*s, p[3]) for p in pooled if p[3] >= SURE and (s := fitted(text, (p[0], p[1], p[2]))) is not None]
     ok = [p for p in ok if not any(a < p[1] and p[0] < b for a, b, _ in base)]
     ok = sorted(set(ok), key=lambda p: (p[1], p[0], p[2]))
     ends = [p[1] for p in ok]

@@ -1,6 +1,6 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Each character is a symbol (digits are one, letters lose their case); both
+Each character is a symbol (digits but 0 are one, letters lose their case); both
 directions' states give a score per tag, and the CRF's transitions make the tags
 of a window one sequence. Training follows the exact gradient of the sequence's
 likelihood with Adam. Parameters are a dict of small float32 arrays, so a model
@@ -28,8 +28,8 @@ TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 EMBED, HIDDEN = 16, 32
 WINDOW = 96
 LETTERS, MARKS = "abcdefghijklmnopqrstuvwxyz", " \n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PAD, OTHER, DIGIT, WORDLIKE = 0, 1, 2, 3
-SYMBOLS = 4 + len(LETTERS) + len(MARKS)
+PAD, OTHER, DIGIT, WORDLIKE, ZERO = 0, 1, 2, 3, 4
+SYMBOLS = 5 + len(LETTERS) + len(MARKS)
 
 
 def symbol_table() -> np.ndarray:
@@ -39,11 +39,11 @@ def symbol_table() -> np.ndarray:
         if chr(c).isalpha():
             t[c] = WORDLIKE
     for c in range(48, 58):
-        t[c] = DIGIT
+        t[c] = DIGIT if c > 48 else ZERO
     for k, c in enumerate(LETTERS):
-        t[ord(c)] = t[ord(c.upper())] = 4 + k
+        t[ord(c)] = t[ord(c.upper())] = 5 + k
     for k, c in enumerate(MARKS):
-        t[ord(c)] = 4 + len(LETTERS) + k
+        t[ord(c)] = 5 + len(LETTERS) + k
     t[[9, 11, 12, 13]] = t[32]
     return t
 
@@ -224,11 +224,14 @@ def decode(p: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Labelled windows made for training, and the steps over them: a fixed bound.
-EXAMPLES, STEPS, SEED = 16_000, 1200, 7
-
-# Ways to write an address, and syllables of made-up words.
-AT = ("@", "@", "@", "@", " @ ", "@ ", " at ", "(at)", " (at) ", "[at]", " [at] ")
-DOT = {"(at)": ("(dot)", "."), " (at) ": (" (dot) ", "."), "[at]": ("[dot]", "."), " [at] ": (" [dot] ", "."), " at ": (" dot ",)}
+EXAMPLES, STEPS, SEED = 30_000, 3600, 7
+
+# Ways to write an address, syllables of made-up words, what numbers are of.
+AT = ("@", "@", "@", " @ ", "@ ", " at ", " at ", "(at)", "(at)", " (at) ", "[at]", "[at]", " [at] ")
+DOT = {"(at)": ("(dot)", ".", " (dot) "), " (at) ": (" (dot) ", ".", " dot "), "[at]": ("[dot]", "."), " [at] ": (" [dot] ", ".", " dot "), " at ": (" dot ",)}
+NAMES = "jane john mary peter anna karl lucia omar wei nina doe smith meyer lopez rossi novak kim info sales office contact".split()
+CALLED = ("Phone: ", "phone ", "Tel. ", "Tel: ", "tel ", "Call ", "call me at ", "Fax: ", "Mobile: ", "Mobil ", "Telefon: ", "Tél. ", "cell ", "office: ", "reach us on ", "Hotline ", "T: ")
+AMOUNTS = ("Population ", "total of ", "results ", "about ", "No. ", "Order ", "EUR ", "USD ", "$", "pop. ", "sum: ", "ID ", "serial ", "IBAN DE89 ", "votes: ", "in all ", "area ", "row ", "account ", "Ref. ")
 PARTS = "an en in on er re th st ou le la de ge sch ver un ci os ar ti ra lo ma ne po ku vi ha so mi".split()
 
 
@@ -247,12 +250,31 @@ def _digits(rng, n: int) -> str:
 
 def _card(rng) -> str:
     """A number that passes the check digit, whole or in groups."""
-    groups = _pick(rng, ([16], [4, 4, 4, 4], [4, 4, 4, 4], [4, 6, 5], [4, 4, 4, 4, 3], [13], [15], [6, 7]))
+    groups = _pick(rng, ([16], [4, 4, 4, 4], [4, 4, 4, 4], [4, 4, 4, 4], [4, 6, 5], [4, 4, 4, 4, 3], [13], [15], [6, 7]))
     body = str(rng.integers(3, 7)) + _digits(rng, sum(groups) - 2)
     total = sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(body))))
     digits = body + str(-total % 10)
-    sep = _pick(rng, (" ", "-", ".", "/", " - ", "_", "  "))
-    return sep.join(digits[sum(groups[:k]) : sum(groups[: k + 1])] for k in range(len(groups)))
+    seps = (" ", "-", ".", "/", " - ", "_", "  ")
+    one, mixed = _pick(rng, seps), rng.random() < 0.25
+    out = digits[: groups[0]]
+    for k in range(1, len(groups)):
+        out += (_pick(rng, seps[:4]) if mixed else one) + digits[sum(groups[:k]) : sum(groups[: k + 1])]
+    return out
+
+
+def _phone(rng, named: bool) -> str:
+    """named: beside a word that says so. Without one, forms that speak for themselves."""
+    d = lambda n: _digits(rng, n)
+    a, b, c = str(rng.integers(2, 10)) + d(2), d(3), d(4)
+    plain = (
+        f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d(2)}-{d(2)}-{b}-{c}", f"00{d(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}",
+        f"0{d(2)}/{d(7)}", f"0{d(3)}/{d(7)}", f"0{d(3)}/{d(6)}", f"+{d(2)} (0) {d(2)} {c} {c}", f"{a}/{b}-{c}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(2)} {d(7)}", f"0{d(3)} {d(6)}", f"0{d(3)} {d(7)}", f"0{d(4)} {d(6)}", f"0{d(2)}-{d(4)}-{d(4)}",
+        f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"(0{d(2)}) {d(4)} {d(4)}", f"(0{d(3)}) {d(6)}", f"0{d(3)}-{d(7)}", f"0{d(3)} - {d(7)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}")
+    if rng.random() < 0.3:  # national prefixes, whose forms are many
+        parts = _pick(rng, ((3, 7), (4, 7), (3, 8), (4, 6), (5, 6), (3, 4, 4), (4, 3, 4), (4, 7), (2, 2, 2, 2, 2), (3, 3, 2, 2), (5, 3, 3)))
+        body = _pick(rng, (" ", " ", " ", "-", "/", ".", " - ")).join(d(n) for n in parts)
+        return ("00" if rng.random() < 0.1 else "0") + body[1:]
+    return _pick(rng, (*plain, f"{a} {b} {c}", f"{a}{b}{c}", f"0{d(10)}", f"{a} {b}{c}") if named else plain)
 
 
 def _entity(rng, kind: str) -> str:
@@ -260,22 +282,32 @@ def _entity(rng, kind: str) -> str:
     if kind == "email":
         at = _pick(rng, AT)
         dot = _pick(rng, DOT.get(at, (".",)))
-        user = _word(rng).lower() + _pick(rng, ("", ".", "_", "-", "+")) + _pick(rng, (_word(rng).lower(), d(2), d(1), "x"))
-        host = _pick(rng, ("mail", "post", "web", _word(rng).lower())) + _pick(rng, ("", d(1))) + _pick(rng, (".example", "-" + _word(rng).lower(), ""))
-        return user + at + (host + _pick(rng, (".com", ".org", ".net", ".de", ".co.uk", ".info"))).replace(".", dot)
+        name = lambda: _pick(rng, (_word(rng).lower(), _word(rng).lower(), _pick(rng, NAMES)))
+        user = name() + _pick(rng, ("", ".", ".", "_", "-", "+")) + _pick(rng, (name(), name(), d(2), d(1), "x", ""))
+        user = user.rstrip("._-+")
+        if at not in ("@", " @ ", "@ ") and "." in user and rng.random() < 0.5:
+            user = user.replace(".", dot)
+        host = _pick(rng, ("mail", "post", "web", "example", "example", name())) + _pick(rng, ("", "", d(1))) + _pick(rng, (".example", "-" + _word(rng).lower(), "", "", ""))
+        out = user + at + (host + _pick(rng, (".com", ".com", ".org", ".net", ".de", ".co.uk", ".ac.uk", ".info"))).replace(".", dot)
+        return out.upper() if rng.random() < 0.06 else out
     if kind == "ip":
-        return _pick(rng, (".", ".", ".", " . ", "[.]", "(.)")).join(str(rng.integers(1, 256)) for _ in range(4))
+        top = _pick(rng, (10, 100, 256, 256))
+        return _pick(rng, (".", ".", " . ", "[.]", "[.]", "(.)")).join(str(rng.integers(0 if k else 1, top)) for k in range(4))
     if kind == "card":
         return _card(rng)
-    a, b, c = d(3), d(3), d(4)
-    return _pick(rng, (f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{d(2)}-{d(2)}-{b}-{c}", f"00{d(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"0{d(2)}/{d(7)}", f"+{d(2)} (0) {d(2)} {c} {c}", f"{a}/{b}-{c}"))
+    raise ValueError(kind)
 
 
 def _decoy(rng) -> str:
     d = lambda n: _digits(rng, n)
     w = lambda: _word(rng)
     numbers = (f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}", f"${d(1)},{d(3)}.{d(2)}", f"{d(3)}", f"#{d(5)}", f"{d(8)}", f"{d(1)}.{d(3)}", f"{d(4)}", f"{d(1)}{d(3)}%", f"{d(2)}/{d(2)}/20{d(2)}", f"({d(1)})", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}.{d(2)}", f"pp. {d(2)}-{d(3)}", f"{d(3)}x{d(3)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(30)}", f"Version {d(1)}.0.", f"{d(4)} {d(4)}", f"{d(1)} {d(2)} {d(1)} {d(2)}", f"20{d(2)}-20{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"1.{d(1)}.{d(1)}", f"{d(5)}-{d(4)}", f"[{d(2)}]")
-    mixed = ("".join(_pick(rng, "0123456789abcdef") for _ in range(40)), f"@{w().lower()}", f"at {w()}", f"dot {w()}", f"{w()} at {w()} dot", f"(at {w()})", f"{w()}{d(3)}", f"http://{w().lower()}.com/{d(6)}")
+    n = str(rng.integers(1, 10))
+    counts = [_pick(rng, AMOUNTS) + x for x in (
+        f"{n} {d(3)} {d(3)} {d(3)}", f"{n}{d(1)} {d(3)} {d(3)}", f"{n}{d(2)} {d(3)} {d(3)}", f"{n}{d(2)} {d(3)} {d(4)} {d(1)}", f"{n},{d(3)},{d(3)},{d(3)}", f"{n}{d(9)}", f"{n}{d(10)}", f"{n}{d(3)} {d(4)} {d(4)} {d(4)} {d(2)}", f"{n}{d(3)}-{d(4)}", f"{n}.{d(3)}.{d(3)}.{d(3)}", f"{n}{d(1)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{n}{d(1)}, {d(2)}, {d(2)}, {d(3)}", f"{n}{d(4)} {d(5)} {d(4)}")]
+    if rng.random() < 0.4:
+        return _pick(rng, counts)
+    mixed = (f"{w()} at a dot {w()}", f"at the dot {w()}", f"{w()} dot com", f"look at {w()} dot {w()} dot", f"(at) {w()}", f"[dot] {w()}", "".join(_pick(rng, "0123456789abcdef") for _ in range(40)), f"@{w().lower()}", f"at {w()}", f"dot {w()}", f"{w()} at {w()} dot", f"(at {w()})", f"{w()}{d(3)}", f"http://{w().lower()}.com/{d(6)}")
     return _pick(rng, numbers if rng.random() < 0.7 else mixed)
 
 
@@ -284,13 +316,16 @@ def labelled_texts(count: int, seed: int) -> list[tuple[str, list[tuple[str, int
     rng = np.random.default_rng(seed)
     gaps = (*[" "] * 12, ", ", ". ", ".\n", "\n", ": ", "; ", "### ", ") ", "!! ")
     out = []
-    for _ in range(count):
+    for k in range(count):
         text, spans = "", []
-        while len(text) < WINDOW + 40:
+        size = WINDOW + 40 if k % 3 else int(rng.integers(5, WINDOW))  # a third are short texts
+        while len(text) < size:
             r = rng.random()
             if r < 0.11:
                 kind = _pick(rng, KINDS)
-                e = _entity(rng, kind)
+                named = kind == "phone" and rng.random() < 0.5
+                text += _pick(rng, CALLED) if named else ""
+                e = _phone(rng, named) if kind == "phone" else _entity(rng, kind)
                 spans.append((kind, len(text), len(text) + len(e)))
                 text += e
             elif r < 0.19:
@@ -317,7 +352,7 @@ def tagged(text: str, spans: list[tuple[str, int, int]], at: int, size: int = WI
 
 def trained(examples: int = EXAMPLES, steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    rows = [tagged(t, s, int(rng.integers(0, 40))) for t, s in labelled_texts(examples, seed)]
+    rows = [tagged(t, s, int(rng.integers(0, max(1, min(40, len(t) - WINDOW + 1))))) for t, s in labelled_texts(examples, seed)]
     return fit(np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows]), steps, seed=seed)
 
 

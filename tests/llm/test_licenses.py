@@ -98,7 +98,6 @@ def test_rights_beside_a_holder(spark):
 def brute_scan(data):
     """The whole operator in plain Python: both forms of whole texts, lines and paragraphs."""
     import hashlib
-    import re
     from collections import defaultdict
 
     import regex
