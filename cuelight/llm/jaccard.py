@@ -334,7 +334,8 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int
     rows = _labelled(members.select("key", "node"), labels)
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi and _c > 2").select(F.col("key").alias("_k"), "_c", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
     mixed = staged(mixed, "mixed")
-    bins = max(1, (mixed.agg(F.sum("_c")).first()[0] or 0) // BLOCK)
+    # near copies share many buckets, and a task names a pair once: the more of their buckets it has, the fewer repeats are made
+    bins = max(1, (mixed.agg(F.sum("_c")).first()[0] or 0) // (4 * BLOCK))
     rows = rows.join(small(mixed), F.col("key") == F.col("_k")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     task = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key"))
