@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +17,8 @@ from cuelight.functions import text as T
 SAME_WORD = 0.82
 
 
+#: Pairs of words that are looked at together.
+PAIRS = 1 << 16
 #: Letters without their marks, and marks alone gone.
 PLAIN = str.maketrans(*T.accent_table()) | dict.fromkeys(range(0x300, 0x370))
 
@@ -41,17 +42,17 @@ def match_words(want: list[str], heard: list[str], find: Callable[[str, list[str
     """Share of wanted words that were heard, the missing ones, and those heard
     with other tones. In order, each word takes the likest word left, if like
     enough, else the first that differs in tone marks only."""
-    left = list(heard)
+    left, plains = list(heard), [other.translate(PLAIN) for other in heard]
     missing: list[str] = []
     tonal: list[str] = []
     for word in want:
         place = find(word, left)
         if place is None:
             plain = word.translate(PLAIN)
-            place = next((k for k, other in enumerate(left) if other.translate(PLAIN) == plain), None)
+            place = plains.index(plain) if plain in plains else None
             (missing if place is None else tonal).append(word)
         if place is not None:
-            del left[place]
+            del left[place], plains[place]
     return (len(want) - len(missing)) / max(1, len(want)), missing, tonal
 
 
@@ -69,12 +70,16 @@ def word_pairs(rows: DataFrame, same: float = SAME_WORD) -> DataFrame:
                 if not ws or not gs:
                     continue
                 cw, cg, nw, ng = letter_counts(ws), letter_counts(gs), np.array([*map(len, ws)]), np.array([*map(len, gs)])
-                for k in range(len(ws)):
-                    sizes = same * (nw[k] + ng)
-                    close = np.flatnonzero(2 * np.minimum(nw[k], ng) >= sizes - 1e-9)
-                    if nw[k] < 255:  # beyond, counts may have been cut
-                        close = close[2 * np.minimum(cw[k], cg[close]).sum(1, dtype=np.int32) >= sizes[close] - 1e-9]
-                    found += [(key, ws[k], gs[j]) for j in close.tolist() if ws[k] != gs[j]]
+                both = {w: x for x, w in enumerate({*ws, *gs})}  # numbers tell words apart
+                aw, ag = np.array([both[w] for w in ws]), np.array([both[g] for g in gs])
+                step = max(1, PAIRS // len(gs))
+                for at in range(0, len(ws), step):
+                    sizes = same * (nw[at : at + step, None] + ng)
+                    k, j = np.nonzero((2 * np.minimum(nw[at : at + step, None], ng) >= sizes - 1e-9) & (aw[at : at + step, None] != ag))
+                    sizes, k = sizes[k, j], k + at
+                    long = nw[k] >= 255  # counts may have been cut
+                    close = long | (2 * np.minimum(cw[k], cg[j]).sum(1, dtype=np.uint16) >= sizes - 1e-9)
+                    found += [(key, ws[x], gs[y]) for x, y in zip(k[close].tolist(), j[close].tolist())]
             yield pa.record_batch([pa.array([f[k] for f in found], pa.string()) for k in range(3)], names=["id", "w", "g"])
 
     return rows.select("id", "want", "got").mapInArrow(near, "id string, w string, g string")
@@ -120,28 +125,33 @@ def coverage(rows: DataFrame, script: str, heard: str, same: float = SAME_WORD)
     base = keyed.select(F.col("_text").alias("id"), T.script_words(F.col(script)).alias("want"), T.script_words(F.col(heard)).alias("got")).dropDuplicates(["id"])
     like = alike(word_pairs(base, same), same).groupBy("id").agg(F.collect_list(F.struct("w", "g", "ratio")).alias("like"))
 
-    def match(want: pd.Series, got: pd.Series, like: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, pairs in zip(want, got, like):
-            near = {(p["w"], p["g"]): p["ratio"] for p in (pairs if pairs is not None else ())}
-            out.append(match_words([*a], [*b], lambda w, left: likest_known(w, left, near)))  # noqa: B023
-        return pd.DataFrame(out, columns=["coverage", "missing", "tonal"])
-
-    run = F.pandas_udf(match, "coverage double, missing array<string>, tonal array<string>")
-    found = base.join(like, "id", "left").select(F.col("id").alias("_id"), run("want", "got", "like").alias("_m"))
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for want, got, pairs in zip(*(batch.column(k).to_pylist() for k in ("want", "got", "like"))):
+                near: dict[str, dict[str, float]] = {}
+                for p in pairs or ():
+                    near.setdefault(p["w"], {})[p["g"]] = p["ratio"]
+                out.append(match_words(want, got, lambda w, left: likest_known(w, left, near)))  # noqa: B023
+            kinds = (pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.record_batch([batch.column("_id"), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=["_id", "coverage", "missing", "tonal"])
+
+    # rows rather than a column: fields taken from a function's column would have it run for each of them
+    found = base.join(like, "id", "left").select(F.col("id").alias("_id"), "want", "got", "like").mapInArrow(match, "_id string, coverage double, missing array<string>, tonal array<string>")
     out = keyed.join(found, F.col("_text") == F.col("_id"))
-    return out.select(*[keyed[c] for c in rows.columns], "_m.coverage", "_m.missing", "_m.tonal")
+    return out.select(*[keyed[c] for c in rows.columns], *[found[c] for c in ("coverage", "missing", "tonal")])
 
 
-def likest_known(word: str, left: list[str], near: dict[tuple[str, str], float]) -> int | None:
-    """As likest(), by known likenesses: the first word of the greatest."""
+def likest_known(word: str, left: list[str], near: dict[str, dict[str, float]]) -> int | None:
+    """As likest(), by known likenesses of a word to others: the first word of the greatest."""
     if word in left:
         return left.index(word)
     best, place = 0.0, None
-    for k, other in enumerate(left):
-        r = near.get((word, other), 0.0)
-        if r > best:
-            best, place = r, k
+    for other, r in near.get(word, {}).items():
+        if r >= best and other in left:
+            k = left.index(other)
+            if place is None or r > best or k < place:
+                best, place = r, k
     return place
 
 

@@ -358,3 +358,16 @@ def test_errors_say_why():
     assert providers.transient(odd) is False
     odd.code = 503
     assert providers.transient(odd) is True
+
+
+def test_marks_are_taken_off_heard_words_once():
+    taken = []
+
+    class Word(str):
+        def translate(self, table):
+            taken.append(self)
+            return str(self).translate(table)
+
+    heard = [Word(f"q{i}") for i in range(50)] + [Word("má")]
+    found = verify.match_words([*(f"zzzz{i}yyyy" for i in range(60)), "ma"], heard, lambda word, left: None)
+    assert found[1:] == ([f"zzzz{i}yyyy" for i in range(60)], ["ma"]) and len(taken) == len(heard)
