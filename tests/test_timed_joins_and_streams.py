@@ -200,3 +200,9 @@ def test_sketches_keep_their_bound_when_merged(spark):
     got, want = ({r.voice: r for r in x.collect()} for x in (qc.sketched_levels(f), qc.voice_levels(f)))
     for v in got:
         assert got[v].loud == pytest.approx(want[v].loud, rel=0.02) and got[v].quiet == pytest.approx(want[v].quiet, rel=0.02)
+
+
+def test_clips_are_stretched_by_many_tasks(spark):
+    from cuelight.plans import catalog
+
+    assert catalog.queries()["fitted_clips"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
