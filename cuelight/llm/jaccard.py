@@ -47,6 +47,8 @@ SKETCHES = 12
 BLOCK = 1024
 #: Candidate pairs for each node of a bucket above which only its nearest ones are looked at first, in so many rounds at most.
 CROWDED, ROUNDS = 16, 3
+#: Keys, the smallest ones, by which a node knows the buckets it is in.
+LISTED = 32
 WORDS_CACHED = 300_000
 NO_ID = -(1 << 63)
 
@@ -284,18 +286,33 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("_r", "node").alias("label"))
 
 
+def _met_before(key: int, lists: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each list of keys: the keys below `key` that several lists
+    have. Two rows with a bit in common belong to nodes that meet in an earlier bucket too."""
+    row = np.repeat(np.arange(len(lists)), [*map(len, lists)])
+    keys = np.concatenate(lists)
+    row, keys = row[keys < key], keys[keys < key]
+    _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    several = times > 1
+    bits = np.zeros((len(lists), max(1, -(-int(several.sum()) // 64)) * 64), bool)
+    bits[row[several[at]], (np.cumsum(several) - 1)[at[several[at]]]] = True
+    return np.packbits(bits, axis=1).view(U)
+
+
 def _compare(num: int, den: int, crowded: float):
     """Pairs of the block pairs of some buckets that lie in different components
-    and whose sketches are near enough for a link. Where a bucket has more than
+    and whose sketches are near enough for a link. A pair is a matter of the first
+    bucket, by key, that both nodes list: there it is looked at in any case. Where a bucket has more than
     `crowded` for each node, only the nearest of each node, and whole is false."""
 
-    def bucket(sketch, node, n, label, side, one: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    def bucket(sketch, met, node, n, label, side, one: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
         words = min(map(len, sketch))
         sketch = np.vstack([folded(s, words) for s in sketch])
         left, right = (np.arange(len(node)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         out, best, found = [], [], 0
         for i in left:
             other = right[(label[right] != label[i]) & (node[right] != node[i])]
+            other = other[~(met[other] & met[i]).any(axis=1)]
             apart = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             near = apart * (den + num) <= (n[other] + n[i]) * (den - num)
             other = other[near]
@@ -310,12 +327,12 @@ def _compare(num: int, den: int, crowded: float):
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
-        sketch = [np.frombuffer(s, U) for s in pdf["sketch"]]
+        sketch, lists = [np.frombuffer(s, U) for s in pdf["sketch"]], [*pdf["keys"]]
         key, node, n, label, side, ti, tj = (pdf[c].to_numpy() for c in ("key", "node", "n", "label", "side", "ti", "tj"))
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         out, whole = [], True
         for x, y in zip(cuts, cuts[1:]):
-            pairs, all_ = bucket(sketch[x:y], node[x:y], n[x:y], label[x:y], side[x:y], ti[x] == tj[x])
+            pairs, all_ = bucket(sketch[x:y], _met_before(key[x], lists[x:y]), node[x:y], n[x:y], label[x:y], side[x:y], ti[x] == tj[x])
             out += pairs
             whole &= all_
         a = np.concatenate([np.empty(0, np.int64), *(p for p, _ in out)])
@@ -335,11 +352,14 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi and _c > 2").select(F.col("key").alias("_k"), "_c", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
     mixed = staged(mixed, "mixed")
     bins = max(1, (mixed.agg(F.sum("_c")).first()[0] or 0) // BLOCK)
-    rows = rows.join(small(mixed), F.col("key") == F.col("_k")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    rows = rows.join(small(mixed), F.col("key") == F.col("_k"))
+    lists = rows.groupBy(F.col("node").alias("_l")).agg(F.slice(F.sort_array(F.collect_set("key")), 1, LISTED).alias("keys"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     task = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key"))
     rows = rows.select("key", "node", "label", "_blocks", task.alias("task"), F.least("_own", "_other").alias("ti"), F.greatest("_own", "_other").alias("tj"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
-    rows = rows.join(sketches.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("key", "_blocks", "task", "ti", "tj", "side", "node", "label", "n", "sketch")
+    rows = rows.join(sketches.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).join(lists, F.col("node") == F.col("_l"))
+    rows = rows.select("key", "_blocks", "task", "ti", "tj", "side", "node", "label", "n", "sketch", "keys")
     pairs = staged(rows.groupBy("_blocks", "task", "ti", "tj").applyInPandas(_compare(num, den, crowded), "a long, b long, whole boolean"), "pairs")
     return pairs.select("a", "b").distinct(), pairs.where("not whole").isEmpty()
 

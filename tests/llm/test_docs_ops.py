@@ -422,3 +422,19 @@ def test_a_half_written_map_version_is_no_version(spark, tmp_path):
     got = sharding.shard(grown, 4, 64, path)
     assert got.count() == 900 and {r.map_version for r in got.select("map_version").distinct().collect()} == {2}
     assert sharding.versions(spark, path) == [1, 2] and not (tmp_path / "map/version=2/_temporary").exists()
+
+
+def test_pairs_are_named_in_the_first_bucket_they_share():
+    import numpy as np
+    import pandas as pd
+
+    from cuelight.llm import jaccard
+
+    def task(lists):
+        rows = [(key, node, node, 100, np.zeros(4, np.uint64).tobytes(), np.array(keys, np.int64)) for key in (-5, 3, 9) for node, keys in lists.items() if key in keys]
+        frame = pd.DataFrame(rows, columns=["key", "node", "label", "n", "sketch", "keys"]).assign(_blocks=1, side=0, ti=0, tj=0)
+        return [{*zip(found.a, found.b)} for found in (jaccard._compare(90, 100, float("inf"))(part) for _, part in frame.groupby("key"))]
+
+    everywhere = [-5, 3, 9]
+    assert task({1: everywhere, 2: everywhere, 4: everywhere}) == [{(1, 2), (1, 4), (2, 4)}, set(), set()]
+    assert task({1: [-5, 9], 2: everywhere, 4: [3, 9]}) == [{(1, 2)}, {(2, 4)}, {(1, 4)}]
