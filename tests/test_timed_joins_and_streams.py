@@ -206,3 +206,41 @@ def test_clips_are_stretched_by_many_tasks(spark):
     from cuelight.plans import catalog
 
     assert catalog.queries()["fitted_clips"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_every_clip_is_fitted_to_the_end_of_all_cues(spark, tmp_path):
+    from cuelight.plans import catalog, proxies
+
+    # clips of seconds and of minutes; the last cues of jobs 2 and 7 have none
+    rows = [(j, t, "user", "word " * n) for j, ns in {1: [1, 200, 3000], 2: [400, 300, 20, 500], 3: [2, 1], 7: [900, 800, 0, 5, 40, 30, 20, 9]}.items() for t, n in enumerate(ns)]
+    spark.createDataFrame([r for r in rows if r[:2] != (2, 3)] + [(2, 7, "user", "no clip"), (4, 0, "user", None)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    cues, want = {}, {}
+    for r in proxies.cues(spark, str(tmp_path)).orderBy("job_id", "idx").collect():
+        cues.setdefault(r.job_id, []).append(r)
+    assert not cues[2][-1].clip_ms and not cues[7][-1].clip_ms and max(r.clip_ms for r in cues[1]) > 60_000
+    for job, own in cues.items():
+        cursor, placed = 0, []
+        for r in own:
+            if r.clip_ms:
+                placed.append((r, max(r.start_ms, cursor)))
+                cursor = placed[-1][1] + r.clip_ms + 60
+        ends, cued = max((a + r.clip_ms for r, a in placed), default=0), max(r.end_ms for r in own)
+        speed = ends / cued if ends > cued > 0 else 1.0
+        speed = speed if speed > 1.001 else 1.0
+        want |= {(job, r.idx): (round(8 * r.clip_ms / speed), round(a / speed * 8000 / 1000)) for r, a in placed}
+    got = catalog.queries()["fitted_clips"](spark, str(tmp_path)).collect()
+    assert {(r.job_id, r.idx): (r.n, r["at"]) for r in got} == want and len(got) == len(want)
+
+
+def test_loaded_clips_are_stretched_as_those_of_a_column(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, k * 700 if k != 5 else None, [1.0, 1.5, 2.2, None][k % 4], 10.0 * k) for k in range(24)], "k int, samples long, speed double, fit_ms double").coalesce(1)
+
+    def load(n):
+        return np.sin(0.2 * np.arange(n)).astype("float32")
+
+    column = F.udf(lambda n: None if n is None else load(n).tolist(), "array<float>")
+    want = stretch.fitted_clips(rows.withColumn("samples", column("samples")), rate=8000, frame=256, search=96)
+    for most in (1, 20_000, 1 << 20):
+        monkeypatch.setattr(stretch, "BATCH", most)
+        got = stretch.fitted_clips(rows, rate=8000, frame=256, search=96, load=load)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
